@@ -81,3 +81,29 @@ def join_skewed(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     is_hot = F.coalesce(F.col(key).isin(names), F.lit(False))
     heavy = left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how)
     return heavy.unionByName(left.where(~is_hot).join(right.where(~is_hot), key, how))
+
+
+def heavy_limit(total: int, least: int = 1000, most: int = 4096) -> int:
+    """Rows above which a group counts as heavy: at most `most` groups can be that large."""
+    return max(least, -(-total // most))
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: Sequence[str], n: str, total: int, how: str = "inner", least: int = 1000) -> DataFrame:
+    """left join right on `key`, where right has each key once with the exact number n of its rows in left.
+
+    Keys of more than heavy_limit(total) rows are at most 4,096 whatever the
+    data, so their rows of right are broadcast and the rows of left stay
+    where they are; all others are joined by a shuffle in which no key is
+    heavy. how: inner or left_semi. Null keys match nothing. n is dropped.
+    """
+    key = list(key)
+    limit = heavy_limit(total, least)
+    hot = right.where(F.col(n) > limit)
+    names = hot.select(*key).collect()  # at most 4,096
+    if not names:
+        return left.join(right.drop(n), key, how)
+    spark = left.sparkSession
+    listed = F.broadcast(spark.createDataFrame(names, right.select(*key).schema))
+    heavy = left.join(F.broadcast(hot.drop(n)), key, how)
+    light = left.join(listed, key, "left_anti").join(right.where(F.col(n) <= limit).drop(n), key, how)
+    return heavy.unionByName(light)
