@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborweave.llm import format_copies, near_copies, shared_spans, topn
+from arborweave.llm import format_copies, leaks, near_copies, packing, residue, shared_spans, topn
 from arborweave.session import table
 
 
@@ -36,7 +36,35 @@ def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
     return near_copies.groups(table(spark, sf, "sequences"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_shared_part, p3_found, p5_found, p5_collapsed, p6_found, p6_groups)}
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.found(table(spark, sf, "documents"))
+
+
+def p7_assignment(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.assignment(table(spark, sf, "documents"))
+
+
+def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill(table(spark, sf, "documents"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.found(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p8_leaked(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.leaked(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.found(table(spark, sf, "documents"))
+
+
+def p9_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.clean(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_shared_part, p3_found, p5_found, p5_collapsed, p6_found, p6_groups, p7_found, p7_assignment, p7_fill, p8_found, p8_leaked, p9_found, p9_clean)}
 
 _P5 = r"""
 WITH r AS (
@@ -74,7 +102,15 @@ f AS (
   UNION ALL SELECT x.pos, y.pos FROM m x JOIN m y ON x.rep = y.rep AND x.pos < y.pos)
 """
 
+_P8 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+x AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 11], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 10, 1))) AS p FROM d)),
+y AS (SELECT DISTINCT item_id, array_to_string(w[p:p + 11], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 1))) AS p FROM i))
+"""
+
 SQL = {
+    "p8_found": _P8 + "SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (s)",
     "p6_found": _P6 + "SELECT * FROM f",
     "p6_groups": _P6 + """,
 e AS (SELECT pos_1 AS a, pos_2 AS b FROM f UNION ALL SELECT pos_2, pos_1 FROM f),
