@@ -25,6 +25,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CAPACITY = 2048
 #: Number of coarse length classes for the least squares, and most lengths in a combination.
 CLASSES, DEPTH = 64, 4
+#: Most slices that the texts of one length are ranked in.
+MOST_SLICES = 4096
 # The public pattern that parts a text before byte-pair merging; a fixed value of the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts beyond this many characters are counted in pieces that end at a line or blank.
@@ -198,14 +200,16 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             )
         ).alias("x"),
     )
-    # the slice makes ranks countable without a sort over all texts of one length
-    slices = 256
-    items = materialise(items.select("doc_id", F.col("x.part").alias("part"), F.col("x.n_tokens").alias("n_tokens"), F.pmod(F.xxhash64("doc_id", "x.part"), F.lit(slices)).cast("int").alias("slice")), "items")
-    counts = items.groupBy("n_tokens", "slice").agg(F.count("*").alias("n"))
-    rows = counts.collect()  # at most capacity * slices rows of three numbers
-    histogram = np.zeros(capacity + 1, np.int64)
-    for r in rows:
-        histogram[r["n_tokens"]] += r["n"]
+    items = materialise(items.select("doc_id", F.col("x.part").alias("part"), F.col("x.n_tokens").alias("n_tokens")), "items")
+    # slices make ranks countable without a sort over all texts of one length; none grows beyond a few million rows
+    slices = int(min(MOST_SLICES, max(16, items.count() // 2_000_000)))
+    items = items.withColumn("slice", F.pmod(F.xxhash64("doc_id", "part"), F.lit(slices)).cast("int"))
+    # at most capacity * MOST_SLICES rows of three numbers, as arrays
+    rows = items.groupBy("n_tokens", "slice").agg(F.count("*").alias("n")).toPandas()
+    table = np.zeros((capacity + 1, slices), np.int64)
+    table[rows["n_tokens"].to_numpy(np.int64), rows["slice"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    histogram = table.sum(axis=1)
+    starts = np.cumsum(table, axis=1) - table
     # the patterns as runs of ranks: texts of one length, from rank `first` on, `each` to a container, from container `base` on
     runs, base, used = [], 1, np.zeros(capacity + 1, np.int64)
     for lengths, many in patterns(histogram, capacity):
@@ -213,14 +217,6 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             runs.append((x, int(used[x]), each, base))
             used[x] += each * many
         base += many
-    first = {}
-    before = np.zeros(capacity + 1, np.int64)
-    for r in sorted(rows, key=lambda r: (r["n_tokens"], r["slice"])):
-        first[(r["n_tokens"], r["slice"])] = int(before[r["n_tokens"]])
-        before[r["n_tokens"]] += r["n"]
-    starts = np.full((capacity + 1, slices), 0, np.int64)
-    for (x, s), n in first.items():
-        starts[x, s] = n
     by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     for x in {r[0] for r in runs}:
         mine = sorted(r[1:] for r in runs if r[0] == x)
