@@ -58,12 +58,12 @@ def graph_roundtrip(spark, sf):
     return got
 
 
-@query("SELECT t.name, p.name AS parent, t.side, round(t.dist, 5) AS dist, nullif(trim(t.tid), '') AS tid, t.height FROM tree_nodes t LEFT JOIN tree_nodes p ON p.node_id = t.parent_id")
+@query("SELECT t.name, p.name AS parent, t.side, round(t.dist, 6) AS dist, nullif(trim(t.tid), '') AS tid, t.height FROM tree_nodes t LEFT JOIN tree_nodes p ON p.node_id = t.parent_id")
 def newick_roundtrip(spark, sf):
     text = writers.newick_text(table(spark, sf, "tree_nodes"), "nhx")
     nodes = formats.read_trees(spark.createDataFrame([(text,)], "value string"))
     up = nodes.select(F.col("node_id").alias("parent_id"), F.col("name").alias("parent"))
-    return nodes.join(up, "parent_id", "left").select("name", "parent", "side", F.round("dist", 5).alias("dist"), "tid", "height")
+    return nodes.join(up, "parent_id", "left").select("name", "parent", "side", F.round("dist", 6).alias("dist"), "tid", "height")
 
 
 def _aligned(spark, sf) -> DataFrame:
