@@ -64,7 +64,8 @@ def classify(raw: DataFrame, line: str = "line") -> DataFrame:
     odd = F.col("__l.t").rlike(r'["\r\n\x00]') | (F.col("__l.commas") > MOST_COMMAS)
     csv = F.from_csv(F.when(~odd, F.col("__l.t")), SCHEMA, options)
     read = kept.select("*", F.explode(F.array(F.struct(odd.alias("odd"), csv.alias("csv")))).alias("__r"))
-    suspect = F.col("__r.odd") | F.col("__r.csv").isNull() | F.col("__r.csv.corrupt").isNotNull()
+    # the parser takes an empty line for a record of nulls, so the count of commas is looked at too
+    suspect = F.col("__r.odd") | F.col("__r.csv").isNull() | F.col("__r.csv.corrupt").isNotNull() | (F.col("__l.commas") != len(FIELDS) - 1)
     plain = F.array(*(F.coalesce(F.col(f"__r.csv.{f}"), F.lit("")) for f in FIELDS))
     again = read.withColumn("__again", suspect).withColumn("__fields", _reparse(F.when(F.col("__again"), F.col("__l.t"))))
     parts = again.select("*", F.explode(F.array(F.when(F.col("__again"), F.col("__fields")).otherwise(plain))).alias("__parts"))
