@@ -73,6 +73,12 @@ def _levels(tree: DataFrame) -> list[tuple[int, DataFrame]]:
     return [(h, rows.where(F.col("height") == h).drop("height")) for h in heights]
 
 
+def heights(tree: DataFrame) -> DataFrame:
+    """tree with height as the longest way down to a leaf."""
+    deep = T.closure(tree).join(T.leaves(tree).select("node_id"), "node_id").groupBy(F.col("ancestor_id").alias("node_id")).agg(F.max("depth").alias("height"))
+    return tree.drop("height").join(deep, "node_id")
+
+
 def balanced_forest(members: DataFrame, length: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """(tree, tips) of families (family, member): a balanced binary tree for each, without any search.
 
