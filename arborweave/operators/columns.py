@@ -72,7 +72,7 @@ def overlap_identity(pairs: DataFrame, a: str = "a", b: str = "b", key: str = "i
     Symbols compare in upper case. 0 where nothing is aligned; null texts give no rows.
     """
     x, y = (F.split(F.upper(c), "") for c in (a, b))
-    both = F.zip_with(x, y, lambda p, q: F.when((p != "-") & (q != "-"), F.when(p == q, 2).otherwise(1)).otherwise(0))
+    both = F.zip_with(x, y, lambda p, q: F.when(~p.isin("-", "") & ~q.isin("-", ""), F.when(p == q, 2).otherwise(1)).otherwise(0))
     size = F.length(F.replace(F.col(a), F.lit("-"), F.lit("")))
     rows = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(key, size.alias("size"), both.alias("both"))
     aligned = F.size(F.filter("both", lambda v: v > 0))

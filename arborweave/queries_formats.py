@@ -35,7 +35,7 @@ def _saved(spark: SparkSession, lines: DataFrame, order: list[str] | None = None
     return path
 
 
-@query("SELECT coalesce(name, '') AS name, coalesce(trim(regexp_replace(comment, '[\\r\\n]+', ' ', 'g')), '') AS comment, upper(regexp_replace(coalesce(sequence, ''), '\\s', '', 'g')) AS sequence, count(*) AS n FROM (SELECT DISTINCT pos, name, comment, sequence FROM contigs) GROUP BY ALL")
+@query("SELECT coalesce(name, '') AS name, CASE WHEN coalesce(name, '') = '' THEN '' ELSE coalesce(trim(regexp_replace(comment, '[\\r\\n]+', ' ', 'g')), '') END AS comment, upper(regexp_replace(coalesce(sequence, ''), '\\s', '', 'g')) AS sequence, count(*) AS n FROM (SELECT DISTINCT pos, name, comment, sequence FROM contigs) GROUP BY ALL")
 def fasta_roundtrip(spark, sf):
     rows = contigs(spark, sf)
     back = formats.read_fasta(spark, _saved(spark, writers.fasta(rows)))

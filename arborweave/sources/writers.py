@@ -11,17 +11,21 @@ from arborweave.operators import records as R
 FORMATS = ("fasta", "phylipi", "phylip", "phylips", "paml", "raxml", "nexus", "fastq")
 
 
+def _head(mark: str) -> Column:
+    """Mark, name and comment on one line; without a name there is no comment either, which would be read as the name."""
+    tail = F.when((F.coalesce("name", F.lit("")) != "") & (F.coalesce("comment", F.lit("")) != ""), F.concat(F.lit(" "), F.regexp_replace("comment", r"[\r\n]+", " "))).otherwise("")
+    return F.concat(F.lit(mark), F.coalesce("name", F.lit("")), tail)
+
+
 def fasta(rows: DataFrame, width: int = 60) -> DataFrame:
     """Rows (pos, name, comment, sequence) as FASTA; a null name is empty, a null sequence too."""
-    head = F.concat(F.lit(">"), F.coalesce("name", F.lit("")), F.when(F.coalesce("comment", F.lit("")) != "", F.concat(F.lit(" "), F.regexp_replace("comment", r"[\r\n]+", " "))).otherwise(""))
-    return rows.select(F.col("pos").alias("ord"), F.concat(head, F.lit("\n"), S.wrapped(F.regexp_replace(F.coalesce("sequence", F.lit("")), r"\s", ""), width)).alias("value"))
+    return rows.select(F.col("pos").alias("ord"), F.concat(_head(">"), F.lit("\n"), S.wrapped(F.regexp_replace(F.coalesce("sequence", F.lit("")), r"\s", ""), width)).alias("value"))
 
 
 def fastq(rows: DataFrame) -> DataFrame:
     """Rows with a quality as long as the sequence as FASTQ; others are left out."""
     ok = rows.where(F.length("sequence") == F.length("quality"))
-    head = F.concat(F.lit("@"), F.coalesce("name", F.lit("")), F.when(F.coalesce("comment", F.lit("")) != "", F.concat(F.lit(" "), F.regexp_replace("comment", r"[\r\n]+", " "))).otherwise(""))
-    return ok.select(F.col("pos").alias("ord"), F.concat_ws("\n", head, "sequence", F.lit("+"), "quality").alias("value"))
+    return ok.select(F.col("pos").alias("ord"), F.concat_ws("\n", _head("@"), "sequence", F.lit("+"), "quality").alias("value"))
 
 
 def _sizes(rows: DataFrame) -> DataFrame:
