@@ -180,8 +180,10 @@ def _fill(a: Graph, b: Graph, scores: Scores, low: list[int] | None = None, high
     # per site the edges of each layer, -1 where there is none
     ea, fa, wa = _table(la, n)
     eb, fb, wb = _table(lb, m)
-    ng, go, ge = scores.no_gap, scores.open, scores.extend
-    close = scores.close
+    ea_, eb_ = np.array(ea), np.array(eb)
+    ng, go, ge, close = scores.no_gap, scores.open, scores.extend, scores.close
+    enter = np.array([2 * ng, close + ng, close + ng])[:, None]
+    pairs = [(x, y) for x in range(len(ea)) for y in range(len(eb))]
     for d in range(1, n + m + 1):
         i = np.arange(max(0, d - m), min(n, d) + 1)
         j = d - i
@@ -189,59 +191,37 @@ def _fill(a: Graph, b: Graph, scores: Scores, low: list[int] | None = None, high
             inside = band[i, j]
             i, j = i[inside], j[inside]
         at = i * width + j
-        # matches
+        # matches: the candidates of each pair of edges in turn, of which the first of the best is taken
         both = (i > 0) & (j > 0)
-        if both.any():
-            p, q, here = i[both], j[both], at[both]
-            best = np.full(len(p), LOW)
-            frm, le, re = np.zeros(len(p), np.int8), np.full(len(p), -1, np.int32), np.full(len(p), -1, np.int32)
-            for x in range(len(ea)):
-                for y in range(len(eb)):
-                    if x == 0 and y == 0:
-                        take, pp, qq = slice(None), p, q
-                    else:
-                        take = np.flatnonzero((ea[x][p] >= 0) & (eb[y][q] >= 0))
-                        if not len(take):
-                            continue
-                        pp, qq = p[take], q[take]
-                    old = fa[x][pp] * width + fb[y][qq]
-                    w = wa[x][pp] + wb[y][qq]
-                    for state, add in ((M, 2 * ng), (X, close + ng), (Y, close + ng)):
-                        c = v[state, old] + add + w
-                        better = c > best[take]
-                        if better.any():
-                            idx = np.flatnonzero(better) if isinstance(take, slice) else take[better]
-                            best[idx] = c[better]
-                            frm[idx], le[idx], re[idx] = state, ea[x][pp][better], eb[y][qq][better]
-            v[M, here] = best + s[p - 1, q - 1]
-            come[M, here], by_a[M, here], by_b[M, here] = frm, le, re
+        p, q, here = (i, j, at) if both.all() else (i[both], j[both], at[both])
+        if len(p):
+            parts = []
+            for x, y in pairs:
+                c = v[:, fa[x][p] * width + fb[y][q]] + enter + (wa[x][p] + wb[y][q])
+                if x or y:
+                    c[:, (ea[x][p] < 0) | (eb[y][q] < 0)] = 2 * LOW
+                parts.append(c)
+            k, best = _first_best(parts)
+            pair = k // 3
+            v[M, here], come[M, here] = best + s[p - 1, q - 1], k % 3
+            by_a[M, here], by_b[M, here] = ea_[pair // len(eb), p], eb_[pair % len(eb), q]
         # gaps: X moves in the left graph, Y in the right
-        for state, other, moves, e_, f_, edge, ends, move_left in ((X, Y, i > 0, ea, fa, by_a, (j == 0) | (j == m), True), (Y, X, j > 0, eb, fb, by_b, (i == 0) | (i == n), False)):
-            if not moves.any():
+        for state, order, moves, e_, f_, all_, edge, move_left in ((X, (X, Y, M), i > 0, ea, fa, ea_, by_a, True), (Y, (Y, X, M), j > 0, eb, fb, eb_, by_b, False)):
+            p, q, here = (i, j, at) if moves.all() else (i[moves], j[moves], at[moves])
+            if not len(p):
                 continue
-            p, q, here, end = i[moves], j[moves], at[moves], ends[moves]
-            best = np.full(len(p), LOW)
-            frm, le = np.zeros(len(p), np.int8), np.full(len(p), -1, np.int32)
-            ext = np.where(end, scores.end_extend, ge)
-            still = q if move_left else p
-            opening = ng + np.where(end & (still == 0), scores.first_open, go)
+            site, still, last = (p, q, m) if move_left else (q, p, n)
+            end = (still == 0) | (still == last)
+            add = np.array([np.where(end, scores.end_extend, ge), np.full(len(p), close + go), ng + np.where(still == 0, scores.first_open, go)])
+            parts = []
             for x in range(len(e_)):
-                site = p if move_left else q
-                if x == 0:
-                    take = np.arange(len(p))
-                else:
-                    take = np.flatnonzero(e_[x][site] >= 0)
-                    if not len(take):
-                        continue
-                back = f_[x][site[take]]
-                old = back * width + q[take] if move_left else p[take] * width + back
-                for st, add in ((state, ext[take]), (other, close + go), (M, opening[take])):
-                    c = v[st, old] + add
-                    better = c > best[take]
-                    idx = take[better]
-                    best[idx] = c[better]
-                    frm[idx], le[idx] = st, e_[x][site[idx]]
-            v[state, here], come[state, here], edge[state, here] = best, frm, le
+                back = f_[x][site]
+                c = v[:, back * width + q if move_left else p * width + back][list(order)] + add
+                if x:
+                    c[:, e_[x][site] < 0] = 2 * LOW
+                parts.append(c)
+            k, best = _first_best(parts)
+            v[state, here], come[state, here], edge[state, here] = np.maximum(best, LOW), np.array(order, np.int8)[k % 3], all_[k // 3, site]
     # the end: every edge into the two stops
     top, where = LOW, None
     for x in np.flatnonzero(a.end == n + 1):
@@ -271,6 +251,13 @@ def _fill(a: Graph, b: Graph, scores: Scores, low: list[int] | None = None, high
     return Path(steps[::-1], left_stop, right_stop, float(top), (n, m))
 
 
+def _first_best(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of the greatest of each column, of equal ones the first row."""
+    c = parts[0] if len(parts) == 1 else np.concatenate(parts)
+    k = c.argmax(axis=0)
+    return k, c[k, np.arange(c.shape[1])]
+
+
 def _table(layers: list, n: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
     edges, fro, weight = [], [], []
     for site, start, logw, number in layers:
@@ -436,3 +423,119 @@ def sample(a: Graph, b: Graph, scores: Scores, seed: int) -> list[tuple[int, int
         i, j = i - di, j - dj
         state = draw(f[:, i, j] + move[:, state]) if i or j else M
     return out[::-1]
+
+
+def local(a: np.ndarray, b: np.ndarray, match: float = 5.0, mismatch: float = -4.0, opening: float = -12.0, extension: float = -4.0) -> tuple[float, int, int, int, int]:
+    """(score, start, end, start, end) of the best local alignment of two arrays of residues with affine gaps; ends are exclusive, all 0 if nothing scores.
+
+    Of equal scores the end that comes first by a and then by b is taken.
+    """
+    n, m = len(a), len(b)
+    width = m + 1
+    low = -1e18
+    h, x, y = np.zeros((n + 1) * width), np.full((n + 1) * width, low), np.full((n + 1) * width, low)
+    # where the alignment that ends in a cell begins
+    sh = np.arange((n + 1) * width)
+    sx, sy = sh.copy(), sh.copy()
+    for d in range(2, n + m + 1):
+        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        j = d - i
+        at = i * width + j
+        up, left, diag = at - width, at - 1, at - width - 1
+        for gap, start, back in ((x, sx, up), (y, sy, left)):
+            new, longer = h[back] + opening, gap[back] + extension
+            gap[at] = np.maximum(new, longer)
+            start[at] = np.where(new >= longer, sh[back], start[back])
+        s = h[diag] + np.where((a[i - 1] & b[j - 1]) != 0, match, mismatch)
+        c = np.array([np.zeros(len(i)), s, x[at], y[at]])
+        k = c.argmax(axis=0)
+        h[at] = c[k, np.arange(len(i))]
+        sh[at] = np.choose(k, [at, np.where(h[diag] > 0, sh[diag], diag), sx[at], sy[at]])
+    best = int(h.argmax())
+    if h[best] <= 0:
+        return 0.0, 0, 0, 0, 0
+    begin = int(sh[best])
+    return float(h[best]), begin // width, best // width, begin % width, best % width
+
+
+#: Cells (times three states, a byte each) that align_many() keeps at once.
+CELLS = 12_000_000
+
+
+def align_many(pairs: list[tuple[np.ndarray, np.ndarray]], scores: Scores) -> list[Path]:
+    """align() of many pairs of plain sequences of states, several at a time; the same paths and scores.
+
+    Pairs of like size are filled side by side, so each step of numpy works
+    on an anti-diagonal of all of them.
+    """
+    out: list[Path | None] = [None] * len(pairs)
+    order = sorted(range(len(pairs)), key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
+    group: list[int] = []
+    n = m = 0
+    for k in order:
+        a, b = max(n, len(pairs[k][0])), max(m, len(pairs[k][1]))
+        if group and (3 * (len(group) + 1) * (a + b + 1) * (a + 1) > CELLS or len(group) >= 64):
+            _side_by_side(pairs, group, scores, out)
+            group, a, b = [], len(pairs[k][0]), len(pairs[k][1])
+        group.append(k)
+        n, m = a, b
+    if group:
+        _side_by_side(pairs, group, scores, out)
+    return out
+
+
+def _side_by_side(pairs: list, group: list[int], scores: Scores, out: list) -> None:
+    size = len(group)
+    ns, ms = (np.array([len(pairs[k][x]) for k in group]) for x in (0, 1))
+    n, m = int(ns.max()), int(ms.max())
+    known = {int(s): x for x, s in enumerate(sorted({int(s) for k in group for t in pairs[k] for s in t}))}
+    states = list(known)
+    table = np.array([[scores.pair(x, y) for y in states] for x in states]).reshape(len(states), len(states))
+    a, b = np.zeros((size, n), np.int64), np.zeros((size, m), np.int64)
+    for r, k in enumerate(group):
+        a[r, : ns[r]], b[r, : ms[r]] = ([known[int(s)] for s in t] for t in pairs[k])
+    ng, go, ge, close = scores.no_gap, scores.open, scores.extend, scores.close
+    enter = np.array([2 * ng, close + ng, close + ng])[:, None, None]
+    come = np.zeros((3, size, n + m + 1, n + 1), np.int8)
+    before = np.full((3, size, n + 1), LOW)  # the anti-diagonal before the last
+    last = before.copy()
+    last[M, :, 0] = 0.0
+    total = np.full((3, size), LOW)
+    done = np.flatnonzero(ns + ms == 0)
+    total[:, done] = last[:, done, 0]
+    for d in range(1, n + m + 1):
+        now = np.full((3, size, n + 1), LOW)
+        lo, hi = max(1, d - m), min(n, d - 1)
+        if lo <= hi:
+            c = before[:, :, lo - 1 : hi] + enter
+            k = c.argmax(axis=0)
+            s = table[a[:, lo - 1 : hi], b[:, d - hi - 1 : d - lo][:, ::-1]]
+            now[M, :, lo : hi + 1] = np.take_along_axis(c, k[None], 0)[0] + s
+            come[M, :, d, lo : hi + 1] = k
+        for state, order, lo, hi, back in ((X, [X, Y, M], max(1, d - m), min(n, d), 1), (Y, [Y, X, M], max(0, d - m), min(n, d - 1), 0)):
+            if lo > hi:
+                continue
+            i = np.arange(lo, hi + 1)
+            still, end = (d - i, ms) if state == X else (i, ns)
+            first = still == 0
+            ends = first[None, :] | (still[None, :] == end[:, None])
+            c = last[order][:, :, lo - back : hi + 1 - back]
+            c[0] += np.where(ends, scores.end_extend, ge)
+            c[1] += close + go
+            c[2] += ng + np.where(first, scores.first_open, go)[None, :]
+            k = c.argmax(axis=0)
+            now[state, :, lo : hi + 1] = np.maximum(np.take_along_axis(c, k[None], 0)[0], LOW)
+            come[state, :, d, lo : hi + 1] = np.array(order, np.int8)[k]
+        before, last = last, now
+        done = np.flatnonzero(ns + ms == d)
+        total[:, done] = last[:, done, ns[done]]
+    total += np.array([ng, close, close])[:, None]
+    for r, k in enumerate(group):
+        state, i, j, steps = int(total[:, r].argmax()), int(ns[r]), int(ms[r]), []
+        score = float(total[state, r])
+        mine = come[:, r]
+        while i or j:
+            frm = int(mine[state, i + j, i])
+            steps.append((state, i if state != Y else -1, j if state != X else -1, i - 1 if state != Y else -1, j - 1 if state != X else -1))
+            i, j, state = i - (state != Y), j - (state != X), frm
+        out[k] = Path(steps[::-1], int(ns[r]), int(ms[r]), score, (int(ns[r]), int(ms[r])))

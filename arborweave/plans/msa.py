@@ -263,13 +263,16 @@ def pairwise(pairs: DataFrame, options: models.Options | None = None, distance:
         scores = model.at(distance)
         for batch in batches:
             out = []
-            for i, t1, t2 in zip(batch["id"], batch["text_1"], batch["text_2"], strict=True):
-                a, b = K.graph_of(model.encode(t1)), K.graph_of(model.encode(t2))
-                low = high = None
+            coded = [(model.encode(x), model.encode(y)) for x, y in zip(batch["text_1"], batch["text_2"], strict=True)]
+            plain = None if anchors else K.align_many(coded, scores)
+            for k, (i, t1, t2) in enumerate(zip(batch["id"], batch["text_1"], batch["text_2"], strict=True)):
+                a, b = K.graph_of(coded[k][0]), K.graph_of(coded[k][1])
                 if anchors:
                     chain = chain_anchors(local_anchors(t1, t2, 12))
                     low, high = tunnel(chain, a.n, b.n) if chain else (None, None)
-                path = K.align(a, b, scores, low, high)
+                    path = K.align(a, b, scores, low, high)
+                else:
+                    path = plain[k]
                 x, y = model.decode(a.states), model.decode(b.states)
                 gap = "---" if options.kind == "codon" else "-"
                 r1 = [x[p - 1] if p > 0 else gap for _, p, _, _, _ in path.steps]

@@ -96,8 +96,9 @@ def place(spark: SparkSession, settings: Settings) -> DataFrame:
     rows = T.leaves(tree).select("node_id", "name").join(reference.drop("pos"), "name").select("node_id", "sequence")
     graphs = msa.replay_tree(tree, rows, options)
     inner = "internal" if settings.internal_nodes else "terminal" if settings.terminal_nodes else "all"
-    texts = msa.aligned_rows(tree, graphs, options, ancestors=True).join(tree.select("node_id", "name", "tid", "height"), "node_id").select(F.col("name").alias("node"), "tid", "height", S.degap(F.col("sequence")).alias("t_text"))
-    texts = materialise({"all": texts, "internal": texts.where("height > 0"), "terminal": texts.where("height = 0")}[inner], "targets")
+    texts = msa.aligned_rows(tree, graphs, options, ancestors=True).join(tree.select("node_id", "name", "tid", "height"), "node_id").select(F.col("name").alias("node"), "tid", "height", "sequence", S.degap(F.col("sequence")).alias("t_text"))
+    rows_all = materialise(texts, "rows")
+    texts = {"all": rows_all, "internal": rows_all.where("height > 0"), "terminal": rows_all.where("height = 0")}[inner]
     queries = records(spark, settings.queryfile, settings).select(F.col("name").alias("query"), "pos", "tid", F.col("sequence").alias("q_text"))
     if settings.guided:
         candidates = queries.where("tid <> ''").join(texts.where("tid <> ''").select("tid", "node"), "tid").select("query", "node")
@@ -108,18 +109,51 @@ def place(spark: SparkSession, settings: Settings) -> DataFrame:
     limits = {"least_overlap": settings.min_query_overlap, "least_identity": settings.min_query_identity, "options": options, "query_distance": settings.query_distance, "both_strands": both, "by": "identity" if settings.use_identity_score else "score"}
     candidates = materialise(candidates, "candidates")
     if settings.fragments:
-        placed = placement.place_all(candidates.join(queries, "query").join(texts, "node"), one_only=settings.one_placement_only, **limits)
+        placed = placement.place_all(candidates.join(queries, "query").join(texts.drop("tid", "height", "sequence"), "node"), one_only=settings.one_placement_only, **limits)
     else:
         order = R.global_rank(queries.select("query", "q_text", "pos"), [F.col("pos")])
         placed = placement.place_in_turn(order, texts.select("node", "t_text"), candidates, 2, **limits)
     placed = materialise(placed, "placed")
     placed.withColumn("value", F.concat_ws("\t", "query", "node", F.format_number("score", 4), F.format_number("overlap", 4), F.format_number("identity", 4))).select("value").write.text(f"{settings.outfile}.placements")
+    _extended(tree, rows_all, placed, queries, options, settings)
     if settings.output_discarded_queries:
         lost = placement.discarded(queries, placed)
         writers.save(writers.fasta(lost.select("pos", F.col("query").alias("name"), F.lit("").alias("comment"), F.col("q_text").alias("sequence"))), f"{settings.outfile}.discarded")
     return placed
 
 
+def _extended(tree: DataFrame, rows: DataFrame, placed: DataFrame, queries: DataFrame, options, settings: Settings) -> None:
+    """Writes the reference with the queries that were placed on its own nodes, pruned and trimmed as asked."""
+    own = placed.join(rows.select("node"), "node", "left_semi")
+    leaves = rows.where("height = 0").select(F.col("node").alias("name"), "sequence")
+    shown = rows.select(F.col("node").alias("name"), "sequence") if settings.output_ancestors else leaves
+    cells = materialise(placement.extended(shown, rows.select("node", "sequence"), own, queries, options, settings.query_distance), "extended")
+    new = cells.select("name").distinct().join(shown.select("name"), "name", "left_anti")
+    gap = "---" if options.kind == "codon" else "-"
+
+    def give(suffix: str, **how) -> None:
+        out = placement.rows_of(cells, gap, **how)
+        _write(R.global_rank(out.withColumn("comment", F.lit("")), [F.col("name")]).withColumn("pos", F.col("place")), settings, suffix)
+
+    give("")
+    if settings.prune_extended_alignment:
+        if settings.prune_keep_closest:
+            near = T.closest_leaf(tree).join(tree.select("node_id", F.col("name").alias("node")), "node_id").join(own.select("node").distinct(), "node")
+            give(".pruned_closest", keep=near.select(F.col("leaf").alias("name")).unionByName(new))
+        if settings.prune_keep_number > 0:
+            paths = materialise(T.closure(tree).join(T.leaves(tree).select("node_id", "name"), "node_id"), "paths")
+            a, b = (paths.select(F.col("name").alias(x), "ancestor_id", F.col("dist").alias(y)) for x, y in (("a", "x"), ("b", "y")))
+            dists = a.join(b, "ancestor_id").where("a <> b").groupBy("a", "b").agg(F.min(F.col("x") + F.col("y")).alias("dist"))
+            if dists.count() > 4_000_000:
+                raise ValueError("too many leaves to choose distant ones from")
+            kept = tree.sparkSession.createDataFrame([(x,) for x in T.thin(dists, settings.prune_keep_number)], "name string")
+            give(".pruned", keep=kept.unionByName(new))
+        if not settings.prune_keep_closest and settings.prune_keep_number <= 0:
+            give(".pruned", keep=new)
+    if settings.trim_extended_alignment:
+        give(".trimmed", around=new, margin=settings.trim_keep_sites)
+
+
 def pile(spark: SparkSession, settings: Settings) -> DataFrame:
     """Flow of --pileup-alignment: the first record of --queryfile is the seed; rows and consensus are written."""
     rows = records(spark, settings.queryfile, settings)

@@ -58,6 +58,17 @@ def test_viterbi_against_brute_force():
         assert K.align(parent, c, sc).score == pytest.approx(brute(parent, c, sc), abs=1e-9)
 
 
+def test_many_pairs_at_once():
+    rng = random.Random(5)
+    for kind, letters in (("dna", "ACGTN"), ("protein", "ARNDCQEGHX")):
+        model = Mo.model(Mo.preset(kind))
+        texts = [("".join(rng.choice(letters) for _ in range(rng.randint(0, 25))), "".join(rng.choice(letters) for _ in range(rng.randint(0, 25)))) for _ in range(80)]
+        pairs = [(model.encode(a), model.encode(b)) for a, b in texts]
+        for (a, b), got in zip(pairs, K.align_many(pairs, model.at(0.1))):
+            want = K.align(K.graph_of(a), K.graph_of(b), model.at(0.1))
+            assert got.score == pytest.approx(want.score, abs=1e-9) and got.steps == want.steps and (got.left_stop, got.right_stop) == (want.left_stop, want.right_stop)
+
+
 def test_models():
     for kind in ("dna", "protein", "codon"):
         m = Mo.model(Mo.preset(kind))
@@ -186,3 +197,30 @@ def test_anchors_and_tunnel(spark):
     low, high = H.tunnel([(5, 5, 10, 1)], 20, 20, 2)
     assert low[10] <= 10 <= high[10] and high[10] - low[10] <= 8 and low[0] == 0 and high[20] == 20
     assert sorted(msa.local_anchors("AAACGTACGGTT", "CCACGTACGGCC", 4)) == [(2, 2, 8, 8.0)]
+
+
+def test_local_alignment(spark):
+    rng = random.Random(3)
+
+    def plain(a, b):
+        n, m = len(a), len(b)
+        h, x, y = ([[0.0 if k == 0 else -1e18] * (m + 1) for _ in range(n + 1)] for k in range(3))
+        best = 0.0
+        for i in range(1, n + 1):
+            for j in range(1, m + 1):
+                x[i][j] = max(h[i - 1][j] - 12, x[i - 1][j] - 4)
+                y[i][j] = max(h[i][j - 1] - 12, y[i][j - 1] - 4)
+                h[i][j] = max(0.0, h[i - 1][j - 1] + (5 if a[i - 1] == b[j - 1] else -4), x[i][j], y[i][j])
+                best = max(best, h[i][j])
+        return best
+
+    model = Mo.model(Mo.preset("dna"))
+    for _ in range(60):
+        a, b = ("".join(rng.choice("ACGT") for _ in range(rng.randint(0, 30))) for _ in range(2))
+        b = b[:5] + a[3:20] + b[5:]
+        score, i, k, j, m = K.local(model.encode(a), model.encode(b))
+        assert score == plain(a, b) and (not score or plain(a[i:k], b[j:m]) == score)
+    text = "".join(rng.choice("ACGT") for _ in range(120))
+    q = spark.createDataFrame([(1, text[20:80]), (2, "ACGT"), (3, None)], "query long, q_text string")
+    t = spark.createDataFrame([(7, text), (8, None)], "target long, t_text string")
+    assert rows(placement.search(q, t)) == [(1, 7, 300.0, 0, 60, 20, 80)]

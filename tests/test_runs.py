@@ -57,8 +57,13 @@ def test_place_and_pile_runs(spark, tmp_path):
     queries = fasta(tmp_path / "q.fas", [("q0", items[0][1][10:70]), ("junk", "ACGT" * 3)])
     for fragments in (True, False):
         out = f"{tmp_path}/p{fragments}"
-        placed = run(spark, Settings(ref_seqfile=reference, ref_treefile=f"file://{tmp_path}/t.nwk", queryfile=queries, outfile=out, fragments=fragments, output_discarded_queries=True))
+        placed = run(spark, Settings(ref_seqfile=reference, ref_treefile=f"file://{tmp_path}/t.nwk", queryfile=queries, outfile=out, fragments=fragments, output_discarded_queries=True, prune_extended_alignment=True, prune_keep_number=2, trim_extended_alignment=True, trim_keep_sites=3))
         assert "q0" in {r["query"] for r in placed.collect()}
+        whole, pruned, trimmed = ({r["name"]: r["sequence"] for r in read_fasta(spark, f"file://{out}{x}").collect()} for x in ("", ".pruned", ".trimmed"))
+        new = {n for n in whole if n.startswith("q0")}
+        assert {n: whole[n].replace("-", "") for n, _ in items} == dict(items) and all(whole[n].replace("-", "") == items[0][1][10:70] for n in new) and new
+        assert len({len(s) for s in whole.values()}) == 1 and len(pruned) == 2 + len(new)
+        assert 60 <= len(trimmed["s0"]) <= 70 and all(trimmed[n].replace("-", "") == items[0][1][10:70] for n in new)
     reads = fasta(tmp_path / "r.fas", [("r0", items[0][1]), ("r1", items[0][1][:50]), ("r2", items[0][1][20:])])
     run(spark, Settings(pileup_alignment=True, queryfile=reads, outfile=f"{tmp_path}/pile", output_consensus=True, consensus_minimum=1, consensus_minimum_proportion=0.0))
     assert read_fasta(spark, f"file://{tmp_path}/pile.consensus").first()["sequence"] == items[0][1]
