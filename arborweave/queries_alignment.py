@@ -143,7 +143,7 @@ def local_hits(spark, sf):
     """Local hits of the records on the consensus records."""
     q = _dna(spark, sf).select(F.col("pos").alias("query"), F.col("sequence").alias("q_text"))
     t = table(spark, sf, "contigs").dropDuplicates(["pos"]).where("sequence IS NOT NULL").select(F.col("pos").alias("target"), S.dna_letters(F.col("sequence")).alias("t_text"))
-    return placement.search(q, t)
+    return placement.search(q, t, k=16)
 
 
 @query
