@@ -1,18 +1,23 @@
 """Template residue, filler and error pages in texts (problem 9).
 
-Every place that looks like an unfilled slot is aligned with the same places
-of other records: the words around it are its frame, and the frame's column
-of values shows whether it is a slot (several values) or fixed wording of the
-writer (one value, in many surroundings). Whole-page error templates are
-found from sentences that recur on pages which announce an error.
+Every place that may be an unfilled slot gives a frame: up to three words on
+either side, within the sentence. A second pass over all texts takes the
+values that stand in these frames, filled ones included. Known template
+syntaxes count unless the frame is fixed wording of the writer; blanks,
+defaults and names in any other syntax count where the frame's values vary.
+Whole-page error templates are found from sentences that tell of an error,
+and from units and whole pages that recur.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +50,14 @@ SLOTS = (
     r"(?<![\w{$#])\{\d{1,2}\}(?!\})",
 )
 _SLOT = re.compile(r"(?=[{$#<\[&_X%@(])(?:" + "|".join(f"(?:{x})" for x in SLOTS) + ")")
+# Signs of a slot in any syntax: a blank before a stop, a doubled blank, empty brackets, a default, a name between equal signs or after one, a variable's name.
+_CUE = re.compile(
+    r"(?P<blank>(?<=[^\W\d_])[ ](?=[,.;!?](?:\s|$))|(?<!\w)(?:\(\s*\)|\[\s*\]|\{\s*\}|<\s*>|\"\s*\"))"
+    r"|(?<![\w/.])(?:undefined|null|NULL|nil|NaN|N/A|n/a|None|TBD|TBA)(?![\w/])"
+    r"|(?<!\w)(?P<sign>[^\w\s.,;:!?'\"()*`~\\/-]{1,3})[A-Za-z][\w .-]{0,40}?(?P=sign)(?!\w)"
+    r"|(?<!\w)[$%#@]{1,2}[A-Za-z_]\w*"
+    r"|(?<![\w.-])(?:[a-z]+(?:_[a-z0-9]+)+|[A-Z]+(?:_[A-Z0-9]+)+)(?![\w(])"
+)
 # Cheap signs, so that most texts need no closer look; each form above or below holds one of them.
 SLOT_SIGNS = ("{", "<", "[", "__", "$", "%", "@@", "&lt;", "XXX", "filled", "FILLED")
 FILLER_SIGNS = (
@@ -102,17 +115,34 @@ _NOTICE = re.compile(
 )
 _NAV = re.compile(r"^\W*(?:[\w' ]{1,24}(?:\s*[|·>»]\s*[\w' ]{1,24})+|loading\W*|back|home|menu|reload|retry|\d+\s+of\s+\d+\s+rows|.{0,60}\b(?:viewer|browser|portal))\W*$", re.I)
 # Words by which a sentence talks about a slot.
-_TALK = re.compile(r"\b(?:replaces?|is\s+given\s+as|are\s+given\s+as|is\s+written\s+as|such\s+as|for\s+instance|for\s+example|prints?|syntax|variables?|placeholders?)\b", re.I)
+_TALK = re.compile(r"\b(?:replaces?|is\s+given\s+as|are\s+given\s+as|is\s+written\s+as|such\s+as|for\s+instance|for\s+example|prints?|puts|syntax|variables?|placeholders?)\b", re.I)
 _UNIT = re.compile(r"(?<=[.!?;])\s+|\s*\n+\s*|(?<=\w)\s+-\s+|(?<=\w):\s+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+# What a text must hold to match _CUE.
+_ODD = re.compile(r"[^\w\s.,;:!?'\"()*`~\\/-][A-Za-z]|_|[\[{(<]\s*[\]})>]|\"\s*\"| [,.;!?](?:\s|$)|\b(?:undefined|null|NULL|nil|NaN|N/A|n/a|None|TBD|TBA)\b")
+_GAP = re.compile(r"(?<=\w)[ ]{2,}(?=\w)")
+# Words of an error page in any wording; they count only where the whole page recurs.
+_TROUBLE = re.compile(
+    r"\b(?:sorry|oops|whoops|uh-oh|error|fault|failed|failure|unavailable|not\s+available|unable|unreachable|(?:cannot|can't|can\s+not|could\s+not|couldn't)\s+(?:be\s+)?(?:display|show|load|find|found|open|reach|connect|process|complete)\w*|timed?\s?out|blocked|denied|expired|try\s+again|reload|offline|outage|maintenance|"
+    r"désolée?|indisponible|impossible|échoué|leider|fehlgeschlagen|lo\s+sentimos|no\s+disponible)\b",
+    re.I,
+)
+_WORD = re.compile(r"\w+")
 MOST_SHARE = 0.6
 REPEATED = 3
+# Words of a value in a frame, of a unit of navigation and of a page that counts by recurrence alone, at most.
+VALUE, LINK, PAGE = 4, 6, 120
+#: Slots of the filter that the second pass reads; where it fills up it only lets more rows pass.
+FILTER = 1 << 20
 
 
 def _plain(text: str) -> str:
     """Blanks made single (line breaks stay) and entities resolved, but for those that hide a tag."""
-    text = re.sub(r"&(?!lt;|gt;)(\w{2,8}|#\d{1,6});", lambda m: html.unescape(m[0]), text)
-    return re.sub(r"[^\S\n]+", " ", text)
+    return re.sub(r"[^\S\n]+", " ", _entities(text))
+
+
+def _entities(text: str) -> str:
+    return re.sub(r"&(?!lt;|gt;)(\w{2,8}|#\d{1,6});", lambda m: html.unescape(m[0]), text) if "&" in text else text
 
 
 def _shape(text: str) -> str:
@@ -127,78 +157,186 @@ def is_filler(unit: str) -> bool:
     return bool(_FILLER.search(unit))
 
 
+def _words(text: str) -> list[str]:
+    return _WORD.findall(re.sub(r"\d+", "9", text.lower()))
+
+
+def _frame(left: str, right: str) -> tuple[list[str], list[str]]:
+    """The words of the sentence on either side, at most three, with marks for its ends."""
+    before, after = _SENTENCE.split(left)[-1], _SENTENCE.split(right)[0]
+    return ["^", *_words(_masked(before))][-3:], [*_words(_masked(after)), "$"][:3]
+
+
+def _masked(text: str) -> str:
+    """Text with slots and cues replaced by _, but for blanks."""
+    return _CUE.sub(lambda m: " " if m["blank"] else " _ ", _SLOT.sub(" _ ", text))
+
+
+def _key(text: str) -> str:
+    return "%032x" % int.from_bytes(hashlib.blake2b(_shape(text).encode("utf-8", "surrogatepass"), digest_size=16).digest())
+
+
+def _at(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) % FILTER
+
+
+def _start(unit: str) -> int:
+    """A number of the unit's first word."""
+    return _at(_shape(unit.split(None, 1)[0])) if unit.strip() else 0
+
+
+MARKS = "doc_id long, copy long, kind string, frame string, value string, flag boolean, words int, first int, half int, whole int"
+
+
 def _analyse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(doc_id, text) -> rows of kind slot (frame, value, around, talk), filler, or unit (frame = shape, words, sure, share)."""
+    """(doc_id, copy, text) -> rows of kind slot or cue (frame, value, flag = talk, words of the frame), filler, unit (frame = hash of the shape, value = what it is, words) or whole."""
     for batch in batches:
         out = []
-        for doc, raw in zip(batch["doc_id"], batch["text"], strict=True):
+        for doc, copy, raw in zip(batch["doc_id"], batch["copy"], batch["text"], strict=True):
             low = raw.lower()
             slot, filler, page = (any(x in t for x in signs) for t, signs in ((raw, SLOT_SIGNS), (low, FILLER_SIGNS), (low, PAGE_SIGNS)))
-            if not (slot or filler or page):
-                continue
             text = _plain(raw)
-            for m in _SLOT.finditer(text) if slot else ():
-                before, after = text[max(0, m.start() - 200) : m.start()], text[m.end() : m.end() + 200]
-                # the frame stays within the sentence, and slots beside this one are slots there too
-                left = _SENTENCE.split(before)[-1]
-                right = _SENTENCE.split(after)[0]
-                far = _shape(before[: len(before) - len(left)])[-40:]
-                frame = " ".join(_shape(_SLOT.sub("_", left)).split()[-3:]) + " _ " + " ".join(_shape(_SLOT.sub("_", right)).split()[:3])
-                out.append((doc, "slot", frame, _shape(m[0]), f"{far}|{_shape(left)[:-1]}|{_shape(right)[-20:]}", bool(_TALK.search(left[-80:]) or _TALK.search(right[:40])), 0, len(frame.split()) - 1))
+            places = [(m, text, "slot") for m in (_SLOT.finditer(text) if slot else ())]
+            taken = [(m.start(), m.end()) for m, _, _ in places]
+            places += [(m, text, "cue") for m in (_CUE.finditer(text) if _ODD.search(text) else ()) if not any(a < m.end() and m.start() < b for a, b in taken)]
+            # doubled blanks are gone from the plain text; where they are the text's usual spacing they tell nothing
+            gaps = [(m, raw, "cue") for m in _GAP.finditer(raw)] if "  " in raw else []
+            places += gaps if len(gaps) <= max(2, 0.1 * raw.count(" ")) else []
+            for m, of, kind in places:
+                left, right = of[max(0, m.start() - 200) : m.start()], of[m.end() : m.end() + 200]
+                before, after = _frame(left, right)
+                talk = bool(_TALK.search(_SENTENCE.split(left)[-1][-80:]) or _TALK.search(_SENTENCE.split(right)[0][:40]))
+                width = sum(w not in "^$_" for w in before + after)
+                if kind == "cue" and width < 3:
+                    continue
+                frame = f"{' '.join(before)} | {' '.join(after)}"
+                out.append((doc, copy, kind, frame, _shape(m[0]), talk, width, _at(before[-1]), _at(" ".join(before)), _at(frame)))
             if filler and any(is_filler(u) for u in _SENTENCE.split(text)):
-                out.append((doc, "filler", "", "", "", False, 0, 0))
+                out.append((doc, copy, "filler", "", "", False, 0, 0, 0, 0))
+            n = len(text.split())
+            if 0 < n <= PAGE and _TROUBLE.search(text):
+                out.append((doc, copy, "whole", _key(text), "", False, n, 0, 0, 0))
             if not page:
                 continue
             units = [u for u in _UNIT.split(text) if u.strip()]
             kinds = [("bad" if _ERROR.search(u) or _NOTICE.search(u) else "nav" if _NAV.match(u) else "") for u in units]
-            bad = kinds.count("bad")
-            if bad:
-                words = [len(u.split()) for u in units]
-                share = sum(w for w, k in zip(words, kinds, strict=True) if k) / max(1, sum(words))
-                # units of pages that are not mostly something else go on to be aligned
-                if share >= 0.2 or len(units) <= 12:
-                    for u, k, w in zip(units, kinds, words, strict=True):
-                        out.append((doc, "unit", _shape(u)[:200], k, "", share >= MOST_SHARE, w, 0))
-        yield pd.DataFrame(out, columns=["doc_id", "kind", "frame", "value", "around", "flag", "words", "context"])
+            if "bad" in kinds:
+                for u, k in zip(units, kinds, strict=True):
+                    key = _key(u)
+                    words = len(u.split())
+                    # flag: it has the form of a link, not of a sentence
+                    out.append((doc, copy, "unit", key, k, words <= LINK and not re.search(r"[.!?;]\W*$", u), words, _start(u), 0, _at(key)))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in MARKS.split(", ")])
+
+
+def _values(filters: dict[str, bytes]):
+    """(doc_id, copy, text) -> rows of kind fill (frame, value) and seen (frame = hash of a unit), of those that the filters let pass."""
+
+    def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, halves, frames, starts, units = (filters[x] for x in ("last", "halves", "frames", "starts", "units"))
+        known: dict[str, bool] = {}
+        begins: dict[str, bool] = {}
+        for batch in batches:
+            out = []
+            if len(known) > 200_000:
+                known.clear()
+            if len(begins) > 200_000:
+                begins.clear()
+            for doc, copy, raw in zip(batch["doc_id"], batch["copy"], batch["text"], strict=True):
+                text = _entities(raw)
+                masked = _masked(text) if any(x in raw for x in SLOT_SIGNS) or _ODD.search(text) else text
+                for sentence in _SENTENCE.split(re.sub(r"\d+", "9", masked.lower())):
+                    w = ["^", *_WORD.findall(sentence), "$"]
+                    for i in range(1, len(w) - 1):
+                        x = w[i - 1]
+                        ok = known.get(x)
+                        if ok is None:
+                            ok = known[x] = bool(last[_at(x)])
+                        if not ok:
+                            continue
+                        left = " ".join(w[max(0, i - 3) : i])
+                        if not halves[_at(left)]:
+                            continue
+                        for j in range(i + 1, min(i + VALUE, len(w) - 1) + 1):
+                            if w[j - 1] == "_":
+                                break
+                            frame = f"{left} | {' '.join(w[j : j + 3])}"
+                            if frames[_at(frame)]:
+                                out.append((doc, copy, "fill", frame, " ".join(w[i:j])))
+                for sentence in _SENTENCE.split(text):
+                    for u in _UNIT.split(sentence) if any(x in sentence for x in (";", ":", " -", "\t-")) else (sentence,):
+                        head = next(iter(u.split(None, 1)), "")
+                        ok = begins.get(head)
+                        if ok is None:
+                            ok = begins[head] = bool(starts[_start(u)])
+                        if ok and head and units[_at(key := _key(u))]:
+                            out.append((doc, copy, "seen", key, ""))
+            yield pd.DataFrame(out, columns=["doc_id", "copy", "kind", "frame", "value"])
+
+    return values
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """Everything that may be residue, from one pass over (doc_id, text); see _analyse."""
-    rows = docs.select("doc_id", "text").dropna()
-    return rows.mapInPandas(_analyse, "doc_id long, kind string, frame string, value string, around string, flag boolean, words int, context int")
+    """Everything that may be residue, from one pass over (doc_id, copy, text); see _analyse."""
+    return docs.mapInPandas(_analyse, MARKS)
+
+
+def _filters(found: DataFrame) -> dict[str, bytes]:
+    """A byte for each number below FILTER, by kind of number: what the second pass looks for. Its size doesn't depend on the table."""
+    out = {}
+    for name, kinds, column in (("last", ("slot", "cue"), "first"), ("halves", ("slot", "cue"), "half"), ("frames", ("slot", "cue"), "whole"), ("starts", ("unit",), "first"), ("units", ("unit",), "whole")):
+        bits = np.zeros(FILTER, np.uint8)
+        bits[found.where(F.col("kind").isin(*kinds)).select(column).distinct().toArrow().column(0).to_numpy()] = 1
+        out[name] = bits.tobytes()
+    return out
 
 
 def reasons(docs: DataFrame) -> DataFrame:
     """(doc_id, reason): slot, filler or page for each text that holds residue; a text may have several.
 
-    slot: a form of SLOTS stands where a value should. It is fixed wording
-    instead, if its frame (three words on either side, within the sentence)
-    has just this value in at least REPEATED different surroundings; in a
-    frame that is seen less often, the sentence's words decide. Copies of one
-    text have equal surroundings and so count once. filler: a sentence of
-    filler text. page: sentences that tell of an error or ask for scripts,
-    site navigation, and sentences that recur on such pages make up
-    MOST_SHARE of the words. Null, empty and blank texts and null ids give no
-    rows; repeated rows count once.
+    slot: a form of SLOTS stands where a value should, unless it is fixed
+    wording: the only value of its frame in all texts, in a sentence that
+    talks about it. A blank, default or name in another syntax is a slot if
+    its frame has several values in at least REPEATED different texts, and
+    three words at least. filler: a sentence of filler text. page: sentences
+    that tell of an error or ask for scripts, site navigation (links that
+    recur), and sentences that recur on such pages make up MOST_SHARE of the
+    words; or a short page with a word of trouble that recurs as a whole, but
+    for numbers, in REPEATED texts that aren't equal. Copies of one text
+    count once. Null, empty and blank texts and null ids give no rows.
     """
-    found = materialise(marks(docs), "marks")
-    slots = found.where("kind = 'slot'")
-    frames = slots.groupBy("frame").agg(F.approx_count_distinct("value").alias("values"), F.approx_count_distinct("around").alias("times"), F.max("context").alias("width"), F.count("*").alias("n"))
-    total = slots.count()
-    placed = join_counted(slots.select("doc_id", "frame", "flag"), frames, ["frame"], "n", total)
-    fixed = (F.col("values") == 1) & (F.col("times") >= REPEATED) & (F.col("width") >= 3)
-    # one value in a frame that is rarely seen: talk if its sentence says so
-    slot = placed.where(~(fixed | (F.col("flag") & (F.col("values") == 1)))).select("doc_id", F.lit("slot").alias("reason"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("copy"), "text").dropna()
+    found = materialise(marks(rows), "marks")
+    second = materialise(rows.mapInPandas(_values(_filters(found)), "doc_id long, copy long, kind string, frame string, value string"), "values")
+    slots = found.where("kind IN ('slot', 'cue')")
+    fills = second.where("kind = 'fill'")
+    every = slots.select("frame", "copy", "value", F.lit(1).alias("own")).unionByName(fills.select("frame", "copy", "value", F.lit(0).alias("own")))
+    frames = every.groupBy("frame").agg(F.sum("own").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.count_distinct("copy").alias("times")).where("n > 0")
+    placed = join_counted(slots.select("doc_id", "kind", "frame", "flag", "words"), frames, ["frame"], "n", slots.count())
+    varies = F.col("low") != F.col("high")
+    known = (F.col("kind") == "slot") & (varies | ~F.col("flag"))
+    induced = (F.col("kind") == "cue") & varies & ~F.col("flag") & (F.col("times") >= REPEATED) & (F.col("words") >= 3)
+    slot = placed.where(known | induced).select("doc_id", F.lit("slot").alias("reason"))
     filler = found.where("kind = 'filler'").select("doc_id", F.lit("filler").alias("reason"))
-    units = found.where("kind = 'unit'")
-    shapes = units.groupBy("frame").agg(F.count("*").alias("n"), F.avg(F.col("flag").cast("int")).alias("on_pages"))
-    shapes = shapes.withColumn("times", F.col("n"))
-    aligned = join_counted(units.select("doc_id", "frame", "value", "words"), shapes, ["frame"], "n", units.count())
-    template = (F.col("value") != "") | ((F.col("times") >= REPEATED) & (F.col("on_pages") >= 0.8))
-    pages = aligned.groupBy("doc_id").agg(
-        (F.sum(F.when(template, F.col("words")).otherwise(0)) / F.sum("words")).alias("share"), F.max((F.col("value") == "bad").cast("int")).alias("bad")
-    )
-    page = pages.where((F.col("bad") == 1) & (F.col("share") >= MOST_SHARE)).select("doc_id", F.lit("page").alias("reason"))
+
+    units = found.where("kind = 'unit'").select("doc_id", "copy", "frame", "value", "flag", "words")
+    total = units.count()
+    seen = second.where("kind = 'seen'").select("frame", "copy").distinct()
+    shapes = materialise(seen.groupBy("frame").agg(F.count("*").alias("times")).join(units.groupBy("frame").agg(F.count("*").alias("n")), "frame"), "shapes")
+    first = materialise(join_counted(units, shapes, ["frame"], "n", total), "units")
+    sure = (F.col("value") != "") | (F.col("flag") & (F.col("times") >= REPEATED))
+
+    def pages(rows: DataFrame, template) -> DataFrame:
+        share = F.sum(F.when(template, F.col("words")).otherwise(0)) / F.sum("words")
+        return rows.groupBy("doc_id").agg(share.alias("share"), F.max((F.col("value") == "bad").cast("int")).alias("bad")).where((F.col("bad") == 1) & (F.col("share") >= MOST_SHARE)).select("doc_id")
+
+    on = first.join(pages(first, sure), "doc_id", "left_semi").groupBy("frame").agg(F.count_distinct("copy").alias("on_pages"))
+    learnt = shapes.join(on, "frame", "left").select("frame", "n", (F.coalesce("on_pages", F.lit(0)) / F.col("times")).alias("on_pages"))
+    aligned = join_counted(first, learnt, ["frame"], "n", total)
+    page = pages(aligned, sure | ((F.col("times") >= REPEATED) & (F.col("on_pages") >= 0.8)))
+    whole = found.where("kind = 'whole'")
+    again = whole.groupBy("frame").agg(F.count("*").alias("n"), F.count_distinct("copy").alias("times")).where(F.col("times") >= REPEATED).drop("times")
+    page = page.unionByName(join_counted(whole.select("doc_id", "frame"), again, ["frame"], "n", whole.count(), "left_semi").select("doc_id")).select("doc_id", F.lit("page").alias("reason"))
     return slot.unionByName(filler).unionByName(page).distinct()
 
 

@@ -277,3 +277,14 @@ def test_residue_by_alignment(spark):
     slots = [(100 + i, f"Note {chr(97 + i)} is here. Our manual puts {v} after every row of runs.") for i, v in enumerate(["@@site@@", "{{site}}", "[[site]]", "7"])]
     df = spark.createDataFrame(fixed + slots, "doc_id long, text string")
     assert {r["doc_id"] for r in residue.found(df).collect()} == {100, 101, 102}
+
+
+def test_residue_of_unlisted_syntaxes(spark):
+    # blanks, defaults and names in any syntax are slots where other records fill the frame, and only there
+    values = ["Anna", "Boris", "Carla Weiss", "", "undefined", "#NAME#", "N/A", "first_name"]
+    docs = [(i, f"Dear {v}, your job run{i} has finished and was stored.") for i, v in enumerate(values)]
+    docs += [(50, "Dear  your job run9 has finished and was stored."), (51, "The pointer was null, and the flag #NAME# is undefined in C."), (52, "Deux cibles ont 5 points ; le nom est N/A.")]
+    docs += [(100 + i, f"Whoops, we lost this view. Ticket {i} was filed with our crew.") for i in range(4)]
+    docs += [(200, "Whoops, we lost this view of the cabin. The crew read it again.")] + [(300 + i, "Equal copies that name an error once.") for i in range(5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"] for r in residue.found(df).collect()} == {3, 4, 5, 6, 7, 50, 100, 101, 102, 103}
