@@ -288,3 +288,13 @@ def test_residue_of_unlisted_syntaxes(spark):
     docs += [(200, "Whoops, we lost this view of the cabin. The crew read it again.")] + [(300 + i, "Equal copies that name an error once.") for i in range(5)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r["doc_id"] for r in residue.found(df).collect()} == {3, 4, 5, 6, 7, 50, 100, 101, 102, 103}
+
+
+def test_residue_of_a_constant_name(spark):
+    # the same name in many different documents stays a slot, filled elsewhere or not; wording that talks about it does not
+    openings = ["Notes of the week.", "Minutes of the panel.", "Report from the pier.", "Letter to the cabin."]
+    docs = [(i, f"{x} Dear {{{{name}}}}, your job has finished.") for i, x in enumerate(openings)]
+    docs += [(10 + i, f"{x} The tool prints {{{{name}}}} for each leaf.") for i, x in enumerate(openings)]
+    docs += [(20 + i, f"{x} Our form prints {{{{site}}}} beside the date.") for i, x in enumerate(openings)] + [(30, "Our form prints north pier beside the date.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"] for r in residue.found(df).collect()} == {0, 1, 2, 3, 20, 21, 22, 23}
