@@ -298,3 +298,13 @@ def test_residue_of_a_constant_name(spark):
     docs += [(20 + i, f"{x} Our form prints {{{{site}}}} beside the date.") for i, x in enumerate(openings)] + [(30, "Our form prints north pier beside the date.")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r["doc_id"] for r in residue.found(df).collect()} == {0, 1, 2, 3, 20, 21, 22, 23}
+
+
+def test_residue_under_long_navigation(spark):
+    # navigation is learnt from recurrence, whatever its share and form; sentences are compared to their ends
+    links = "\n".join(f"{a} of the {b}" for a in ("Maps", "Lists", "Names", "Tables", "Trees") for b in ("coast", "plain", "hills", "river"))
+    docs = [(i, f"{links}\n404 Not Found\nTicket {chr(97 + i)} here") for i in range(4)]
+    long = "The reads of the northern pier were taken by the crew in the early morning of a cold day and " * 3
+    docs += [(10 + i, f"404 Not Found\n{long}{x}.") for i, x in enumerate(["were lost", "came back in time", "went to the lab", "are kept at the cabin"])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"] for r in residue.found(df).collect()} == {0, 1, 2, 3}
