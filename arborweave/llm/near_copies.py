@@ -35,8 +35,10 @@ from arborweave.session import materialise
 
 PIECE = 12
 SEED, WINDOW = 20, 11
-#: Records with fewer pieces are short: their tie is the prefix filter.
+#: Records with fewer different pieces are short: their tie is the prefix filter.
 SHORT = 50
+#: Rows with a smaller share of different pieces among their windows are repetitive and have the prefix filter as well.
+REPETITIVE = 0.8
 #: Most records of a component that are compared in one group; larger ones are divided.
 GROUP = 8192
 TILE = 128
@@ -78,20 +80,24 @@ def seeds(texts: pa.Array, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(at), bool)
     new[1:] = (word[1:] != word[:-1]) | (row[1:] != row[:-1])
     row, word = row[new], word[new]
-    keep = pieces[row] >= SHORT
+    # the different pieces of each row, in hash order
+    count = np.maximum(pieces, 0)
+    of = np.repeat(np.arange(len(size)), count)
+    h = packed.mixed(packed.window_codes(letters_, PIECE))[packed.spread(offsets[:-1], count)] if len(of) else np.zeros(0, np.uint64)
+    order = np.lexsort((h, of))
+    h, of = h[order], of[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+    h, of = h[new], of[new]
+    n = np.bincount(of, minlength=len(size))
+    keep = n[row] >= SHORT
     row, word = row[keep], word[keep] | np.uint64(1)  # the lowest bit tells the two kinds apart
-    # short, and those that may resemble a short one: the first pieces in hash order
-    short = np.flatnonzero((pieces > 0) & (pieces * threshold < SHORT))
-    if len(short):
-        start = packed.spread(offsets[:-1][short], pieces[short])
-        of = np.repeat(short, pieces[short])
-        h = packed.mixed(packed.window_codes(letters_, PIECE))[start]
-        order = np.lexsort((h, of))
-        h, of = h[order], of[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-        h, of = h[new], of[new]
-        n = np.bincount(of, minlength=len(size))
+    # few pieces, those that may resemble such a row, and rows with many repeats: the first pieces in hash order
+    short = (n > 0) & ((n * threshold < SHORT) | (n < REPETITIVE * count))
+    if short.any():
+        keep = short[of]
+        h, of = h[keep], of[keep]
+        n = np.where(short, n, 0)
         rank = np.arange(len(of)) - (np.cumsum(n) - n)[of]
         first = rank < n[of] - np.ceil(threshold * n[of] - 1e-9) + 1
         row, word = np.concatenate([row, of[first]]), np.concatenate([word, h[first] & ~np.uint64(1)])

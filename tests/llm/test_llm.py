@@ -308,3 +308,12 @@ def test_residue_under_long_navigation(spark):
     docs += [(10 + i, f"404 Not Found\n{long}{x}.") for i, x in enumerate(["were lost", "came back in time", "went to the lab", "are kept at the cabin"])]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r["doc_id"] for r in residue.found(df).collect()} == {0, 1, 2, 3}
+
+
+def test_near_copies_of_tandem_repeats(spark):
+    # equal sets of pieces in very different numbers of windows
+    rng = random.Random(31)
+    unit, wide = dna(rng, 30), dna(rng, 70)
+    data = [(1, (unit * 2)[:51]), (2, (unit * 8)[:211]), (3, (wide * 2)[:100]), (4, (wide * 12)[:800]), (5, dna(rng, 300))]
+    df = spark.createDataFrame([(p, s, None) for p, s in data], "pos long, sequence string, loaded_at timestamp")
+    assert {(1, 2), (3, 4)} == {tuple(r) for r in near_copies.found(df).select("pos_1", "pos_2").collect()}
