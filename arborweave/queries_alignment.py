@@ -171,8 +171,9 @@ def guided_placement(spark, sf):
 
 @query
 def discarded_queries(spark, sf):
-    c = materialise(_candidates(spark, sf, 1), "candidates")
-    return placement.discarded(c.select("query").distinct(), placement.place_all(c, options=_options(spark, sf)))
+    """All named records that place_fragments places nowhere, those without hits or without a record of their nodes included."""
+    named = records(spark, sf).where("name IS NOT NULL").select(F.col("name").alias("query")).distinct()
+    return placement.discarded(named, place_fragments(spark, sf))
 
 
 def _piles(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

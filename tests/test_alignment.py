@@ -224,3 +224,12 @@ def test_local_alignment(spark):
     q = spark.createDataFrame([(1, text[20:80]), (2, "ACGT"), (3, None)], "query long, q_text string")
     t = spark.createDataFrame([(7, text), (8, None)], "target long, t_text string")
     assert rows(placement.search(q, t)) == [(1, 7, 300.0, 0, 60, 20, 80)]
+
+
+def test_discarded_are_all_that_are_placed_nowhere(spark):
+    from arborweave import queries_alignment as Q
+
+    sf = "/root/testdata/sf0.001"
+    named = {r["name"] for r in Q.records(spark, sf).select("name").collect()} - {None}
+    placed = {r["query"] for r in Q.place_fragments(spark, sf).select("query").collect()}
+    assert {r["query"] for r in Q.discarded_queries(spark, sf).collect()} == named - placed
