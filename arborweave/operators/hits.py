@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborweave.operators.skew import join_skewed
+from arborweave.operators.skew import heavy_keys, join_skewed
 
 #: query q_start q_end q_strand target t_start t_end t_strand score
 SUGAR = r"^(?:sugar|vulgar):\s+(\S+)\s+(\d+)\s+(\d+)\s+([-+.])\s+(\S+)\s+(\d+)\s+(\d+)\s+([-+.])\s+(-?\d+)"
@@ -91,11 +91,14 @@ def exact_anchors(pairs: DataFrame, k: int = 10) -> DataFrame:
     return seeds.withColumn("run", run).groupBy("id", "d", "run").agg(F.min("i").alias("start_1"), F.min("j").alias("start_2"), (F.count("*") + k - 1).alias("length")).select("id", "start_1", "start_2", "length")
 
 
-def shared_kmers(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
-    """(a, b, n): how many different k-mers two records (id, text) of the sides share; a k-mer that most records hold is joined by broadcast."""
+def shared_kmers(left: DataFrame, right: DataFrame, k: int, salts: int = 16) -> DataFrame:
+    """(a, b, n): how many different k-mers two records (id, text) of the sides share; the rows of left of a k-mer that many of them hold are spread by a salt."""
     x = kmers(left, k, "id", "text").select(F.col("id").alias("a"), "kmer").distinct()
     y = kmers(right, k, "id", "text").select(F.col("id").alias("b"), "kmer").distinct()
-    return x.join(y, "kmer").groupBy("a", "b").agg(F.count("*").alias("n"))
+    hot = F.broadcast(heavy_keys(x, "kmer", 0.001).select("kmer", F.lit(True).alias("hot")))
+    x = x.join(hot, "kmer", "left").select("a", "kmer", F.when(F.col("hot"), F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int")).otherwise(0).alias("salt"))
+    y = y.join(hot, "kmer", "left").select("b", "kmer", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    return x.join(y, ["kmer", "salt"]).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def chain_anchors(anchors: list[tuple[int, int, int, float]], trim: int = 0) -> list[tuple[int, int, int, float]]:

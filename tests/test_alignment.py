@@ -233,3 +233,17 @@ def test_discarded_are_all_that_are_placed_nowhere(spark):
     named = {r["name"] for r in Q.records(spark, sf).select("name").collect()} - {None}
     placed = {r["query"] for r in Q.place_fragments(spark, sf).select("query").collect()}
     assert {r["query"] for r in Q.discarded_queries(spark, sf).collect()} == named - placed
+
+
+def test_local_search_on_both_strands_and_by_score(spark):
+    rng = random.Random(5)
+    text = "".join(rng.choice("ACGT") for _ in range(90))
+    flipped = text.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    # 10 targets of many shared words and a low score, one of a higher score and few exact words
+    short = [(i, text[:45]) for i in range(10)]
+    spoilt = "".join(("A" if c != "A" else "C") if i % 14 == 13 else c for i, c in enumerate(text))
+    q = spark.createDataFrame([(1, text), (2, flipped[10:70])], "query long, q_text string")
+    t = spark.createDataFrame([*short, (50, spoilt), (60, text)], "target long, t_text string")
+    got = rows(placement.search(q, t))
+    assert {r[1] for r in got if r[0] == 1} >= {50, 60} and len([r for r in got if r[0] == 1]) == 10
+    assert (2, 60, 300.0, 60, 0, 20, 80) in got
