@@ -51,6 +51,7 @@ class Settings:
     exonerate_local_keep_best: int = 10
     exonerate_local_keep_above: float = -1.0
     exonerate_gapped_keep_best: int = 3
+    placement_rounds: int = 0  # one query after the other per node; else so many equal portions
     output_discarded_queries: bool = False
     # pile-up and contigs
     pileup_alignment: bool = False

@@ -112,7 +112,7 @@ def place(spark: SparkSession, settings: Settings) -> DataFrame:
         placed = placement.place_all(candidates.join(queries, "query").join(texts.drop("tid", "height", "sequence"), "node"), one_only=settings.one_placement_only, **limits)
     else:
         order = R.global_rank(queries.select("query", "q_text", "pos"), [F.col("pos")])
-        placed = placement.place_in_turn(order, texts.select("node", "t_text"), candidates, 2, **limits)
+        placed = placement.place_in_turn(order, texts.select("node", "t_text"), candidates, settings.placement_rounds or None, **limits)
     placed = materialise(placed, "placed")
     placed.withColumn("value", F.concat_ws("\t", "query", "node", F.format_number("score", 4), F.format_number("overlap", 4), F.format_number("identity", 4))).select("value").write.text(f"{settings.outfile}.placements")
     _extended(tree, rows_all, placed, queries, options, settings)

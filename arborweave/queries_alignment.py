@@ -153,11 +153,11 @@ def place_fragments(spark, sf):
 
 @query
 def place_one_by_one(spark, sf):
-    """Placement in two rounds, the queries of the first being targets in the second."""
-    c = materialise(_candidates(spark, sf, 2), "candidates")
+    """Placement of one query after the other, each being a target for the next of its nodes."""
+    c = materialise(_candidates(spark, sf), "candidates")
     queries = c.groupBy("query").agg(F.first("q_text").alias("q_text"))
     queries = R.global_rank(queries, [F.length("q_text").desc(), F.col("query")])
-    return placement.place_in_turn(queries, c.select("node", "t_text").distinct(), c.select("query", "node"), 2, options=_options(spark, sf))
+    return placement.place_in_turn(queries, c.select("node", "t_text").distinct(), c.select("query", "node"), options=_options(spark, sf))
 
 
 @query

@@ -247,3 +247,16 @@ def test_local_search_on_both_strands_and_by_score(spark):
     got = rows(placement.search(q, t))
     assert {r[1] for r in got if r[0] == 1} >= {50, 60} and len([r for r in got if r[0] == 1]) == 10
     assert (2, 60, 300.0, 60, 0, 20, 80) in got
+
+
+def test_placement_in_turn_is_sequential(spark):
+    # each query is nearest to the one before it; the portions were blind to their own
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ACGT") for _ in range(120))]
+    for k in range(4):
+        texts.append("".join({"A": "C", "C": "G", "G": "T", "T": "A"}[c] if i % 30 == 7 * k else c for i, c in enumerate(texts[-1])))
+    q = spark.createDataFrame([(f"q{k}", k, texts[k]) for k in range(1, 5)], "query string, place int, q_text string")
+    t = spark.createDataFrame([("n", texts[0])], "node string, t_text string")
+    c = spark.createDataFrame([(f"q{k}", "n") for k in range(1, 5)], "query string, node string")
+    got = placement.place_in_turn(q, t, c)
+    assert [(r["query"], r["node"], r["round"]) for r in got.orderBy("query").collect()] == [("q1", "n", 0), ("q2", "q1", 1), ("q3", "q2", 2), ("q4", "q3", 3)]
