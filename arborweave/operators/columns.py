@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arborweave.functions import packed
+
 # Base sets as bit masks, A=1 C=2 G=4 T=8, in the order of the public one-letter codes. Fixed values.
 IUPAC = {"A": 1, "C": 2, "G": 4, "T": 8, "R": 5, "Y": 10, "M": 3, "K": 12, "W": 9, "S": 6, "B": 14, "D": 13, "H": 11, "V": 7, "N": 15}
 LETTER = {mask: letter for letter, mask in IUPAC.items()}
@@ -38,6 +44,46 @@ def column_counts(long: DataFrame, group: str = "group", weight: Column | None =
     return long.groupBy(group, "col").agg(*sums, F.sum(F.when(F.col("symbol") != "-", w).otherwise(0)).alias("n"))
 
 
+_MASKS = np.zeros(256, np.uint8)
+for _letter, _mask in IUPAC.items():
+    _MASKS[ord(_letter)] = _mask
+
+
+def _count_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(group, weight, shift, text) -> partial counts per group and column of the batch."""
+    for batch in batches:
+        letters, offsets = packed.letters_of(batch.column(3))
+        size = np.diff(offsets)
+        names = batch.column(0).dictionary_encode()
+        of, weight, shift = names.indices.to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+        cell = np.repeat(of.astype(np.int64) << 40, size) | (np.arange(len(letters)) - np.repeat(offsets[:-1] - shift, size))
+        w = np.repeat(weight, size)
+        keys, at = np.unique(cell, return_inverse=True)
+        mask = _MASKS[letters]
+
+        def total(on: np.ndarray, keys: np.ndarray = keys, at: np.ndarray = at, w: np.ndarray = w) -> pa.Array:
+            out = np.zeros(len(keys), np.int64)
+            np.add.at(out, at[on], w[on])
+            return pa.array(out)
+
+        sums = [total(mask & (1 << i) != 0) for i in range(4)]
+        yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(keys >> 40)), pa.array((keys & ((1 << 40) - 1)).astype(np.int32)), *sums, total(letters != ord("-"))], ["group", "col", "a", "c", "g", "t", "n"])
+
+
+def row_counts(rows: DataFrame, text: str = "sequence", weight: Column | None = None, shift: str | None = None) -> DataFrame:
+    """column_counts() of whole rows (group, text), without a row per letter.
+
+    Each batch of rows is counted by numpy, and one row per group and column
+    of the batch is shuffled, summed before by Spark's partial aggregate. Null
+    and empty texts count nowhere; weights are whole numbers.
+    """
+    w = (weight if weight is not None else F.lit(1)).cast("long")
+    at = F.col(shift).cast("long") if shift else F.lit(0).cast("long")
+    given = rows.where(F.length(text) > 0).select(F.col("group").cast("string").alias("group"), w.alias("w"), at.alias("at"), _ascii(F.col(text)).alias("text")).dropna()
+    partial = given.mapInArrow(_count_letters, "group string, col int, a long, c long, g long, t long, n long")
+    return partial.groupBy("group", "col").agg(*(F.sum(c).alias(c) for c in ("a", "c", "g", "t", "n")))
+
+
 def consensus(counted: DataFrame, least: Column | int = 1) -> DataFrame:
     """counted plus symbol: the base of the highest count, or the code of all bases that tie for it; - below `least`."""
     top = F.greatest("a", "c", "g", "t")
@@ -80,24 +126,51 @@ def overlap_identity(pairs: DataFrame, a: str = "a", b: str = "b", key: str = "i
     return rows.select(key, F.when(F.col("size") > 0, aligned / F.col("size")).otherwise(0.0).alias("overlap"), F.when(aligned > 0, equal / aligned).otherwise(0.0).alias("identity"))
 
 
+def _ascii(text: Column) -> Column:
+    """Upper case, with one ? for each character outside of ASCII, so that letters are bytes."""
+    return F.regexp_replace(F.upper(text), r"[^\x00-\x7F]", "?")
+
+
+def _events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, parent, child) -> the events of each pair, by numpy over the letters of a whole batch."""
+    for batch in batches:
+        p, p_at = packed.letters_of(batch.column(1))
+        c, c_at = packed.letters_of(batch.column(2))
+        size = np.minimum(np.diff(p_at), np.diff(c_at))
+        x, y = p[packed.spread(p_at[:-1], size)], c[packed.spread(c_at[:-1], size)]
+        row = np.repeat(np.arange(len(size)), size)
+        col = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + 1
+        gap = np.uint8(ord("-"))
+        live = (x != gap) | (y != gap)  # columns in which both have gaps neither count nor break a run
+        x, y, row, col = x[live], y[live], row[live], col[live]
+        kind = np.where(x == gap, 1, np.where(y == gap, 2, np.where(x != y, 3, 0)))
+        change = np.ones(len(kind), bool)
+        change[1:] = (kind[1:] != kind[:-1]) | (row[1:] != row[:-1]) | (kind[1:] == 3)
+        first = np.flatnonzero(change)
+        last = np.append(first[1:], len(kind)) - 1
+        keep = kind[first] > 0
+        first, last = first[keep], last[keep]
+        what, none = kind[first], kind[first] != 3
+        names = pa.array(["same", "insertion", "deletion", "substitution"])
+        one = np.ones(len(first), np.int64)
+        states = [pa.array(packed.strings(v, first, one).to_numpy(zero_copy_only=False), pa.string(), mask=none) for v in (x, y)]
+        columns = [batch.column(0).take(pa.array(row[first])), names.take(pa.array(what)), pa.array(col[first], pa.int32()), pa.array(col[last], pa.int32()), *states]
+        yield pa.RecordBatch.from_arrays(columns, ["k", "kind", "start", "end", "from_state", "to_state"])
+
+
 def branch_events(pairs: DataFrame, key: str = "branch") -> DataFrame:
     """(branch, kind, start, end, from_state, to_state) between aligned rows parent and child of one branch.
 
     substitution: both have different residues in a column; insertion and
     deletion: maximal runs where only the child or only the parent has one
     (columns where both have gaps neither count nor break a run). Columns
-    count from 1. A run that lasts to the end is reported as well.
+    count from 1, the longer row's surplus doesn't count. A run that lasts to
+    the end is reported as well. Null texts give no rows. Each pair is read
+    where it lies: nothing is shuffled.
     """
-    both = cells(pairs.where("parent IS NOT NULL AND child IS NOT NULL").select(F.col(key).alias("k"), "parent", F.upper("child").alias("c")), "parent")
-    both = both.select("k", (F.col("col") + 1).alias("col"), F.upper("symbol").alias("p"), F.expr("substring(c, col + 1, 1)").alias("q"))
-    kind = F.when((F.col("p") == "-") & (F.col("q") != "-"), "insertion").when((F.col("p") != "-") & (F.col("q") == "-"), "deletion").when(F.col("p") != F.col("q"), "substitution").otherwise("same")
-    rows = both.where("NOT (p = '-' AND q = '-') AND q <> ''").withColumn("kind", kind)
-    w = Window.partitionBy("k").orderBy("col")
-    rows = rows.withColumn("run", F.row_number().over(w) - F.row_number().over(Window.partitionBy("k", "kind").orderBy("col")))
-    subs = rows.where("kind = 'substitution'").select(F.col("k").alias(key), "kind", F.col("col").alias("start"), F.col("col").alias("end"), F.col("p").alias("from_state"), F.col("q").alias("to_state"))
-    gaps = rows.where("kind IN ('insertion', 'deletion')").groupBy("k", "kind", "run").agg(F.min("col").alias("start"), F.max("col").alias("end"))
-    none = F.lit(None).cast("string")
-    return subs.unionByName(gaps.select(F.col("k").alias(key), "kind", "start", "end", none.alias("from_state"), none.alias("to_state")))
+    rows = pairs.where("parent IS NOT NULL AND child IS NOT NULL").select(F.col(key).alias("k"), _ascii(F.col("parent")).alias("p"), _ascii(F.col("child")).alias("c"))
+    kind = dict(rows.dtypes)["k"]
+    return rows.mapInArrow(_events, f"k {kind}, kind string, start int, end int, from_state string, to_state string").withColumnRenamed("k", key)
 
 
 def pair_distances(triples: DataFrame, key: str = "id") -> DataFrame:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborweave.functions import packed
 from arborweave.operators.skew import heavy_keys, join_skewed
+from arborweave.session import materialise
 
 #: query q_start q_end q_strand target t_start t_end t_strand score
 SUGAR = r"^(?:sugar|vulgar):\s+(\S+)\s+(\d+)\s+(\d+)\s+([-+.])\s+(\S+)\s+(\d+)\s+(\d+)\s+([-+.])\s+(-?\d+)"
@@ -54,16 +58,18 @@ def keep_best(merged: DataFrame, k: int | None = 10, above: float | None = None,
     query and target (see merge_hits); for raw hits with very large queries
     the grouped top-N operator is the scalable way.
     """
-    by = Window.partitionBy("query")
     if above is not None:
-        return merged.withColumn("best", F.max("score").over(by)).where(F.col("score") > above * F.col("best")).drop("best")
+        best = merged.groupBy("query").agg(F.max("score").alias("best"))
+        return join_skewed(merged, best, "query").where(F.col("score") > above * F.col("best")).select(*merged.columns)
+    # the window keeps k rows per query on each side of the shuffle (a group limit), so a hot query is small in it
+    by = Window.partitionBy("query")
     return merged.withColumn("rank", F.row_number().over(by.orderBy(F.col("score").desc(), target))).where(F.col("rank") <= k)
 
 
 def best_with_ties(merged: DataFrame, target: str = "node", one_only: bool = False) -> DataFrame:
     """(query, target, score): all targets of the best score of each query, or with one_only the last of them in byte order."""
-    best = merged.groupBy("query").agg(F.max("score").alias("score"))
-    rows = merged.join(best, ["query", "score"]).select("query", target, "score")
+    best = merged.groupBy("query").agg(F.max("score").alias("best"))
+    rows = join_skewed(merged, best, "query").where("score = best").select("query", target, "score")
     return rows.groupBy("query", "score").agg(F.max(target).alias(target)).select("query", target, "score") if one_only else rows
 
 
@@ -72,35 +78,114 @@ def accepted(rows: DataFrame, least_overlap: float = 0.5, least_identity: float
     return rows.where((F.col("overlap") > least_overlap) & (F.col("identity") > least_identity))
 
 
-def kmers(records: DataFrame, k: int, key: str = "pos", text: str = "sequence") -> DataFrame:
-    """(key, at, kmer): every window of k letters; starts count from 0. Shorter and null texts give no rows."""
-    starts = F.sequence(F.lit(0), F.length(text) - k)
-    return records.where(F.length(text) >= k).select(key, text, F.explode(starts).alias("at")).select(key, "at", F.expr(f"substring({text}, at + 1, {k})").alias("kmer"))
+def _windows(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(letters, row, at, code) of every window of k letters; at counts from the row's start."""
+    letters, offsets = packed.letters_of(texts)
+    code = packed.window_codes(letters, k)
+    start = np.flatnonzero(packed.inside(offsets, k, len(letters))) if len(code) else np.zeros(0, np.int64)
+    row = np.searchsorted(offsets, start, "right") - 1
+    return letters, row, start - offsets[row], code[start]
+
+
+def _row_kmers(k: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(id, text) -> (id, code), different codes of a row once."""
+        for batch in batches:
+            _, row, _, code = _windows(batch.column(1), k)
+            code = packed.mixed(code)
+            order = np.lexsort((code, row))
+            row, code = row[order], code[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (code[1:] != code[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[new])), pa.array(code[new].view(np.int64))], ["id", "code"])
+
+    return rows
+
+
+def kmers(records: DataFrame, k: int) -> DataFrame:
+    """(id, code): the different windows of k letters of each record (id, text), as 64-bit codes.
+
+    Codes of up to 12 letters A to Z are one to one, longer ones are hashes.
+    Null and shorter texts give no rows; ids are taken to be unique.
+    """
+    text = F.regexp_replace("text", r"[^\x00-\x7F]", "?")
+    rows = records.where(F.length("text") >= k).select("id", text.alias("text"))
+    return rows.mapInArrow(_row_kmers(k), f"id {dict(rows.dtypes)['id']}, code long")
+
+
+def _anchors(k: int):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, row, i, code = _windows(batch.column(1), k)
+            y, other, j, wanted = _windows(batch.column(2), k)
+            x_at = packed.letters_of(batch.column(1))[1]
+            y_at = packed.letters_of(batch.column(2))[1]
+            key = packed.mixed(code) ^ packed.mixed(row.astype(np.uint64) + np.uint64(1))
+            at = packed.mixed(wanted) ^ packed.mixed(other.astype(np.uint64) + np.uint64(1))
+            order = np.argsort(at, kind="stable")
+            low, high = np.searchsorted(at[order], key, "left"), np.searchsorted(at[order], key, "right")
+            left = np.repeat(np.arange(len(key)), high - low)
+            right = order[packed.spread(low, high - low)]
+            row, i, j, mate = row[left], i[left], j[right], other[right]
+            same = row == mate
+            for letter in range(k):  # chance hits of the codes go
+                same &= x[x_at[row] + i + letter] == y[y_at[mate] + j + letter]
+            row, i, j = row[same], i[same], j[same]
+            order = np.lexsort((i, j - i, row))
+            row, i, j = row[order], i[order], j[order]
+            first = np.ones(len(row), bool)
+            first[1:] = (row[1:] != row[:-1]) | ((j - i)[1:] != (j - i)[:-1]) | (i[1:] != i[:-1] + 1)
+            at = np.flatnonzero(first)
+            length = np.diff(np.append(at, len(row))) + k - 1
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row[at])), pa.array(i[at], pa.int32()), pa.array(j[at], pa.int32()), pa.array(length, pa.int64())], ["id", "start_1", "start_2", "length"]
+            )
+
+    return find
 
 
 def exact_anchors(pairs: DataFrame, k: int = 10) -> DataFrame:
     """(id, start_1, start_2, length): maximal common substrings of at least k letters of text_1 and text_2, per row of pairs.
 
-    The seeds of a pair are joined on their k letters; seeds on one diagonal
-    that touch are one anchor. Pairs with a null text give no rows.
+    Each pair is worked on where it lies: its seeds meet by their codes, and
+    seeds that touch on one diagonal are one anchor. Pairs with a null text
+    give no rows.
     """
-    a = kmers(pairs.select("id", F.col("text_1").alias("t")), k, "id", "t").withColumnRenamed("at", "i")
-    b = kmers(pairs.select("id", F.col("text_2").alias("t")), k, "id", "t").withColumnRenamed("at", "j")
-    seeds = a.join(b, ["id", "kmer"]).select("id", "i", "j", (F.col("j") - F.col("i")).alias("d"))
-    run = F.col("i") - F.row_number().over(Window.partitionBy("id", "d").orderBy("i"))
-    return seeds.withColumn("run", run).groupBy("id", "d", "run").agg(F.min("i").alias("start_1"), F.min("j").alias("start_2"), (F.count("*") + k - 1).alias("length")).select("id", "start_1", "start_2", "length")
+    texts = [F.regexp_replace(c, r"[^\x00-\x7F]", "?").alias(c) for c in ("text_1", "text_2")]
+    rows = pairs.where("text_1 IS NOT NULL AND text_2 IS NOT NULL").select("id", *texts)
+    return rows.mapInArrow(_anchors(k), f"id {dict(rows.dtypes)['id']}, start_1 int, start_2 int, length long")
 
 
 def shared_kmers(left: DataFrame, right: DataFrame, k: int, salts: int = 16) -> DataFrame:
-    """(a, b, n): how many different k-mers two records (id, text) of the sides share; the rows of left of a k-mer that many of them hold are spread by a salt."""
-    x = kmers(left, k, "id", "text").select(F.col("id").alias("a"), "kmer").distinct()
-    y = kmers(right, k, "id", "text").select(F.col("id").alias("b"), "kmer").distinct()
+    """(a, b, n): how many different k-mers a record of left shares with one of right (id, text), for searches of few left records.
+
+    Each pair of records that shares a k-mer is a row, so left is a set of
+    queries; shared_parts() tells the same of whole tables without pairs.
+    The rows of left of a k-mer that many of them hold are spread by a salt.
+    """
+    x = materialise(kmers(left, k).select(F.col("id").alias("a"), F.col("code").alias("kmer")), "kmers")
+    y = kmers(right, k).select(F.col("id").alias("b"), F.col("code").alias("kmer"))
     hot = F.broadcast(heavy_keys(x, "kmer", 0.001).select("kmer", F.lit(True).alias("hot")))
     x = x.join(hot, "kmer", "left").select("a", "kmer", F.when(F.col("hot"), F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int")).otherwise(0).alias("salt"))
     y = y.join(hot, "kmer", "left").select("b", "kmer", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
     return x.join(y, ["kmer", "salt"]).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
+def shared_parts(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """(a, n_kmers, n_shared, n_holders) for each record of left (id, text) that has a k-mer.
+
+    n_kmers: its different k-mers; n_shared: those that a record of right
+    holds; n_holders: the records of right that hold them, added up. Right is
+    counted per k-mer before the join (by a partial aggregate), so no pair of
+    records is ever formed, and k-mers that many records of left hold are
+    joined by broadcast.
+    """
+    x = materialise(kmers(left, k).select(F.col("id").alias("a"), "code"), "kmers")
+    held = kmers(right, k).groupBy("code").agg(F.count("*").alias("n"))
+    both = join_skewed(x, held, "code", "left")
+    return both.groupBy("a").agg(F.count("*").alias("n_kmers"), F.count("n").alias("n_shared"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_holders"))
+
+
 def chain_anchors(anchors: list[tuple[int, int, int, float]], trim: int = 0) -> list[tuple[int, int, int, float]]:
     """Anchors (start_1, start_2, length, score) that can hold together, in order.
 

@@ -16,13 +16,13 @@ def one_per_pos(records: DataFrame, order: str = "loaded_at") -> DataFrame:
     """One row for each pos: of repeated deliveries the first by `order`.
 
     Deliveries of equal time keep either (they are equal rows). Rows with a
-    null pos can't be identified with one another and all stay.
+    null pos can't be identified with one another and all stay. Every column
+    of records travels, so callers pass only those they need.
     """
-    known = records.where(F.col("pos").isNotNull())
     rest = [c for c in records.columns if c != "pos"]
     first = F.min_by(F.struct(*rest), F.struct(F.col(order).isNull(), F.col(order)))
-    kept = known.groupBy("pos").agg(first.alias("r")).select("pos", "r.*")
-    return kept.unionByName(records.where(F.col("pos").isNull()))
+    alone = F.when(F.col("pos").isNull(), F.monotonically_increasing_id())
+    return records.withColumn("__alone", alone).groupBy("pos", "__alone").agg(first.alias("r")).select("pos", "r.*")
 
 
 def keyed_records(records: DataFrame) -> DataFrame:

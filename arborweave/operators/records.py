@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborweave.functions import codons, packed
 from arborweave.functions import sequences as S
 
 
@@ -15,9 +20,11 @@ def number_names(records: DataFrame, mark: str = ".", first_too: bool = False) -
     The first copy keeps its name unless first_too (as writers want), in which
     case all copies of a repeated name are numbered from 1. Null names stay.
     """
-    rank = F.row_number().over(Window.partitionBy("name").orderBy("pos"))
+    # null names, which may be many, are no group
+    by = Window.partitionBy("name", F.when(F.col("name").isNull(), F.col("pos")))
+    rank = F.row_number().over(by.orderBy("pos"))
     if first_too:
-        n = F.count("*").over(Window.partitionBy("name"))
+        n = F.count("*").over(by)
         suffix = F.when(n > 1, F.concat(F.lit(mark), rank.cast("string"))).otherwise("")
     else:
         suffix = F.when(rank > 1, F.concat(F.lit(mark), (rank - 1).cast("string"))).otherwise("")
@@ -62,38 +69,62 @@ def homopolymers(records: DataFrame, least: int = 2) -> DataFrame:
     return records.select("pos", F.explode(acc).alias("r")).select("pos", "r.base", "r.start", "r.length")
 
 
+def _open_stretches(least: int, least_share: float, code: str):
+    amino = np.frombuffer((code + "X").encode(), np.uint8)
+    digit = np.full(256, 4, np.uint8)
+    digit[np.frombuffer(codons.BASES.encode(), np.uint8)] = np.arange(4)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(pos, dna) -> the stretches of the six frames of each row, for a whole batch at once."""
+        for batch in batches:
+            letters, offsets = packed.letters_of(batch.column(1))
+            forward = digit[letters].astype(np.int64)
+            # bases stand in the order TCAG, so the complement of a digit is two further
+            backward = np.where(forward < 4, forward ^ 2, 4)[::-1]
+            n_rows, size = len(offsets) - 1, np.diff(offsets)
+            for sign, digits, begin, width, of in ((1, forward, offsets[:-1], size, np.arange(n_rows)), (-1, backward, len(letters) - offsets[:0:-1], size[::-1], np.arange(n_rows)[::-1])):
+                for f in range(3):
+                    n = np.maximum(width - f, 0) // 3
+                    row = np.repeat(np.arange(n_rows), n)
+                    nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                    at = begin[row] + f + 3 * nth
+                    if not len(at):
+                        continue
+                    a, b, c = digits[at], digits[at + 1], digits[at + 2]
+                    protein = amino[np.where((a < 4) & (b < 4) & (c < 4), 16 * a + 4 * b + c, 64)]
+                    open_ = protein != ord("X")
+                    first, last = open_.copy(), open_.copy()
+                    first[1:] &= ~(open_[:-1] & (row[1:] == row[:-1]))
+                    last[:-1] &= ~(open_[1:] & (row[1:] == row[:-1]))
+                    first, last = np.flatnonzero(first), np.flatnonzero(last)
+                    length = last - first + 1
+                    keep = (length >= least) & (length >= least_share * n[row[first]])
+                    first, length = first[keep], length[keep]
+                    begins = f + 1 + 3 * nth[first]
+                    ends = begins + 3 * length - 1
+                    total = width[row[first]]
+                    start, stop = (begins, ends) if sign > 0 else (total - ends + 1, total - begins + 1)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(of[row[first]])), pa.array(np.full(len(first), sign * (f + 1), np.int32)), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), packed.strings(protein, first, length)],
+                        ["pos", "frame", "orf_start", "orf_end", "translation"],
+                    )
+
+    return find
+
+
 def frames(records: DataFrame, least: int = 50, least_share: float = 0.0, mitochondrial: bool = False) -> DataFrame:
     """(pos, frame, orf_start, orf_end, translation): open stretches of the six frames.
 
     Frames 1 to 3 read forwards from that base, -1 to -3 the reverse
     complement; a stretch lies between stops and unknown codons and has at
-    least `least` amino acids and that share of the frame's codons.
-    Coordinates count from 1 on the forward strand, ends included. Sequences
-    are read upper-case, without gaps, U as T; null gives no rows.
+    least `least` amino acids (1 if that is less) and that share of the
+    frame's codons. Coordinates count from 1 on the forward strand, ends
+    included. Sequences are read upper-case, without gaps, U as T; null and
+    empty ones give no rows. A long sequence is read once, whatever it holds.
     """
-    dna = S.dna_letters(F.col("sequence"))
-    both = records.where(F.col("sequence").isNotNull()).select("pos", F.explode(F.array(F.struct(F.lit(1).alias("sign"), dna.alias("dna")), F.struct(F.lit(-1).alias("sign"), S.reverse_complement(dna).alias("dna")))).alias("x"))
-    six = both.select("pos", "x.sign", F.length("x.dna").alias("n"), F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.expr(f"substring(x.dna, {f}, cast(floor((length(x.dna) - {f - 1}) / 3) * 3 as int))").alias("s")) for f in (1, 2, 3)))).alias("y"))
-    read = six.select("pos", "sign", "n", "y.f", S.translate(F.col("y.s"), mitochondrial).alias("protein"))
-    parts = F.aggregate(
-        F.split("protein", "X"),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,aa:string>>").alias("out")),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p) + 1).alias("at"),
-            F.when((F.length(p) >= least) & (F.length(p) >= least_share * F.length("protein")) & (p != ""), F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), p.alias("aa"))))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    found = read.select("pos", "sign", "n", "f", F.explode(parts).alias("r"))
-    first = F.col("f") + 3 * F.col("r.start")
-    last = first + 3 * F.length("r.aa") - 1
-    return found.select(
-        "pos",
-        (F.col("sign") * F.col("f")).alias("frame"),
-        F.when(F.col("sign") > 0, first).otherwise(F.col("n") - last + 1).alias("orf_start"),
-        F.when(F.col("sign") > 0, last).otherwise(F.col("n") - first + 1).alias("orf_end"),
-        F.col("r.aa").alias("translation"),
-    )
+    rows = records.where(F.col("sequence").isNotNull()).select("pos", S.dna_letters(F.col("sequence")).alias("dna"))
+    schema = f"pos {dict(rows.dtypes)['pos']}, frame int, orf_start int, orf_end int, translation string"
+    return rows.mapInArrow(_open_stretches(max(1, least), least_share, codons.code(mitochondrial)), schema)
 
 
 def paired(records: DataFrame) -> DataFrame:

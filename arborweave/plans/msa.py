@@ -115,7 +115,7 @@ def families(records: DataFrame, k: int = 24, least: int = 20) -> DataFrame:
     from arborweave.operators.hits import kmers
     from arborweave.operators.skew import join_counted
 
-    pieces = kmers(records.where("pos IS NOT NULL"), k).select("pos", F.xxhash64("kmer").alias("w"))
+    pieces = materialise(kmers(records.where("pos IS NOT NULL").select(F.col("pos").alias("id"), F.col("sequence").alias("text")), k).select(F.col("id").alias("pos"), F.col("code").alias("w")), "pieces")
     heads = pieces.groupBy("w").agg(F.min("pos").alias("head"), F.max("pos").alias("last"), F.count("*").alias("n")).where("head <> last").select("w", "head", "n")
     total = heads.agg(F.sum("n")).first()[0] or 0
     links = join_counted(pieces, heads, ["w"], "n", total).where("pos <> head").groupBy("pos", "head").agg(F.count("*").alias("c")).where(F.col("c") >= least)

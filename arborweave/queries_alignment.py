@@ -24,15 +24,15 @@ def query(f):
     return f
 
 
-def _dna(spark: SparkSession, sf: str) -> DataFrame:
-    """Records of DNA with clean letters."""
-    rows = records(spark, sf).where("sequence IS NOT NULL")
+def _dna(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """(pos, sequence, columns) of the records of DNA, with clean letters."""
+    rows = records(spark, sf, "sequence", *columns).where("sequence IS NOT NULL")
     return rows.where(S.looks_like_dna(F.col("sequence"))).withColumn("sequence", S.dna_letters(F.col("sequence"))).where("sequence <> ''")
 
 
 def _node_texts(spark: SparkSession, sf: str) -> DataFrame:
     """(node, t_text): for each node that records name, the one of the best node_score (of ties the smallest pos)."""
-    rows = _dna(spark, sf).select("pos", "sequence", F.coalesce("node_score", F.lit(0.0)).alias("score"), F.explode(F.array_distinct(F.split(F.coalesce("node_to_align", F.lit("")), r"\s+"))).alias("node")).where("node <> ''")
+    rows = _dna(spark, sf, "node_to_align", "node_score").select("pos", "sequence", F.coalesce("node_score", F.lit(0.0)).alias("score"), F.explode(F.array_distinct(F.split(F.coalesce("node_to_align", F.lit("")), r"\s+"))).alias("node")).where("node <> ''")
     return rows.groupBy("node").agg(F.max_by("sequence", F.struct("score", -F.col("pos"))).alias("t_text"))
 
 
@@ -52,7 +52,7 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def _families(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """A tree for each family of records that share long stretches, and (node_id, sequence, quality) of its leaves."""
-    rows = _dna(spark, sf).select("pos", "sequence", "quality")
+    rows = _dna(spark, sf, "quality").select("pos", "sequence", "quality")
     tree, tips = msa.balanced_forest(msa.families(rows))
     return tree, tips.join(rows.withColumnRenamed("pos", "member"), "member").select("node_id", "sequence", "quality")
 
@@ -133,7 +133,7 @@ def ancestor_events(spark, sf):
 def _candidates(spark: SparkSession, sf: str, k: int = 3) -> DataFrame:
     """(query, node, q_text, t_text): records with their k best nodes of the hit list."""
     best = H.keep_best(H.merge_hits(table(spark, sf, "hits")), k).select("query", "node")
-    q = _dna(spark, sf).where("name IS NOT NULL").groupBy(F.col("name").alias("query")).agg(F.min_by("sequence", "pos").alias("q_text"))
+    q = _dna(spark, sf, "name").where("name IS NOT NULL").groupBy(F.col("name").alias("query")).agg(F.min_by("sequence", "pos").alias("q_text"))
     t = _node_texts(spark, sf)
     return best.join(q, "query").join(t, "node")
 
@@ -163,8 +163,8 @@ def place_one_by_one(spark, sf):
 @query
 def guided_placement(spark, sf):
     """Queries placed at the one node their tag and node list name; both strands are tried."""
-    tagged = T.placements_by_tag(records(spark, sf), table(spark, sf, "tree_nodes")).select("pos", F.col("name").alias("node"))
-    rows = _dna(spark, sf).select("pos", F.col("pos").cast("string").alias("query"), F.col("sequence").alias("q_text"), F.explode(F.array_distinct(F.split(F.coalesce("node_to_align", F.lit("")), r"\s+"))).alias("node"))
+    tagged = T.placements_by_tag(records(spark, sf, "tid"), table(spark, sf, "tree_nodes")).select("pos", F.col("name").alias("node"))
+    rows = _dna(spark, sf, "node_to_align").select("pos", F.col("pos").cast("string").alias("query"), F.col("sequence").alias("q_text"), F.explode(F.array_distinct(F.split(F.coalesce("node_to_align", F.lit("")), r"\s+"))).alias("node"))
     pairs = rows.join(tagged, ["pos", "node"]).join(_node_texts(spark, sf), "node")
     return placement.place_all(pairs, options=_options(spark, sf), both_strands=True, one_only=True)
 
@@ -172,14 +172,14 @@ def guided_placement(spark, sf):
 @query
 def discarded_queries(spark, sf):
     """All named records that place_fragments places nowhere, those without hits or without a record of their nodes included."""
-    named = records(spark, sf).where("name IS NOT NULL").select(F.col("name").alias("query")).distinct()
+    named = records(spark, sf, "name").where("name IS NOT NULL").select(F.col("name").alias("query")).distinct()
     return placement.discarded(named, place_fragments(spark, sf))
 
 
 def _piles(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Reads under the first node they name, and the seeds of those nodes."""
     first = F.regexp_extract(F.coalesce("node_to_align", F.lit("")), r"^\s*(\S+)", 1)
-    reads = _dna(spark, sf).select(first.alias("group"), "pos", "sequence", "num_duplicates").where("group <> ''")
+    reads = _dna(spark, sf, "node_to_align", "num_duplicates").select(first.alias("group"), "pos", "sequence", "num_duplicates").where("group <> ''")
     return reads, _node_texts(spark, sf).select(F.col("node").alias("group"), F.col("t_text").alias("seed"))
 
 
@@ -277,7 +277,7 @@ def sampled_paths(spark, sf):
 @query
 def homopolymer_graphs(spark, sf):
     """Sites and edges of the records' graphs with shorter readings of equal bases."""
-    rows = _dna(spark, sf).select(F.col("pos").alias("node_id"), "sequence", "quality")
+    rows = _dna(spark, sf, "quality").select(F.col("pos").alias("node_id"), "sequence", "quality")
     return msa.leaf_graphs(rows, _options(spark, sf), homopolymer=0.9).select(F.col("node_id").alias("pos"), F.size("states").alias("n_sites"), F.size("e_start").alias("n_edges"), F.aggregate("states", F.lit(0).cast("long"), lambda a, x: a + (x == 15).cast("long")).alias("n_unknown"))
 
 

@@ -28,8 +28,9 @@ def query(sql: str | None = None):
     return keep
 
 
-def records(spark: SparkSession, sf: str) -> DataFrame:
-    return one_per_pos(table(spark, sf, "sequences"))
+def records(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """(pos, columns) of the records of sequences, once per pos; only these columns are read."""
+    return one_per_pos(table(spark, sf, "sequences").select("pos", *columns, "loaded_at")).drop("loaded_at")
 
 
 def contigs(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,7 +50,7 @@ def _translated(s: str) -> str:
 
 @query(f"WITH {_R} SELECT pos, replace(sequence, '-', '') AS sequence FROM r")
 def degap(spark, sf):
-    return records(spark, sf).select("pos", S.degap(F.col("sequence")).alias("sequence"))
+    return records(spark, sf, "sequence").select("pos", S.degap(F.col("sequence")).alias("sequence"))
 
 
 @query(
@@ -57,7 +58,7 @@ def degap(spark, sf):
 SELECT pos, t AS sequence, length(t) - length(regexp_replace(t, '[ACGT]', '', 'g')) AS n_acgt, length(t) = length(s) AS ok FROM k"""
 )
 def alphabet_filter(spark, sf):
-    return R.checked_dna(records(spark, sf)).withColumn("n_acgt", F.col("n_acgt").cast("long"))
+    return R.checked_dna(records(spark, sf, "sequence")).withColumn("n_acgt", F.col("n_acgt").cast("long"))
 
 
 @query(
@@ -66,7 +67,7 @@ n AS (SELECT pos, length(s) - length(regexp_replace(s, '[ACGTUN]', '', 'g')) AS
 SELECT pos, CASE WHEN a > 0 THEN d / a > 0.9 WHEN a = 0 THEN false END AS is_dna FROM n"""
 )
 def type_inference(spark, sf):
-    return records(spark, sf).select("pos", S.looks_like_dna(F.col("sequence")).alias("is_dna"))
+    return records(spark, sf, "sequence").select("pos", S.looks_like_dna(F.col("sequence")).alias("is_dna"))
 
 
 @query(
@@ -75,7 +76,7 @@ n AS (SELECT CAST(sum(length(s) - length(regexp_replace(s, '[ACGTUN]', '', 'g'))
 SELECT n_dna, n_amino, n_dna / n_amino > 0.9 AS is_dna FROM n"""
 )
 def type_inference_all(spark, sf):
-    return R.data_type(records(spark, sf))
+    return R.data_type(records(spark, sf, "sequence"))
 
 
 @query("""WITH c AS (SELECT DISTINCT pos, sequence FROM contigs)
@@ -111,7 +112,7 @@ def mock_dna(spark, sf):
 array_to_string(list_transform(range(1, length(sequence) + 1), lambda i: CASE WHEN ascii(quality[i]) - 33 < 10 THEN 'n' ELSE sequence[i] END), '') END AS sequence FROM r"""
 )
 def quality_mask(spark, sf):
-    return records(spark, sf).select("pos", S.quality_masked(F.col("sequence"), F.col("quality")).alias("sequence"))
+    return records(spark, sf, "sequence", "quality").select("pos", S.quality_masked(F.col("sequence"), F.col("quality")).alias("sequence"))
 
 
 @query(
@@ -120,7 +121,7 @@ TRY_CAST(nullif(regexp_extract(comment, '(?:^|[\\s,;])NumDuplicates=([^\\s,;]*)'
 )
 def comment_tags(spark, sf):
     c = F.col("comment")
-    return records(spark, sf).select("pos", S.tag_of(c, "TID").alias("tid"), S.number(S.tag_of(c, "NumDuplicates"), "int").alias("num_duplicates"))
+    return records(spark, sf, "comment").select("pos", S.tag_of(c, "TID").alias("tid"), S.number(S.tag_of(c, "NumDuplicates"), "int").alias("num_duplicates"))
 
 
 @query(
@@ -130,7 +131,7 @@ n AS (SELECT base, CAST(sum(length(s) - length(replace(s, base, ''))) AS BIGINT)
 SELECT base, n, round(n / sum(n) OVER (), 9) AS share FROM n"""
 )
 def base_frequency(spark, sf):
-    return R.base_frequencies(records(spark, sf)).withColumn("share", F.round("share", 9)).withColumn("n", F.col("n").cast("long"))
+    return R.base_frequencies(records(spark, sf, "sequence")).withColumn("share", F.round("share", 9)).withColumn("n", F.col("n").cast("long"))
 
 
 @query(
@@ -138,7 +139,7 @@ def base_frequency(spark, sf):
 SELECT pos, CASE WHEN k > 1 THEN name || '.' || (k - 1) ELSE name END AS name FROM n"""
 )
 def dedup_names(spark, sf):
-    return R.number_names(records(spark, sf).select("pos", "name"))
+    return R.number_names(records(spark, sf, "name").select("pos", "name"))
 
 
 @query(
@@ -146,7 +147,7 @@ def dedup_names(spark, sf):
 SELECT pos, CASE WHEN m > 1 THEN name || '/' || k ELSE name END AS name FROM n"""
 )
 def dedup_names_written(spark, sf):
-    return R.number_names(records(spark, sf).select("pos", "name"), "/", True)
+    return R.number_names(records(spark, sf, "name").select("pos", "name"), "/", True)
 
 
 @query(
@@ -155,7 +156,7 @@ g AS (SELECT pos, i, b, i - row_number() OVER (PARTITION BY pos, b ORDER BY i) A
 SELECT pos, b AS base, CAST(min(i) - 1 AS INTEGER) AS start, CAST(count(*) AS INTEGER) AS length FROM g GROUP BY pos, b, run HAVING count(*) >= 3"""
 )
 def homopolymer_runs(spark, sf):
-    return R.homopolymers(records(spark, sf), 3)
+    return R.homopolymers(records(spark, sf, "sequence"), 3)
 
 
 _ORF = f"""WITH {_R}, s AS (SELECT pos, regexp_replace(replace(upper(sequence), 'U', 'T'), '[^ACGTRYMKWSBDHVN]', '', 'g') AS s FROM r WHERE sequence IS NOT NULL),
@@ -171,15 +172,17 @@ CAST(CASE WHEN sign > 0 THEN f + 3 * (i - 1) + 3 * k - 1 ELSE n - (f + 3 * (i -
 
 @query(_ORF)
 def orf_scan(spark, sf):
-    return R.frames(records(spark, sf), 25)
+    return R.frames(records(spark, sf, "sequence"), 25)
 
 
 @query(
-    f"""WITH {_R}, k AS (SELECT regexp_extract(name, '^(.*)/[12]$', 1) AS stem, regexp_extract(name, '/([12])$', 1) AS rd, pos, sequence FROM r WHERE name IS NOT NULL AND sequence IS NOT NULL)
-SELECT a.stem || '/p12' AS name, a.pos AS pos_1, b.pos AS pos_2, a.sequence || '0' || b.sequence AS sequence FROM k a JOIN k b ON a.stem = b.stem AND a.rd = '1' AND b.rd = '2' AND a.pos < b.pos WHERE a.stem <> ''"""
+    f"""WITH {_R}, n AS (SELECT pos, sequence, name, row_number() OVER (PARTITION BY name ORDER BY pos) AS k, count(*) OVER (PARTITION BY name) AS m FROM r WHERE name IS NOT NULL),
+k AS (SELECT pos, sequence, name AS stem, k AS rd FROM n WHERE m > 1 AND k <= 2 AND sequence IS NOT NULL)
+SELECT a.stem || '/p12' AS name, a.pos AS pos_1, b.pos AS pos_2, a.sequence || '0' || b.sequence AS sequence FROM k a JOIN k b ON a.stem = b.stem AND a.rd = 1 AND b.rd = 2 AND a.pos < b.pos"""
 )
 def paired_self_join(spark, sf):
-    return R.paired(records(spark, sf))
+    """Records of one name, numbered as writers do, taken for reads of a pair."""
+    return R.paired(R.number_names(records(spark, sf, "name", "sequence"), "/", True))
 
 
 def _order(by: str) -> str:
@@ -189,17 +192,17 @@ def _order(by: str) -> str:
 
 @query(_order("score"))
 def reads_by_score(spark, sf):
-    return R.read_order(records(spark, sf), "score")
+    return R.read_order(records(spark, sf, "node_score"), "score")
 
 
 @query(_order("length"))
 def reads_by_length(spark, sf):
-    return R.read_order(records(spark, sf), "length")
+    return R.read_order(records(spark, sf, "sequence"), "length")
 
 
 @query(_order("copies"))
 def reads_by_copies(spark, sf):
-    return R.read_order(records(spark, sf), "copies")
+    return R.read_order(records(spark, sf, "num_duplicates"), "copies")
 
 
 @query(
@@ -207,7 +210,7 @@ def reads_by_copies(spark, sf):
 SELECT name, count(*) AS n FROM k WHERE name <> '' GROUP BY name"""
 )
 def distinct_target_nodes(spark, sf):
-    rows = keyed_records(records(spark, sf).select("pos", "tid", "node_to_align", "num_duplicates", "read_at").withColumn("tid", F.lit(None).cast("string")))
+    rows = keyed_records(records(spark, sf, "node_to_align").select("pos", F.lit(None).cast("string").alias("tid"), "node_to_align", F.lit(0).alias("num_duplicates"), F.lit(0).alias("read_at")))
     return rows.groupBy(F.expr("substring(key, instr(key, '\u0001') + 1)").alias("name")).agg(F.count("*").alias("n"))
 
 
@@ -303,7 +306,7 @@ def node_class_filter(spark, sf):
 SELECT t.name, count(*) AS n, CAST(sum(pos) AS BIGINT) AS pos_sum FROM r JOIN t ON trim(r.tid, ' ' || chr(9)) = t.tid GROUP BY t.name"""
 )
 def tid_join(spark, sf):
-    return T.placements_by_tag(records(spark, sf), table(spark, sf, "tree_nodes")).groupBy("name").agg(F.count("*").alias("n"), F.sum("pos").alias("pos_sum"))
+    return T.placements_by_tag(records(spark, sf, "tid"), table(spark, sf, "tree_nodes")).groupBy("name").agg(F.count("*").alias("n"), F.sum("pos").alias("pos_sum"))
 
 
 def _states(tree: DataFrame) -> DataFrame:
@@ -391,7 +394,7 @@ o AS (SELECT m.query, m.node, (m.q_end - m.q_start) / f.len AS overlap, m.score
 SELECT query, node, round(overlap, 6) AS overlap, round(identity, 6) AS identity FROM o WHERE overlap > 0.5 AND identity > 0.5"""
 )
 def acceptance(spark, sf):
-    seqs = records(spark, sf).where("sequence IS NOT NULL").withColumn("len", F.length("sequence"))
+    seqs = records(spark, sf, "name", "sequence").where("sequence IS NOT NULL").withColumn("len", F.length("sequence"))
     rows = H.with_records(H.merge_hits(table(spark, sf, "hits")), seqs, ["len"]).where("q_end > q_start")
     width = F.col("q_end") - F.col("q_start")
     rows = rows.select("query", "node", (width / F.col("r_len")).alias("overlap"), (F.col("score") / (5.0 * width)).alias("identity"))
@@ -427,20 +430,22 @@ def diagonal_anchors(spark, sf):
 
 def _orf_pairs(spark, sf) -> DataFrame:
     """(id, text_1, text_2): the DNA of each reading frame with the sequence of its record."""
-    seqs = records(spark, sf).where("name IS NOT NULL AND sequence IS NOT NULL").groupBy("name").agg(F.upper(F.min_by("sequence", "pos")).alias("text_2"))
+    seqs = records(spark, sf, "name", "sequence").where("name IS NOT NULL AND sequence IS NOT NULL").groupBy("name").agg(F.upper(F.min_by("sequence", "pos")).alias("text_2"))
     o = table(spark, sf, "orfs").where("dna IS NOT NULL").select("name", "frame", "orf_start", F.upper("dna").alias("text_1")).distinct()
     return o.join(seqs, "name").select(F.concat_ws("|", "name", F.col("frame").cast("string"), F.col("orf_start").cast("string")).alias("id"), "text_1", "text_2")
 
 
 @query(
     f"""WITH {_R}, a AS (SELECT DISTINCT pos, substr(s, i, 16) AS k FROM (SELECT pos, s, unnest(range(1, length(s) - 14)) AS i FROM (SELECT DISTINCT pos, upper(sequence) AS s FROM contigs WHERE sequence IS NOT NULL) WHERE length(s) >= 16)),
-b AS (SELECT DISTINCT pos, substr(s, i, 16) AS k FROM (SELECT pos, s, unnest(range(1, length(s) - 14)) AS i FROM (SELECT pos, upper(sequence) AS s FROM r WHERE sequence IS NOT NULL) WHERE length(s) >= 16))
-SELECT a.pos AS a, b.pos AS b, count(*) AS n FROM a JOIN b USING (k) GROUP BY a.pos, b.pos"""
+b AS (SELECT DISTINCT pos, substr(s, i, 16) AS k FROM (SELECT pos, s, unnest(range(1, length(s) - 14)) AS i FROM (SELECT pos, upper(sequence) AS s FROM r WHERE sequence IS NOT NULL) WHERE length(s) >= 16)),
+n AS (SELECT k, count(*) AS n FROM b GROUP BY k)
+SELECT a.pos AS a, count(*) AS n_kmers, count(n.n) AS n_shared, CAST(coalesce(sum(n.n), 0) AS BIGINT) AS n_holders FROM a LEFT JOIN n USING (k) GROUP BY a.pos"""
 )
 def kmer_join(spark, sf):
+    """What the consensus records share with the records, by 16 letters: one row for each, without pairs."""
     x = contigs(spark, sf).select(F.col("pos").alias("id"), F.upper("sequence").alias("text"))
-    y = records(spark, sf).select(F.col("pos").alias("id"), F.upper("sequence").alias("text"))
-    return H.shared_kmers(x, y, 16)
+    y = records(spark, sf, "sequence").select(F.col("pos").alias("id"), F.upper("sequence").alias("text"))
+    return H.shared_parts(x, y, 16)
 
 
 @query()
@@ -466,7 +471,7 @@ n AS (SELECT grp, col, {", ".join(f"CAST(sum(CASE WHEN b IN ({', '.join(repr(k)
 
 @query(_COUNTS + ' SELECT grp AS "group", CAST(col AS INTEGER) AS col, a, c, g, t, n FROM n')
 def column_counts(spark, sf):
-    return C.column_counts(C.cells(_gapped(spark, sf).where("group IS NOT NULL")), weight=F.col("w"))
+    return C.row_counts(_gapped(spark, sf).where("group IS NOT NULL"), weight=F.col("w"))
 
 
 _CALL = "CASE WHEN greatest(a, c, g, t) <= 0 OR n < {least} THEN '-' ELSE '-" + "".join(C.LETTER[m] for m in range(1, 16)) + "'[1 + CASE WHEN a = greatest(a, c, g, t) THEN 1 ELSE 0 END + CASE WHEN c = greatest(a, c, g, t) THEN 2 ELSE 0 END + CASE WHEN g = greatest(a, c, g, t) THEN 4 ELSE 0 END + CASE WHEN t = greatest(a, c, g, t) THEN 8 ELSE 0 END] END"
@@ -474,7 +479,7 @@ _CALL = "CASE WHEN greatest(a, c, g, t) <= 0 OR n < {least} THEN '-' ELSE '-" +
 
 @query(_COUNTS + f' SELECT grp AS "group", CAST(col AS INTEGER) AS col, {_CALL.format(least=1)} AS symbol FROM n')
 def consensus_iupac(spark, sf):
-    return C.consensus(C.column_counts(C.cells(_gapped(spark, sf).where("group IS NOT NULL")), weight=F.col("w"))).select("group", "col", "symbol")
+    return C.consensus(C.row_counts(_gapped(spark, sf).where("group IS NOT NULL"), weight=F.col("w"))).select("group", "col", "symbol")
 
 
 @query(
@@ -486,16 +491,14 @@ SELECT grp AS "group", string_agg(symbol, '' ORDER BY col) AS sequence FROM k GR
 def consensus_minimum(spark, sf):
     rows = _gapped(spark, sf).where("group IS NOT NULL")
     least = rows.groupBy("group").agg(C.consensus_minimum(F.sum("w")).alias("least"))
-    counted = C.column_counts(C.cells(rows), weight=F.col("w")).join(least, "group")
+    counted = C.row_counts(rows, weight=F.col("w")).join(least, "group")
     return C.to_rows(C.consensus(counted, F.col("least")), ["group"])
 
 
 @query(_COUNTS + ' SELECT grp AS "group", count(*) AS n_columns, count(*) FILTER (n > 0) AS n_kept FROM n GROUP BY grp')
 def gap_only_columns(spark, sf):
-    long = C.cells(_gapped(spark, sf).where("group IS NOT NULL"))
-    every = long.select("group", "col").distinct().groupBy("group").agg(F.count("*").alias("n_columns"))
-    kept = C.without_gap_columns(long).select("group", "col").distinct().groupBy("group").agg(F.count("*").alias("n"))
-    return every.join(kept, "group", "left").select("group", "n_columns", F.coalesce("n", F.lit(0)).alias("n_kept"))
+    counted = C.row_counts(_gapped(spark, sf).where("group IS NOT NULL"))
+    return counted.groupBy("group").agg(F.count("*").alias("n_columns"), F.count_if(F.col("n") > 0).alias("n_kept"))
 
 
 # parent and child: the contig at half the position, as in a heap
