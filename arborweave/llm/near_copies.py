@@ -2,18 +2,20 @@
 
 Tiled exact comparison: the pieces of each record become a bit vector, and
 tiles of vectors are compared by exclusive or and bit counts. Two vectors can
-only belong to similar records if few bits differ and their sizes are near,
-so tile pairs whose sizes differ beyond the radius are skipped and only pairs
-within the radius are compared piece by piece.
+only belong to similar records if few bits differ, so tile pairs whose bit
+counts differ beyond the radius are skipped and only pairs within the radius
+are compared piece by piece.
 
 Comparing all tiles with all is quadratic, so tiles are formed only of
 records that can be similar. A pair of similarity t shares most of its
-pieces, and the unshared ones come in runs (one edit spoils at least
-piece - 1 neighbours), so a long stretch without any edit is left; both
-records then have the same smallest SEED-letter word in a window inside that
-stretch. Short records, where the stretch may be too short, use the exact
-prefix filter on their pieces instead. Records tied by such words form
-candidate components, and each component is compared in tiles.
+pieces, and the unshared ones come in runs (one edit spoils about `piece`
+neighbours), so a long stretch without any edit is left; both records then
+have the same smallest SEED-letter word in a window inside that stretch.
+Where that doesn't hold, the exact prefix filter on the different pieces
+gives the words: for records of few different pieces, and for those in which
+any piece is repeated. Records tied by such words form candidate components,
+each component is compared in tiles, and a pair counts if it shares a word,
+however large its component is.
 """
 
 from __future__ import annotations
@@ -35,13 +37,11 @@ from arborweave.session import materialise
 
 PIECE = 12
 SEED, WINDOW = 20, 11
-#: Records with fewer different pieces are short: their tie is the prefix filter.
-SHORT = 50
-#: Rows with a smaller share of different pieces among their windows are repetitive and have the prefix filter as well.
-REPETITIVE = 0.8
-#: Most records of a component that are compared in one group; larger ones are divided.
-GROUP = 8192
+#: Most records, and most letters, of a component that are compared in one group; larger ones are compared word by word.
+GROUP, LETTERS = 8192, 4_000_000
 TILE = 128
+#: A word of so many rows in one slice leaves the task once and is remembered there.
+COMMON = 32
 
 
 def stretch(n: int, threshold: float, piece: int = PIECE) -> int:
@@ -55,6 +55,14 @@ def stretch(n: int, threshold: float, piece: int = PIECE) -> int:
     return int(np.ceil((n - lost) / (lost / piece + 1))) + piece - 1
 
 
+def least_long(threshold: float) -> float:
+    """Different pieces from which on the windows of SEED-letter words give the ties; below it, and everywhere if no length will do, the prefix filter does."""
+    for n in range(2, 5000):
+        if stretch(n, threshold) >= SEED + WINDOW - 1 and n * threshold >= 1:
+            return n
+    return np.inf
+
+
 def _rows(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Slices of a batch of about `most` letters in column text."""
     size = np.asarray(pa.compute.binary_length(batch.column(batch.schema.get_field_index("text"))))
@@ -90,10 +98,11 @@ def seeds(texts: pa.Array, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
     h, of = h[new], of[new]
     n = np.bincount(of, minlength=len(size))
-    keep = n[row] >= SHORT
+    long = least_long(threshold)
+    keep = n[row] >= long
     row, word = row[keep], word[keep] | np.uint64(1)  # the lowest bit tells the two kinds apart
-    # few pieces, those that may resemble such a row, and rows with many repeats: the first pieces in hash order
-    short = (n > 0) & ((n * threshold < SHORT) | (n < REPETITIVE * count))
+    # few pieces, those that may resemble such a row, and rows with any repeat: the first pieces in hash order
+    short = (n > 0) & ((n * threshold < long) | (n < count))
     if short.any():
         keep = short[of]
         h, of = h[keep], of[keep]
@@ -111,12 +120,13 @@ def seeds(texts: pa.Array, threshold: float) -> tuple[np.ndarray, np.ndarray]:
 def _ties(threshold: float):
     """(rep, text) -> (word, rep), with what has one word in the same part of a task tied there.
 
-    A word that many rows of the part hold leaves it once, so that a word of
-    a third of all rows is a few rows in the shuffle. The ties found here
-    leave as words of their own.
+    A word that many rows of a slice hold leaves the task once, so that a
+    word of a third of all rows is one row per task in the shuffle. The ties
+    found here leave as words of their own.
     """
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, heads = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # common words so far, sorted, and a row of each
         for batch in batches:
             reps = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b in _rows(batch):
@@ -126,13 +136,25 @@ def _ties(threshold: float):
                 rep, word = rep[order], word[order]
                 first = np.ones(len(word), bool)
                 first[1:] = word[1:] != word[:-1]
-                head = rep[np.maximum.accumulate(np.where(first, np.arange(len(word)), 0))]
-                other = ~first
-                pairs = np.unique(np.stack([head[other], rep[other]], 1), axis=0)
+                begin = np.flatnonzero(first)
+                size = np.diff(np.append(begin, len(word)))
+                head = rep[begin]
+                at = np.minimum(np.searchsorted(known, word[begin]), max(0, len(known) - 1))
+                old = known[at] == word[begin] if len(known) else np.zeros(len(begin), bool)
+                if old.any():
+                    head[old] = heads[at[old]]
+                fresh = ~old & (size >= COMMON)
+                if fresh.any():
+                    known, heads = np.concatenate([known, word[begin][fresh]]), np.concatenate([heads, head[fresh]])
+                    order = np.argsort(known)
+                    known, heads = known[order], heads[order]
+                every = np.repeat(head, size)
+                other = every != rep
+                pairs = np.unique(np.stack([every[other], rep[other]], 1), axis=0)
                 own = packed.mixed(pairs[:, 0].astype(np.uint64) ^ np.uint64(0x5555555555555555))
-                words = np.concatenate([word[first], own, own])
+                words = np.concatenate([word[begin][~old], own, own])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(words.view(np.int64)), pa.array(np.concatenate([rep[first], pairs[:, 0], pairs[:, 1]]))], ["word", "rep"]
+                    [pa.array(words.view(np.int64)), pa.array(np.concatenate([head[~old], pairs[:, 0], pairs[:, 1]]))], ["word", "rep"]
                 )
 
     return tie
@@ -156,8 +178,38 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(rep[keep]), pa.array(heads[keep])], ["a", "b"])
 
 
-class Pieces:
-    """The piece sets of some rows, as sorted codes and as bit vectors."""
+class Sets:
+    """Sets of numbers, one per row, given as (row, value) in order of row and without repeats."""
+
+    def __init__(self, row: np.ndarray, value: np.ndarray, rows: int):
+        self.n = np.bincount(row, minlength=rows)
+        self.at = np.concatenate([[0], np.cumsum(self.n)])
+        self.values, self.rank = np.unique(value, return_inverse=True)
+
+    def common(self, i: np.ndarray, j: np.ndarray, most: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+        """(how many values rows i and j share, the rank of the smallest shared one or -1), for each pair."""
+        count, least = np.zeros(len(i), np.int64), np.full(len(i), -1)
+        ends, begin = np.cumsum(self.n[i] + self.n[j]), 0
+        width = max(1, len(self.values))
+        while begin < len(i):
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + most, "right")))
+            keys = []
+            for side in (i[begin:end], j[begin:end]):
+                keys.append(np.repeat(np.arange(len(side)), self.n[side]) * width + self.rank[packed.spread(self.at[side], self.n[side])])
+            both = np.concatenate(keys)
+            both.sort()
+            both = both[1:][both[1:] == both[:-1]]
+            pair = both // width
+            count[begin:end] = np.bincount(pair, minlength=end - begin)
+            first = np.ones(len(pair), bool)
+            first[1:] = pair[1:] != pair[:-1]
+            least[begin + pair[first]] = both[first] % width
+            begin = end
+        return count, least
+
+
+class Pieces(Sets):
+    """The piece sets of some rows, also as bit vectors with their bit counts."""
 
     def __init__(self, texts: pa.Array):
         letters_, offsets = packed.letters_of(texts)
@@ -168,82 +220,72 @@ class Pieces:
         code, of = code[order], of[order]
         new = np.ones(len(code), bool)
         new[1:] = (code[1:] != code[:-1]) | (of[1:] != of[:-1])
-        self.code, of = code[new], of[new]
-        self.n = np.bincount(of, minlength=len(count))
-        self.at = np.concatenate([[0], np.cumsum(self.n)])
+        code, of = code[new], of[new]
+        super().__init__(of, code, len(count))
         width = 512
         while width < 4 * self.n.max(initial=0) and width < 16384:
             width *= 2
         self.bits = np.zeros((len(count), width // 64), np.uint64)
-        bit = (packed.mixed(self.code) % np.uint64(width)).astype(np.int64)
+        bit = (packed.mixed(code) % np.uint64(width)).astype(np.int64)
         for a in range(0, len(count), 4096):  # a dense block at a time
             b = min(a + 4096, len(count))
             dense = np.zeros((b - a) * width, bool)
             lo, hi = self.at[a], self.at[b]
             dense[(of[lo:hi] - a) * width + bit[lo:hi]] = True
             self.bits[a:b] = np.packbits(dense.reshape(b - a, width), axis=1).view(np.uint64)
+        self.count = np.bitwise_count(self.bits).sum(1).astype(np.int64)
 
-    def near(self, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
-        """Mask of the pairs within the radius: no pair of that similarity has more differing bits."""
-        radius = (1 - threshold) / (1 + threshold) * (self.n[i] + self.n[j]) + 1e-9
+    def near(self, i: np.ndarray, j: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        """Mask of the pairs of which no more bits differ than their radius."""
         out = np.zeros(len(i), bool)
-        for a in range(0, len(i), 1 << 16):
-            s = slice(a, a + (1 << 16))
+        step = (1 << 22) // self.bits.shape[1]
+        for a in range(0, len(i), step):
+            s = slice(a, a + step)
             out[s] = np.bitwise_count(self.bits[i[s]] ^ self.bits[j[s]]).sum(1) <= radius[s]
         return out
 
-    def similarity(self, i: int, j: int) -> float:
-        """Exact share of common pieces."""
-        both = np.concatenate([self.code[self.at[i] : self.at[i + 1]], self.code[self.at[j] : self.at[j + 1]]])
-        both.sort()
-        common = int((both[1:] == both[:-1]).sum())
-        return common / (len(both) - common) if len(both) else 0.0
-
 
-def similar_rows(texts: pa.Array, group: np.ndarray, threshold: float, side: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+def similar_rows(texts: pa.Array, group: np.ndarray, threshold: float, side: np.ndarray | None = None, tile: int = TILE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, similarity) of the rows of one group that are similar; rows lie together by group, i < j.
 
     side: if given, rows are 1 (left), 2 (right) or 3 (both), and only pairs
-    of a left with a right row count.
+    of a left with a right row count. Rows are put in order of their bit
+    counts inside their group; a tile may hold several small groups.
     """
     p = Pieces(texts)
-    order = np.lexsort((p.n, group))  # by size in a group, so that near sizes are near
-    g, n = group[order], p.n[order]
-    first = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
-    length = np.diff(np.append(first, len(g)))
+    order = np.lexsort((p.count, group))
+    g, n, bits = group[order], p.n[order], p.count[order]
+    reach = (1 - threshold) / (1 + threshold)  # no similar pair differs in more than this share of both sizes
     found: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def look(i: np.ndarray, j: np.ndarray) -> None:
-        keep = n[i] >= threshold * n[j] - 1e-9
-        if side is not None:
-            a, b = side[order[i]], side[order[j]]
-            keep &= ((a & 1) & (b >> 1)) | ((a >> 1) & (b & 1)) == 1
-        i, j = order[i[keep]], order[j[keep]]
-        keep = p.near(i, j, threshold)
-        found.append((i[keep], j[keep]))
-
-    # small groups: all of them at once, diagonal by diagonal
-    small = np.repeat(length <= TILE, length)
-    for d in range(1, int(length[length <= TILE].max(initial=0))):
-        i = np.flatnonzero((g[d:] == g[:-d]) & small[:-d])
-        look(i, i + d)
-    # large groups: tile by tile
-    for start, size in zip(first[length > TILE], length[length > TILE], strict=True):
-        for a in range(start, start + size, TILE):
-            a_end = min(a + TILE, start + size)
-            for b in range(a, start + size, TILE):
-                if n[a_end - 1] < threshold * n[b] - 1e-9:
-                    break  # this tile and all after it are too large for any row of tile a
-                b_end = min(b + TILE, start + size)
-                i, j = (x.ravel() for x in np.meshgrid(np.arange(a, a_end), np.arange(b, b_end), indexing="ij"))
-                look(i[j > i], j[j > i])
-    out = []
-    for i, j in found:
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            s = p.similarity(x, y)
-            if s >= threshold - 1e-12:
-                out.append((min(x, y), max(x, y), s))
-    return out
+    for a in range(0, len(g), tile):
+        a_end = min(a + tile, len(g))
+        for b in range(a, len(g), tile):
+            b_end = min(b + tile, len(g))
+            if b > a:
+                if g[b] != g[a_end - 1]:
+                    break
+                if bits[b] - bits[a_end - 1] > reach * (n[a:a_end].max() + n[b:b_end].max()) + 1e-9:
+                    continue  # the tiles' bit counts differ beyond the radius
+            same = g[a:a_end, None] == g[None, b:b_end]
+            if b == a:
+                same &= np.arange(a_end - a)[:, None] < np.arange(b_end - b)[None, :]
+            i, j = np.nonzero(same)
+            i, j = i + a, j + b
+            radius = reach * (n[i] + n[j]) + 1e-9
+            keep = np.abs(bits[i] - bits[j]) <= radius
+            if side is not None:
+                x, y = side[order[i]], side[order[j]]
+                keep &= (((x & 1) & (y >> 1)) | ((x >> 1) & (y & 1))) == 1
+            i, j = order[i[keep]], order[j[keep]]
+            keep = p.near(i, j, radius[keep])
+            found.append((i[keep], j[keep]))
+    i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    common, _ = p.common(i, j)
+    union = p.n[i] + p.n[j] - common
+    share = common / np.maximum(union, 1)
+    keep = (share >= threshold - 1e-12) & (common > 0)
+    i, j = np.minimum(i, j)[keep], np.maximum(i, j)[keep]
+    return i, j, share[keep]
 
 
 def _by_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -265,7 +307,7 @@ def _by_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]
 
 
 def _compare(threshold: float, by_word: bool):
-    """Rows in order of `key` -> (rep_1, rep_2, similarity).
+    """Rows in order of `key` -> (rep_1, rep_2, similarity) of the similar pairs of a key that share a word.
 
     by_word: the key is made of a word and a tile pair; a pair of rows counts
     only at the first word that both hold, so that it comes once.
@@ -275,21 +317,17 @@ def _compare(threshold: float, by_word: bool):
         for part in _by_group(batches, "key"):
             reps = part.column("rep").to_numpy()
             texts = part.column("text").combine_chunks()
-            key = part.column("key").to_numpy()
-            pairs = similar_rows(texts, key, threshold, part.column("side").to_numpy() if by_word else None)
-            if by_word and pairs:
-                row, word = seeds(texts, threshold)
-                at = np.searchsorted(row, np.arange(len(reps) + 1))
-                own, hidden = part.column("word").to_numpy().view(np.uint64), []
-                for i, j, s in pairs:
-                    common = np.intersect1d(word[at[i] : at[i + 1]], word[at[j] : at[j + 1]], assume_unique=True)
-                    if len(common) and common[0] == own[i]:
-                        hidden.append((i, j, s))
-                pairs = hidden
-            if pairs:
-                i, j, s = (np.array(x) for x in zip(*pairs, strict=True))
-                a, b = reps[i], reps[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(s)], ["rep_1", "rep_2", "similarity"])
+            i, j, share = similar_rows(texts, part.column("key").to_numpy(), threshold, part.column("side").to_numpy() if by_word else None)
+            if len(i):
+                # only rows that are in a pair have their words taken again
+                rows, back = np.unique(np.concatenate([i, j]), return_inverse=True)
+                words = Sets(*seeds(texts.take(pa.array(rows)), threshold), len(rows))
+                _, least = words.common(back[: len(i)], back[len(i) :])
+                keep = least >= 0
+                if by_word:
+                    keep &= words.values[least] == part.column("word").to_numpy().view(np.uint64)[i]
+                a, b = reps[i[keep]], reps[j[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(share[keep])], ["rep_1", "rep_2", "similarity"])
 
     return compare
 
@@ -324,26 +362,35 @@ def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, reps
 
 
-def similar_texts(reps: DataFrame, threshold: float, group: int = GROUP) -> DataFrame:
-    """(rep_1, rep_2, similarity): pairs of different texts (rep, text) of at least that similarity."""
-    if not 0.5 <= threshold <= 1 or stretch(SHORT, threshold) < SEED + WINDOW - 1:
-        raise ValueError(f"no guarantee for a threshold of {threshold}")
+def similar_texts(reps: DataFrame, threshold: float, group: int = GROUP, letters_: int = LETTERS) -> DataFrame:
+    """(rep_1, rep_2, similarity): pairs of different texts (rep, text) of at least that similarity.
+
+    A pair is found if it shares a word (see seeds()): surely where both
+    texts have few different pieces or repeat any, and where the unshared
+    pieces of the smaller one come in runs, as edits make them. group and
+    letters_ only decide how a component is worked on, not what is found.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError(f"threshold {threshold} is not in (0, 1]")
     spark = reps.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     words = reps.select("rep", "text").mapInArrow(_ties(threshold), "word long, rep long")
     links = words.repartition(tasks, "word").sortWithinPartitions("word", "rep").mapInArrow(_links, "a long, b long")
-    member = materialise(components(links), "candidates")
-    sizes = member.groupBy("component").agg(F.count("*").alias("n"))
-    large = materialise(sizes.where(F.col("n") > group), "large")
-    small = join_counted(member, sizes.where(F.col("n") <= group), ["component"], "n", member.count(), "left_semi", least=group)
+    member = materialise(components(links).join(reps.select(F.col("rep").alias("node"), F.length("text").alias("size")), "node"), "candidates")
+    sizes = member.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    is_large = (F.col("n") > group) | (F.col("size") > letters_)
+    large = materialise(sizes.where(is_large).select("component", "n"), "large")
+    total = member.count()
+    small = join_counted(member, sizes.where(~is_large).select("component", "n"), ["component"], "n", total, "left_semi", least=group)
     texts = reps.select("rep", "text")
     rows = small.select(F.col("node").alias("rep"), F.col("component").alias("key")).join(texts, "rep")
     out = rows.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_compare(threshold, False), PAIRS)
     if not large.isEmpty():
         # components that are too large for one group: compared by word, and words of too many rows by tile pairs
-        inner = join_counted(member, large, ["component"], "n", member.count(), "left_semi").select(F.col("node").alias("rep")).join(texts, "rep")
+        inner = join_counted(member, large, ["component"], "n", total, "left_semi").select(F.col("node").alias("rep")).join(texts, "rep")
         spread = materialise(inner.mapInArrow(_explode_words(threshold), "word long, rep long, text string"), "words")
-        count = spread.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").withColumn("tiles", F.ceil(F.col("n") / group).cast("int"))
+        tiles = F.ceil(F.greatest(F.col("n") / group, F.col("size") / letters_)).cast("int")
+        count = spread.groupBy("word").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size")).where("n > 1").select("word", "n", tiles.alias("tiles"))
         tiled = join_counted(spread, count, ["word"], "n", spread.count()).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
         # a row meets every tile of its word once: (its tile, other) or (other, its tile), in order
         tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -354,19 +401,32 @@ def similar_texts(reps: DataFrame, threshold: float, group: int = GROUP) -> Data
     return out
 
 
+#: Most records of one text that travel as one row when pairs are written out.
+BLOCK = 512
+
+
 def found(records: DataFrame, threshold: float = 0.6) -> DataFrame:
     """(pos_1, pos_2): pairs of records of at least that similarity, those of equal letters included.
 
     Similarity is taken of the sets of pieces of 12 letters. Records with
     fewer letters have no pieces and are similar only to equal ones; records
-    without letters to none.
+    without letters to none. Records of one text travel in blocks of about
+    BLOCK, so a text of very many records is no hot key: its block pairs are
+    spread before they are written out.
     """
     members, reps = classes(records)
-    members = materialise(members, "members")
     pairs = similar_texts(reps, threshold).select("rep_1", "rep_2").unionByName(reps.where("n > 1").select(F.col("rep").alias("rep_1"), F.col("rep").alias("rep_2")))
-    left = members.select(F.col("pos").alias("a"), F.col("rep").alias("rep_1"))
-    right = members.select(F.col("pos").alias("b"), F.col("rep").alias("rep_2"))
-    both = pairs.join(left, "rep_1").join(right, "rep_2").where("rep_1 <> rep_2 OR a < b")
+    several = reps.where("n > 1").select("rep", F.ceil(F.col("n") / BLOCK).alias("blocks"), "n")
+    in_block = join_counted(members, several, ["rep"], "n", members.count()).withColumn("block", F.pmod(F.xxhash64("pos"), F.col("blocks")))
+    blocks = in_block.groupBy("rep", "block").agg(F.collect_list("pos").alias("pos"))  # about BLOCK each
+    alone = reps.where("n = 1").select("rep", F.lit(0).cast("long").alias("block"), F.array("rep").alias("pos"))
+    blocks = materialise(blocks.unionByName(alone), "blocks")
+    left = blocks.select(F.col("rep").alias("rep_1"), F.col("block").alias("block_1"), F.col("pos").alias("a"))
+    right = blocks.select(F.col("rep").alias("rep_2"), F.col("block").alias("block_2"), F.col("pos").alias("b"))
+    both = pairs.join(left, "rep_1").join(right, "rep_2").where("rep_1 <> rep_2 OR block_1 <= block_2")
+    both = both.withColumn("a", F.explode("a")).withColumn("b", F.explode("b"))
+    # inside a text every two records meet once: in their block, or in the pair of their blocks
+    both = both.where("rep_1 <> rep_2 OR block_1 <> block_2 OR a < b")
     return both.select(F.least("a", "b").alias("pos_1"), F.greatest("a", "b").alias("pos_2"))
 
 

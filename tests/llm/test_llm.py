@@ -147,8 +147,15 @@ def test_large_group_is_tiled():
     rng = random.Random(8)
     base = dna(rng, 150)
     texts = [mutated(rng, base) for _ in range(300)]
-    got = {(i, j) for i, j, _ in near_copies.similar_rows(pa.array(texts), np.zeros(300, np.int64), 0.6)}
-    assert got == brute_pairs(list(enumerate(texts)), 0.6) - {(i, j) for i, j in got ^ got}
+    i, j, _ = near_copies.similar_rows(pa.array(texts), np.zeros(300, np.int64), 0.6)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == brute_pairs(list(enumerate(texts)), 0.6)
+    # groups of all sizes share tiles; sizes differ so that tile pairs are skipped
+    sizes = sorted(rng.randint(0, 4) for _ in range(300))
+    group = np.array(sizes)
+    long = [t * (1 + k % 3) for k, t in enumerate(texts)]
+    i, j, share = near_copies.similar_rows(pa.array(long), group, 0.6, tile=16)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(a, b) for a, b in brute_pairs(list(enumerate(long)), 0.6) if group[a] == group[b]}
+    assert ((share >= 0.6) & (share <= 1)).all()
 
 
 # packing
@@ -317,3 +324,32 @@ def test_near_copies_of_tandem_repeats(spark):
     data = [(1, (unit * 2)[:51]), (2, (unit * 8)[:211]), (3, (wide * 2)[:100]), (4, (wide * 12)[:800]), (5, dna(rng, 300))]
     df = spark.createDataFrame([(p, s, None) for p, s in data], "pos long, sequence string, loaded_at timestamp")
     assert {(1, 2), (3, 4)} == {tuple(r) for r in near_copies.found(df).select("pos_1", "pos_2").collect()}
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.9])
+def test_near_copies_of_repeats(spark, threshold):
+    # repeats, homopolymers and mixed lengths: whatever the size of the component, no pair is lost
+    rng = random.Random(32)
+    data = [(1, "ACGTTGCAAC" * 12), (2, ("ACGTTGCAAC" * 5)[:45]), (3, "A" * 300), (4, "A" * 30), (5, "CA" * 60), (6, "CA" * 20), (7, ("ACGTTGCAAC" * 7)[:70]), (8, "A" * 12), (9, "A" * 100_000)]
+    for k in range(40):
+        unit = dna(rng, rng.choice([1, 2, 3, 7, 11, 13, 25, 60, 110]))
+        text = (unit * 400)[: rng.choice([13, 20, 49, 61, 84, 100, 160, 400])]
+        data += [(100 * k + 100 + i, mutated(rng, text)[: rng.choice([30, 90, 500])]) for i in range(rng.randint(1, 4))]
+    df = seqs(spark, [{"pos": p, "sequence": s} for p, s in data])
+    want = brute_pairs(data, threshold)
+    assert {(1, 2), (3, 4), (5, 6), (1, 7), (2, 7), (3, 9), (4, 8)} <= want
+    assert set(map(tuple, near_copies.found(df, threshold).collect())) == want
+    _, reps = near_copies.classes(df)
+    whole = {tuple(r)[:2] for r in near_copies.similar_texts(reps, threshold).collect()}
+    assert {tuple(r)[:2] for r in near_copies.similar_texts(reps, threshold, group=3).collect()} == whole
+    assert {tuple(r)[:2] for r in near_copies.similar_texts(reps, threshold, letters_=500).collect()} == whole
+
+
+def test_near_copies_of_one_hot_text(spark):
+    # a text stored very often is written out in block pairs
+    rng = random.Random(33)
+    base = dna(rng, 200)
+    data = [(k, base) for k in range(700)] + [(900, base[:-3]), (901, dna(rng, 150))]
+    got = near_copies.found(seqs(spark, [{"pos": p, "sequence": s} for p, s in data]))
+    rows_ = got.collect()
+    assert len(rows_) == len(set(rows_)) == 701 * 700 // 2 and all(a < b for a, b in rows_)
