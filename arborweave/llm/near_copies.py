@@ -73,6 +73,25 @@ def _rows(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[tuple[int, i
         row = end
 
 
+def _row_keys(row: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray, int]:
+    """(numbers in the order of row and then value as far as 64 bits reach, how many bits the row takes)."""
+    bits = max(1, int(rows).bit_length())
+    return (row.astype(np.uint64) << np.uint64(64 - bits)) | (value >> np.uint64(bits)), bits
+
+
+def _distinct(value: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(value, row) in order of row and value, each once. Values of equal upper bits are put in order by a second sort."""
+    key, _ = _row_keys(row, value, rows)
+    order = np.argsort(key)
+    key, value, row = key[order], value[order], row[order]
+    if len(key) and ((key[1:] == key[:-1]) & (value[1:] < value[:-1])).any():
+        order = np.lexsort((value, row))
+        value, row = value[order], row[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
+    return value[new], row[new]
+
+
 def seeds(texts: pa.Array, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, word): the words by which each row is tied to those it may resemble; distinct in a row."""
     letters_, offsets = packed.letters_of(texts)
@@ -88,17 +107,19 @@ def seeds(texts: pa.Array, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(at), bool)
     new[1:] = (word[1:] != word[:-1]) | (row[1:] != row[:-1])
     row, word = row[new], word[new]
-    # the different pieces of each row, in hash order
+    # rows in which a piece may be repeated: two equal values of row and shortened hash
     count = np.maximum(pieces, 0)
     of = np.repeat(np.arange(len(size)), count)
     h = packed.mixed(packed.window_codes(letters_, PIECE))[packed.spread(offsets[:-1], count)] if len(of) else np.zeros(0, np.uint64)
-    order = np.lexsort((h, of))
-    h, of = h[order], of[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-    h, of = h[new], of[new]
-    n = np.bincount(of, minlength=len(size))
     long = least_long(threshold)
+    key, bits = _row_keys(of, h, len(size))
+    key.sort()
+    doubtful = count * threshold < long
+    doubtful[(key[1:][key[1:] == key[:-1]] >> np.uint64(64 - bits)).astype(np.int64)] = True
+    # their different pieces, in hash order; those of all others are as many as their windows
+    keep = doubtful[of]
+    h, of = _distinct(h[keep], of[keep], len(size))
+    n = np.where(doubtful, np.bincount(of, minlength=len(size)), count)
     keep = n[row] >= long
     row, word = row[keep], word[keep] | np.uint64(1)  # the lowest bit tells the two kinds apart
     # few pieces, those that may resemble such a row, and rows with any repeat: the first pieces in hash order
@@ -110,11 +131,8 @@ def seeds(texts: pa.Array, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         rank = np.arange(len(of)) - (np.cumsum(n) - n)[of]
         first = rank < n[of] - np.ceil(threshold * n[of] - 1e-9) + 1
         row, word = np.concatenate([row, of[first]]), np.concatenate([word, h[first] & ~np.uint64(1)])
-    order = np.lexsort((word, row))
-    row, word = row[order], word[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (word[1:] != word[:-1]) | (row[1:] != row[:-1])
-    return row[new], word[new]
+    word, row = _distinct(word, row, len(size))
+    return row, word
 
 
 def _ties(threshold: float):
@@ -132,7 +150,7 @@ def _ties(threshold: float):
             for a, b in _rows(batch):
                 row, word = seeds(batch.column(1).slice(a, b - a), threshold)
                 rep = reps[a:b][row]
-                order = np.lexsort((rep, word))
+                order = np.argsort(word)
                 rep, word = rep[order], word[order]
                 first = np.ones(len(word), bool)
                 first[1:] = word[1:] != word[:-1]
@@ -216,17 +234,13 @@ class Pieces(Sets):
         count = np.maximum(np.diff(offsets) - PIECE + 1, 0)
         of = np.repeat(np.arange(len(count)), count)
         code = packed.window_codes(letters_, PIECE)[packed.spread(offsets[:-1], count)] if len(of) else np.zeros(0, np.uint64)
-        order = np.lexsort((code, of))
-        code, of = code[order], of[order]
-        new = np.ones(len(code), bool)
-        new[1:] = (code[1:] != code[:-1]) | (of[1:] != of[:-1])
-        code, of = code[new], of[new]
+        code, of = _distinct(packed.mixed(code), of, len(count))  # one to one with the codes
         super().__init__(of, code, len(count))
         width = 512
         while width < 4 * self.n.max(initial=0) and width < 16384:
             width *= 2
         self.bits = np.zeros((len(count), width // 64), np.uint64)
-        bit = (packed.mixed(code) % np.uint64(width)).astype(np.int64)
+        bit = (code % np.uint64(width)).astype(np.int64)
         for a in range(0, len(count), 4096):  # a dense block at a time
             b = min(a + 4096, len(count))
             dense = np.zeros((b - a) * width, bool)
