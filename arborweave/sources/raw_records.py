@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 FIELDS = ("name", "comment", "sequence", "quality", "tid", "num_duplicates")
-#: Explicit schema of a line; the raw text of what the parser rejects stays in `corrupt`.
-SCHEMA = "name string, comment string, sequence string, quality string, tid string, num_duplicates string, corrupt string"
-#: Lines with more commas than this never reach the permissive parser, whose columns are limited.
-MOST_COMMAS = 2000
+#: Explicit schema of a line; the raw text of what the parser rejects (by count or cast) stays in `corrupt`.
+SCHEMA = "name string, comment string, sequence string, quality string, tid string, num_duplicates int, corrupt string"
+#: Lines with more commas or quotes than this never reach the permissive parser, whose columns are limited, and the JVM's pattern, which recurs.
+MOST_COMMAS, MOST_QUOTES = 2000, 400
+#: A line in which every quoted field is closed and followed by a comma, and no other field holds a quote.
+_QUOTED = r"""\A(?:"(?:[^"]++|"")*+"|[^",]*+)(?:,(?:"(?:[^"]++|"")*+"|[^",]*+))*+\z"""
 
 # a field: quoted, in which a doubled quote is one quote, or without any quote
 _FIELD = re.compile(r'"((?:[^"]|"")*)"|([^",]*)', re.S)
@@ -47,28 +49,37 @@ def _matches(c: Column, pattern: str) -> Column:
 def classify(raw: DataFrame, line: str = "line") -> DataFrame:
     """raw plus the struct `record` of the six fields and `reason`, null where the line can be loaded.
 
-    The lines are read permissively under SCHEMA inside the JVM. What that
-    parser can't be trusted with (rejected lines, and lines that hold quotes,
-    line breaks or very many commas) is classified again by an exact reading
-    of the quoting. Then the first reason that holds is named: quoting,
-    columns, name, sequence, quality. One carriage return at the end of a
-    line is not part of it. A null line counts as an empty one. Rows equal to
-    others stay; extra columns of raw are kept, but `record` and `reason`
-    are replaced.
+    The lines, quoted fields included, are read permissively under SCHEMA
+    inside the JVM, after a check of the quoting that names the first reason.
+    What that parser rejects (a wrong count of fields or a number that can't
+    be cast), and the few lines it can't be trusted with (carriage returns,
+    NUL, very many commas or quotes), are classified again by an exact
+    reading. Then the first reason that holds is named: quoting, columns,
+    name, sequence, quality. One carriage return at the end of a line is not
+    part of it. A null line counts as an empty one. Rows equal to others
+    stay; extra columns of raw are kept, but `record` and `reason` are
+    replaced.
     """
     text = F.regexp_replace(F.coalesce(F.col(line), F.lit("")), r"\r\z", "")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "quote": '"', "escape": '"', "maxCharsPerColumn": "-1", "maxColumns": str(MOST_COMMAS + 10)}
-    commas = F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
+
+    def many(x: str) -> Column:
+        return F.length(text) - F.length(F.replace(text, F.lit(x), F.lit("")))
+
     # each explode of a single element keeps what it computes from being inlined, and so computed, again
-    kept = raw.drop("record", "reason").select("*", F.explode(F.array(F.struct(text.alias("t"), commas.alias("commas")))).alias("__l"))
-    odd = F.col("__l.t").rlike(r'["\r\n\x00]') | (F.col("__l.commas") > MOST_COMMAS)
-    csv = F.from_csv(F.when(~odd, F.col("__l.t")), SCHEMA, options)
-    read = kept.select("*", F.explode(F.array(F.struct(odd.alias("odd"), csv.alias("csv")))).alias("__r"))
+    kept = raw.drop("record", "reason").select("*", F.explode(F.array(F.struct(text.alias("t"), many(",").alias("commas"), many('"').alias("quotes")))).alias("__l"))
+    t, quotes = F.col("__l.t"), F.col("__l.quotes")
+    odd = t.rlike(r"[\r\x00]") | (F.col("__l.commas") > MOST_COMMAS) | (quotes > MOST_QUOTES)
+    broken = F.when(odd | (quotes == 0), False).otherwise(~t.rlike(_QUOTED))
+    checked = kept.select("*", F.explode(F.array(F.struct(odd.alias("odd"), broken.alias("broken")))).alias("__c"))
+    csv = F.from_csv(F.when(~F.col("__c.odd") & ~F.col("__c.broken"), t), SCHEMA, options)
+    read = checked.select("*", F.explode(F.array(csv)).alias("__r"))
     # the parser takes an empty line for a record of nulls, so the count of commas is looked at too
-    suspect = F.col("__r.odd") | F.col("__r.csv").isNull() | F.col("__r.csv.corrupt").isNotNull() | (F.col("__l.commas") != len(FIELDS) - 1)
-    plain = F.array(*(F.coalesce(F.col(f"__r.csv.{f}"), F.lit("")) for f in FIELDS))
-    again = read.withColumn("__again", suspect).withColumn("__fields", _reparse(F.when(F.col("__again"), F.col("__l.t"))))
-    parts = again.select("*", F.explode(F.array(F.when(F.col("__again"), F.col("__fields")).otherwise(plain))).alias("__parts"))
+    rejected = F.col("__r").isNull() | F.col("__r.corrupt").isNotNull() | ((quotes == 0) & (F.col("__l.commas") != len(FIELDS) - 1))
+    suspect = F.col("__c.odd") | (~F.col("__c.broken") & rejected)
+    plain = F.array(*(F.coalesce(F.col(f"__r.{f}").cast("string"), F.lit("")) for f in FIELDS))
+    again = read.withColumn("__again", suspect).withColumn("__fields", _reparse(F.when(F.col("__again"), t)))
+    parts = again.select("*", F.explode(F.array(F.when(F.col("__again"), F.col("__fields")).when(~F.col("__c.broken"), plain))).alias("__parts"))
     name, sequence, quality = (F.col("__parts")[i] for i in (0, 2, 3))
     reason = (
         F.when(F.col("__parts").isNull(), "quoting")
@@ -79,7 +90,7 @@ def classify(raw: DataFrame, line: str = "line") -> DataFrame:
     )
     out = parts.withColumn("reason", reason)
     record = F.struct(*(F.col("__parts")[i].alias(f) for i, f in enumerate(FIELDS[:5])), F.expr("try_cast(trim(__parts[5]) AS int)").alias("num_duplicates"))
-    return out.withColumn("record", F.when(F.col("reason").isNull(), record)).drop("__l", "__r", "__again", "__fields", "__parts")
+    return out.withColumn("record", F.when(F.col("reason").isNull(), record)).drop("__l", "__c", "__r", "__again", "__fields", "__parts")
 
 
 def loaded(raw: DataFrame) -> DataFrame:
