@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +30,14 @@ CLASSES, DEPTH = 64, 4
 MOST_SLICES = 4096
 # The public pattern that parts a text before byte-pair merging; a fixed value of the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts beyond this many characters are counted in pieces that end at a line or blank.
+#: Texts beyond this many characters are counted in pieces, which end where the pattern above always parts a text.
 PIECE = 1 << 20
+# A letter or digit before a blank; else any end of a run of letters or of digits, or a blank after another sign. No match of
+# the pattern lies across such a place, and none before it looks beyond it.
+_CUTS = (
+    regex.compile(r"(?<=[A-Za-z0-9])(?=[ \n])"),
+    regex.compile(r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=[^\p{L}\p{N}\p{White_Space}])(?=\p{White_Space})"),
+)
 
 
 @lru_cache(1)
@@ -43,22 +50,29 @@ def encoder(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def pieces(text: str, size: int = PIECE) -> Iterator[str]:
+    """The text in pieces of `size` characters and more, whose tokens are those of the whole text.
+
+    A piece ends at the first place from `size` on where the tokenizer's
+    pattern surely parts the text; without any such place it is the rest.
+    """
+    at = 0
+    while len(text) - at > size:
+        cut = next((m for c in _CUTS if (m := c.search(text, at + size, min(len(text), at + 2 * size)))), None) or _CUTS[1].search(text, at + size)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, n_tokens) of each text; a null or empty one has 0 tokens."""
+    """(doc_id, n_tokens) of each text, exactly; a null or empty one has 0 tokens."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(tokenizer)
         for batch in batches:
-            sizes = []
-            for text in batch["text"]:
-                n, at = 0, 0
-                while text and at < len(text):
-                    end = min(len(text), at + PIECE)
-                    if end < len(text) and (cut := text.rfind(" ", at + PIECE // 2, end)) > 0:
-                        end = cut
-                    n += len(enc.encode_ordinary(text[at:end]))
-                    at = end
-                sizes.append(n)
+            sizes = [sum(len(enc.encode_ordinary(p)) for p in pieces(text)) if text else 0 for text in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": np.array(sizes, np.int64)})
 
     return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(count, "doc_id long, n_tokens long")
