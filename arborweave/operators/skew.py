@@ -94,7 +94,7 @@ def join_counted(left: DataFrame, right: DataFrame, key: Sequence[str], n: str,
     Keys of more than heavy_limit(total) rows are at most 4,096 whatever the
     data, so their rows of right are broadcast and the rows of left stay
     where they are; all others are joined by a shuffle in which no key is
-    heavy. how: inner or left_semi. Null keys match nothing. n is dropped.
+    heavy. how: inner, left_semi or left. Null keys match nothing. n is dropped.
     """
     key = list(key)
     limit = heavy_limit(total, least)
@@ -104,6 +104,6 @@ def join_counted(left: DataFrame, right: DataFrame, key: Sequence[str], n: str,
         return left.join(right.drop(n), key, how)
     spark = left.sparkSession
     listed = F.broadcast(spark.createDataFrame(names, right.select(*key).schema))
-    heavy = left.join(F.broadcast(hot.drop(n)), key, how)
+    heavy = left.join(F.broadcast(hot.drop(n)), key, "inner" if how == "left" else how)
     light = left.join(listed, key, "left_anti").join(right.where(F.col(n) <= limit).drop(n), key, how)
     return heavy.unionByName(light)
