@@ -26,15 +26,10 @@ def tokens(comment: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(F.filter(parts, lambda x: (x != "") & ~x.rlike(r"^numduplicates(=|$)")))), " ")
 
 
-def invariants(sequence: Column) -> Column:
-    """One number from the stripped length and the letter histogram of a sequence, without building the stripped text."""
-    text = F.coalesce(sequence, F.lit(""))
+def invariants(text: Column) -> Column:
+    """One number from the length and the counts of the commonest letters of a stripped text."""
     size = F.length(text)
-
-    def count(x: str) -> Column:
-        return size - F.length(F.translate(text, x, ""))
-
-    return F.xxhash64(count("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), *(count(x) for x in ("Aa", "Cc", "Gg", "Tt")))
+    return F.xxhash64(size, *(size - F.length(F.replace(text, F.lit(x), F.lit(""))) for x in "ACGT"))
 
 
 def refine(rows: DataFrame, key: str, total: int) -> DataFrame:
@@ -58,12 +53,13 @@ def members(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     letters, so that such records are copies if their tokens agree; a null
     comment has no tokens.
     """
-    read = records.where(F.col("pos").isNotNull()).select("pos", "comment", "num_duplicates", "loaded_at", "sequence", invariants(F.col("sequence")).alias("k0"))
+    read = records.where(F.col("pos").isNotNull()).select("pos", "comment", "num_duplicates", "loaded_at", letters(F.col("sequence")).alias("__text"))
+    read = read.withColumn("k0", invariants(F.col("__text")))
     narrow = materialise(one_per_pos(read).drop("loaded_at"), "narrow")
     total = narrow.count()
-    rows = refine(narrow.select("pos", "comment", "sequence", "k0"), "k0", total)
-    # the content is stripped and hashed only in classes of several members
-    content = F.unhex(F.md5(letters(F.col("sequence"))))
+    rows = refine(narrow.select("pos", "comment", "__text", "k0"), "k0", total)
+    # the content is hashed only in classes of several members
+    content = F.unhex(F.md5("__text"))
     rows = refine(materialise(rows.select("pos", "comment", content.alias("k1")), "contents"), "k1", total)
     # and the comment is taken apart only where the contents agree
     rows = materialise(rows.select("pos", F.unhex(F.md5(F.concat(F.col("k1"), tokens(F.col("comment")).cast("binary")))).alias("k2")), "classes")
