@@ -82,7 +82,7 @@ _FILLER = re.compile(
     r"|^\W*(\w{3,})(?:\W+(?:more\s+)?\1\b){2,}",
     re.I,
 )
-_FILLER_SIGNS = r"(?i)lorem|ipsum|eiusmod|aliqua|veniam|consequat|cillum|pariatur|fugiat|officia|mollit|\bnulla|\bamet\b|sample|dummy|placeholder|filler|example|\bhere\b|to\s+come|asdf|blah|text text"
+_FILLER_SIGNS = r"(?i)lorem|ipsum|eiusmod|aliqua|veniam|consequat|cillum|pariatur|fugiat|officia|mollit|\bnulla|\bamet\b|(?:sample|dummy|placeholder|filler|example)\s+(?:text|paragraph|copy|content|sentence|heading)|\bhere\b|to\s+come|asdf|blah|text text"
 
 # Sure signs of an error page: the public reason phrases of HTTP (fixed values) as a heading, with or without their number.
 _STATUS = (
@@ -102,8 +102,10 @@ _NOTICE = re.compile(
     re.I | re.S,
 )
 # Words of trouble; they count only in sentences and pages that recur.
-_TROUBLE = r"(?i)\b(?:sorry|oops|whoops|error|fault|fatal|fail(?:ed|ure)|wrong|unavailable|available|unable|unreachable|cannot|can't|could not|couldn't|not found|tim(?:ed|e)\s?-?out|blocked|denied|refused|expired|ended|deleted|broken|again|reload|offline|outage|maintenance|permission|server|gateway|gone|page|désolée?|indisponible|impossible|échoué|introuvable|erreur|fehler|leider|fehlgeschlagen|gefunden|serverfehler|verweigert|sentimos|disponible|encontrada|permitido|too many|scripts?|scripting|java\s?scripts?|js|cookies|active content)\b"
+_TROUBLE = r"(?i)\b(?:sorry|oops|whoops|error|fault|fatal|fail(?:ed|ure)|went wrong|unavailable|unable|unreachable|cannot|can't|not found|tim(?:ed|e)\s?-?out|blocked|denied|refused|expired|ended|deleted|broken|try again|reload|offline|outage|maintenance|permission|gateway|page|désolée?|indisponible|impossible|échoué|introuvable|erreur|fehler|leider|fehlgeschlagen|gefunden|serverfehler|verweigert|sentimos|disponible|encontrada|permitido|too many|scripts?|scripting|java\s?scripts?|js|cookies|active content)\b"
 _WEAK = re.compile(_TROUBLE)
+# What a text must hold to be looked at as a page (RE2 syntax).
+_PAGE_SIGNS = _TROUBLE + rf"|(?:{'|'.join(x for x in _STATUS if x != 'gone')})\b|\b(?:[1-5]\d\d\W+gone|http)\b"
 _NAV = re.compile(r"^\W*[\w' ]{1,24}(?:\s*[|·>»]\s*[\w' ]{1,24})+\W*$")
 # Words by which a sentence talks about a slot.
 _TALK = re.compile(r"\b(?:replaces?|is\s+given\s+as|are\s+given\s+as|is\s+written\s+as|such\s+as|for\s+instance|for\s+example|prints?|puts|syntax|variables?|placeholders?)\b", re.I)
@@ -373,7 +375,7 @@ def _analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in _chunks(batch.column(2)):
             part = batch.slice(a, b - a)
             doc, copy, texts = (part.column(i) for i in range(3))
-            odd, filler, page = (np.asarray(pc.match_substring_regex(texts, pattern).cast(pa.uint8())) > 0 for pattern in (_ODD, _FILLER_SIGNS, _TROUBLE))
+            odd, filler, page = (np.asarray(pc.match_substring_regex(texts, pattern).cast(pa.uint8())) > 0 for pattern in (_ODD, _FILLER_SIGNS, _PAGE_SIGNS))
             if odd.any():
                 at = pa.array(np.flatnonzero(odd))
                 yield _marked(doc.take(at), copy.take(at), [_entities(x) for x in texts.take(at).to_pylist()])
