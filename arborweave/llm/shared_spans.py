@@ -1,17 +1,17 @@
 """Long exact spans that occur in more than one record (problem 2).
 
 Prefix-partitioned suffix trees. The suffixes of all records are split by
-prefixes into groups that fit in memory, and in each group the sorted
+prefixes into groups that fit in memory: a prefix is lengthened, step by
+step, until it has no more suffixes than a constant. In each group the sorted
 suffixes with their common prefix lengths (the array form of the subtree)
-give the internal nodes of depth >= span whose leaves lie in two records.
-
-Only windows of `span` letters matter for which letters are shared, so
-suffixes are cut there. To move about four letters per letter instead of
-`span`, a window travels under the prefix that begins at its anchor, the
-window's smallest piece of ANCHOR letters: equal windows have equal anchors,
-and neighbouring windows mostly have the same one and travel as one block.
-The range partitioner splits the anchored prefixes at sampled bounds, short
-ones where the data are thin and longer ones where they are dense.
+give the internal nodes of depth >= span whose leaves lie in two records;
+where such nodes follow one another they make up the maximal repeats.
+
+To move a letter or less per letter instead of `span`, a suffix travels under
+the prefix that begins at its anchor, the smallest piece of ANCHOR letters in
+its first `span` letters: equal suffixes have equal anchors, and neighbouring
+ones mostly have the same and travel as one block. A first pass counts the
+anchors alone, and only blocks whose anchor two records hold travel at all.
 """
 
 from __future__ import annotations
@@ -25,13 +25,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborweave.functions import packed
-from arborweave.operators.skew import heavy_limit, join_counted
+from arborweave.operators.skew import join_counted
 from arborweave.session import materialise
 
 ANCHOR = 24
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Most letters that are worked on at once in a task.
 CHUNK = 4_000_000
+#: Lengths that a prefix has one after the other, up to the anchor's.
+LENGTHS = (6, 12, 18, ANCHOR)
+#: Most blocks of a prefix, at about 84 letters each; it doesn't grow with the data.
+GROUP = 20_000
+#: Places of the filter of anchors; where it fills up it only lets more blocks pass.
+FILTER = 1 << 23
 
 
 def normal(sequence: Column) -> Column:
@@ -50,46 +56,56 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         row = end
 
 
-def _blocks(span: int):
-    """(id, text) -> (rep, off, a, block): runs of neighbouring windows with one anchor, which is at a in the block."""
-    reach = span - ANCHOR + 1
+def _cuts(letters: np.ndarray, offsets: np.ndarray, span: int) -> tuple[np.ndarray, ...] | None:
+    """(row, start, end, anchor, hash) of the runs of neighbouring suffixes of `span` letters that have one anchor."""
+    if len(letters) < span:
+        return None
+    ok = packed.inside(offsets, span, len(letters))
+    bad = np.cumsum(np.concatenate(([0], letters == 0)))
+    ok &= bad[span:] == bad[:-span]
+    bits = np.uint64(max(1, int(len(letters)).bit_length()))
+    whole = packed.mixed(packed.window_codes(letters, ANCHOR))
+    h = (whole >> bits << bits) | np.arange(len(whole), dtype=np.uint64)
+    anchor = (packed.sliding_min(h, span - ANCHOR + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    first, last = ok.copy(), ok.copy()
+    first[1:] &= ~ok[:-1] | (anchor[1:] != anchor[:-1])
+    last[:-1] &= ~ok[1:] | (anchor[1:] != anchor[:-1])
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + span
+    at = anchor[start]
+    return np.searchsorted(offsets, start, "right") - 1, start, end, at, whole[at]
+
+
+def _anchors(span: int):
+    """(id, text) -> (h, id): the hashes of a record's anchors."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, letters, offsets in _chunks(batch):
+                if (cut := _cuts(letters, offsets, span)) is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(cut[4].view(np.int64)), pa.array(ids[cut[0]], pa.int64())], ["h", "id"])
+
+    return find
+
+
+def _blocks(span: int, shared):
+    """(id, text) -> (id, off, a, block): the runs of suffixes whose anchor the filter lets pass; the anchor is at a in the block."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for batch in batches:
             for ids, letters, offsets in _chunks(batch):
-                n = len(letters) - span + 1
-                if n <= 0:
+                if (got := _cuts(letters, offsets, span)) is None:
                     continue
-                ok = packed.inside(offsets, span, len(letters))
-                bad = np.cumsum(np.concatenate(([0], letters == 0)))
-                ok &= bad[span:] == bad[:-span]
-                bits = np.uint64(max(1, int(len(letters)).bit_length()))
-                h = packed.mixed(packed.window_codes(letters, ANCHOR))
-                h = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
-                anchor = (packed.sliding_min(h, reach) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-                first = ok.copy()
-                first[1:] &= ~ok[:-1] | (anchor[1:] != anchor[:-1])
-                last = ok.copy()
-                last[:-1] &= ~ok[1:] | (anchor[1:] != anchor[:-1])
-                start, end = np.flatnonzero(first), np.flatnonzero(last)
-                if not len(start):
-                    continue
-                row = np.searchsorted(offsets, start, "right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[row], pa.int64()),
-                        pa.array(start - offsets[row], pa.int64()),
-                        pa.array(anchor[start] - start, pa.int32()),
-                        packed.strings(letters, start, end - start + span),
-                    ],
-                    ["rep", "off", "a", "block"],
-                )
+                keep = bits[(got[4] & np.uint64(FILTER - 1)).astype(np.int64)]
+                row, start, end, anchor = (x[keep] for x in got[:4])
+                columns = [pa.array(ids[row], pa.int64()), pa.array(start - offsets[row], pa.int64()), pa.array(anchor - start, pa.int32()), packed.strings(letters, start, end - start)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "off", "a", "block"])
 
     return cut
 
 
 def _trees(span: int):
-    """Sorted (prefix, h1, h2, lo, hi, block) -> (h1, h2, s, e): stretches of a block that another record has too."""
+    """Sorted (prefix, h1, h2, shift, lo, hi, block) -> (h1, h2, s, e): stretches of a block, which begins at shift in the whole, that another record has too."""
 
     def shared(part: pa.Table) -> pa.RecordBatch | None:
         letters, offsets = packed.letters_of(part.column("block"))
@@ -111,7 +127,7 @@ def _trees(span: int):
         begin[1:] &= ~(hit[:-1] & (block[1:] == block[:-1]))
         end[:-1] &= ~(hit[1:] & (block[1:] == block[:-1]))
         begin, end = np.flatnonzero(begin), np.flatnonzero(end)
-        where = leaf - offsets[block]
+        where = leaf - offsets[block] + part.column("shift").to_numpy()[block]
         of = pa.array(block[begin])
         return pa.RecordBatch.from_arrays(
             [part.column("h1").combine_chunks().take(of), part.column("h2").combine_chunks().take(of), pa.array(where[begin], pa.int32()), pa.array(where[end] + span, pa.int32())],
@@ -159,11 +175,12 @@ def _trees(span: int):
 
 
 def _windows(span: int):
-    """(h1, h2, lo, hi, block) -> one row for each window of a block."""
+    """(h1, h2, shift, lo, hi, block) -> (h1, h2, lo, hi, s, w): one row for each suffix of a block, of `span` letters."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            letters, offsets = packed.letters_of(batch.column(4))
+            letters, offsets = packed.letters_of(batch.column(5))
+            shift = batch.column(2).to_numpy()
             for a in range(0, batch.num_rows, 1000):
                 at = offsets[a : a + 1001]
                 n = np.diff(at) - span + 1
@@ -171,7 +188,7 @@ def _windows(span: int):
                 of = np.repeat(np.arange(len(n)), n)
                 take = pa.array(of + a)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).take(take) for i in range(4)), pa.array((start - at[:-1][of]).astype(np.int32)), packed.strings(letters, start, np.full(len(start), span))],
+                    [*(batch.column(i).take(take) for i in (0, 1, 3, 4)), pa.array((start - at[:-1][of] + shift[of + a]).astype(np.int32)), packed.strings(letters, start, np.full(len(start), span))],
                     ["h1", "h2", "lo", "hi", "s", "w"],
                 )
 
@@ -186,57 +203,96 @@ def joined_runs(spans: DataFrame, by: str) -> DataFrame:
     return new.withColumn("island", island).groupBy(by, "island").agg(F.min("s").alias("span_start"), F.max("e").alias("span_end")).drop("island")
 
 
-def shared_spans(records: DataFrame, span: int = 64, least_heavy: int = 1000, least_prefix: int = 50_000) -> DataFrame:
+TREE = ["prefix", "h1", "h2", "shift", "lo", "hi", "block"]
+
+
+def _overfull(known: DataFrame, most: int) -> DataFrame:
+    """(prefix, n, long): the prefixes of more blocks than a group may have."""
+    return materialise(known.groupBy("prefix").agg(F.count("*").alias("n")).where(F.col("n") > most).withColumn("long", F.lit(True)), "overfull")
+
+
+def _prefixed(known: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """(blocks with the prefix of their group, blocks of anchors that are too common for a group).
+
+    A prefix is the letters from the anchor on, as many of LENGTHS as it takes
+    until no more than `most` blocks have it.
+    """
+    total = known.count()
+    known = known.withColumn("prefix", F.expr(f"substring(block, a + 1, {LENGTHS[0]})"))
+    for k, length in enumerate(LENGTHS):
+        long = _overfull(known, most)
+        if long.isEmpty():
+            return known, None
+        listed = join_counted(known, long, ["prefix"], "n", total, "left")
+        if length == ANCHOR:
+            listed = materialise(listed, "prefixed")
+            return listed.where("long IS NULL").drop("long"), listed.where("long").drop("long", "prefix")
+        known = materialise(listed.withColumn("prefix", F.when(F.col("long"), F.expr(f"substring(block, a + 1, {LENGTHS[k + 1]})")).otherwise(F.col("prefix"))).drop("long"), "prefixed")
+    raise AssertionError
+
+
+def _two_sided(blocks: DataFrame, span: int) -> DataFrame:
+    """The blocks of very common anchors under prefixes of ANCHOR + 20 letters.
+
+    A suffix that begins near the anchor has so many letters from the anchor
+    on; any other has 20 letters before the anchor, and its prefix begins there.
+    """
+    more = (span - ANCHOR) // 2
+    right = blocks.where(F.length("block") - F.greatest(F.col("a") - more, F.lit(0)) >= span).select(
+        F.expr(f"concat('R', substring(block, a + 1, {ANCHOR + more}))").alias("prefix"), "h1", "h2", F.greatest(F.col("a") - more, F.lit(0)).alias("shift"), "lo", "hi", F.expr(f"substring(block, greatest(a - {more}, 0) + 1)").alias("block")
+    )
+    left = blocks.where(F.col("a") > more).select(
+        F.expr(f"concat('L', substring(block, a - {more} + 1, {ANCHOR + more}))").alias("prefix"), "h1", "h2", F.lit(0).alias("shift"), "lo", "hi", F.expr(f"substring(block, 1, a - {more} - 1 + {span})").alias("block")
+    )
+    return right.unionByName(left.where(F.length("block") >= span))
+
+
+def shared_spans(records: DataFrame, span: int = 64, least_heavy: int = 1000, group: int = GROUP) -> DataFrame:
     """(pos, span_start, span_end): maximal runs of letters that another record shares.
 
     A letter is shared if it lies in a run of at least `span` letters that
     also occurs, case apart, in a record with another pos. Starts count from
     0, ends are exclusive. Repeats within one record don't count. Records
     with null or too short sequences, and null pos, give no rows; equal rows
-    count once; a character outside of ASCII matches nothing. A record that
-    is wholly equal to another is shared from end to end.
+    count once; a character outside of ASCII matches nothing.
     """
-    if span < ANCHOR:
-        raise ValueError(f"span must be at least {ANCHOR}")
-    rows = records.select("pos", normal(F.col("sequence")).alias("text")).where((F.length("text") >= span) & F.col("pos").isNotNull())
-    # equal sequences first: one stands for all, so that copies cost nothing below
-    # (a text that holds NUL isn't shared as a whole, so there each record stands for itself)
-    alone = F.when(F.col("text").contains("\u0000"), F.col("pos"))
-    reps = materialise(rows.groupBy("text", alone.alias("alone")).agg(F.min("pos").alias("rep"), F.max("pos").alias("top"), F.count("*").alias("n")).drop("alone"), "reps")
-    blocks = reps.select("rep", "text").mapInArrow(_blocks(span), "rep long, off long, a int, block string")
-    blocks = blocks.withColumn("h1", F.xxhash64("block")).withColumn("h2", F.xxhash64(F.lit(1), "block"))
-    # equal blocks meet in a partial aggregate, so a span that most records hold is a single row afterwards
-    known = blocks.groupBy("h1", "h2", "block", "a").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n"))
-    known = materialise(known.select(F.expr(f"substring(block, a + 1, {ANCHOR})").alias("prefix"), "h1", "h2", "lo", "hi", "n", "block"), "blocks")
+    if span < ANCHOR + 2:
+        raise ValueError(f"span must be at least {ANCHOR + 2}")
     spark = records.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    # prefixes of too many blocks for one task (at most 4,096) are lengthened to whole windows, whose nodes an aggregate finds
-    limit = heavy_limit(known.count(), least_prefix)
-    long = known.groupBy("prefix").count().where(F.col("count") > limit).select("prefix").collect()
-    some, parts = known, []
-    if long:
-        listed = F.broadcast(spark.createDataFrame(long, "prefix string"))
-        some = known.join(listed, "prefix", "left_anti")
-        windows = materialise(known.join(listed, "prefix", "left_semi").select("h1", "h2", "lo", "hi", "block").mapInArrow(_windows(span), "h1 long, h2 long, lo long, hi long, s int, w string"), "windows")
+    rows = records.where(F.col("pos").isNotNull()).select(F.col("pos").cast("long").alias("id"), normal(F.col("sequence")).alias("text")).where(F.length("text") >= span)
+    # anchors that two records hold, counted by a partial aggregate
+    held = rows.mapInArrow(_anchors(span), "h long, id long").groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    numbers = held.select(F.col("h").bitwiseAND(F.lit(FILTER - 1)).cast("int").alias("x")).distinct().toArrow().column(0).to_numpy()  # at most FILTER
+    bits = np.zeros(FILTER, bool)
+    bits[numbers] = True
+    blocks = rows.mapInArrow(_blocks(span, spark.sparkContext.broadcast(bits)), "id long, off long, a int, block string")
+    blocks = materialise(blocks.withColumn("h1", F.xxhash64("block")).withColumn("h2", F.xxhash64(F.lit(1), "block")), "blocks")
+    # equal blocks meet in a partial aggregate, so a span that most records hold is a single row afterwards
+    first = [F.first(c).alias(c) for c in ("a", "block")]
+    known = materialise(blocks.groupBy("h1", "h2").agg(*first, F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")), "known")
+    some, rest = _prefixed(known, group)
+    parts = [some.withColumn("shift", F.lit(0)).select(*TREE)]
+    found_ = None
+    if rest is not None:
+        longer = materialise(_two_sided(rest, span), "longer")
+        long = _overfull(longer, group)
+        listed = materialise(join_counted(longer, long, ["prefix"], "n", longer.count(), "left"), "listed")
+        parts.append(listed.where("long IS NULL").select(*TREE))
+        # what is common even so is lengthened to the whole span: each prefix is then a node, found by an aggregate
+        windows = materialise(listed.where("long").select(*TREE[1:]).mapInArrow(_windows(span), "h1 long, h2 long, lo long, hi long, s int, w string"), "windows")
         deep = windows.groupBy("w").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("w", "n")
-        parts = [join_counted(windows.select("h1", "h2", "s", "w"), deep, ["w"], "n", windows.count(), least=least_heavy).select("h1", "h2", "s", (F.col("s") + span).alias("e"))]
-    sorted_ = some.drop("n").repartitionByRange(tasks, "prefix").sortWithinPartitions("prefix")
-    found_ = sorted_.mapInArrow(_trees(span), "h1 long, h2 long, s int, e int")
+        found_ = join_counted(windows.select("h1", "h2", "s", "w"), deep, ["w"], "n", windows.count(), least=least_heavy).select("h1", "h2", "s", (F.col("s") + span).alias("e"))
     for part in parts:
-        found_ = found_.unionByName(part)
+        grown = part.repartition(tasks, "prefix").sortWithinPartitions("prefix").mapInArrow(_trees(span), "h1 long, h2 long, s int, e int")
+        found_ = grown if found_ is None else found_.unionByName(grown)
     nodes = materialise(found_, "nodes")
     # stretches of one block travel together, so each block is one row of the join
     per_block = nodes.groupBy("h1", "h2").agg(F.collect_list(F.struct("s", "e")).alias("runs"))  # at most a block's length
     counted = per_block.join(known.select("h1", "h2", "n"), ["h1", "h2"])
-    total = known.agg(F.sum("n")).first()[0] or 0
-    placed = join_counted(blocks.select("rep", "off", "h1", "h2"), counted, ["h1", "h2"], "n", total, least=least_heavy)
-    runs = placed.select("rep", "off", F.explode("runs").alias("r")).select("rep", (F.col("off") + F.col("r.s")).alias("s"), (F.col("off") + F.col("r.e")).alias("e"))
-    # of classes of one record the run is the record's; all members of larger ones are shared whole
-    single = joined_runs(runs.join(reps.where("rep = top").select("rep"), "rep", "left_semi"), "rep").select(F.col("rep").alias("pos"), "span_start", "span_end")
-    hashed = rows.where(~F.col("text").contains("\u0000")).select("pos", F.length("text").alias("e"), F.md5("text").alias("m"))
-    several = reps.where(F.col("rep") < F.col("top")).select(F.md5("text").alias("m"), "n")
-    whole = join_counted(hashed, several, ["m"], "n", reps.agg(F.sum("n")).first()[0] or 0, "left_semi", least_heavy).select("pos", F.lit(0).cast("long").alias("span_start"), F.col("e").cast("long").alias("span_end")).distinct()
-    return single.unionByName(whole)
+    placed = join_counted(blocks.select("id", "off", "h1", "h2"), counted, ["h1", "h2"], "n", blocks.count(), least=least_heavy)
+    runs = placed.select("id", "off", F.explode("runs").alias("r")).select("id", (F.col("off") + F.col("r.s")).alias("s"), (F.col("off") + F.col("r.e")).alias("e"))
+    return joined_runs(runs, "id").select(F.col("id").alias("pos"), "span_start", "span_end")
 
 
 def found(records: DataFrame) -> DataFrame:

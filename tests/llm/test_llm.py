@@ -40,7 +40,7 @@ def brute_spans(records, span):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"least_heavy": 1, "least_prefix": 1}])
+@pytest.mark.parametrize("limits", [{}, {"least_heavy": 1, "group": 1}, {"group": 3}])
 def test_shared_spans(spark, limits):
     rng = random.Random(1)
     common, other = dna(rng, 70), dna(rng, 40)
