@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborweave.functions import packed
@@ -173,6 +173,54 @@ def branch_events(pairs: DataFrame, key: str = "branch") -> DataFrame:
     return rows.mapInArrow(_events, f"k {kind}, kind string, start int, end int, from_state string, to_state string").withColumnRenamed("k", key)
 
 
+def shifts(events: DataFrame) -> DataFrame:
+    """(branch, column_, shift): for each insertion of a branch, by how many columns what follows has moved in the parent.
+
+    A window over the insertions of one branch, which are bounded by the row's length.
+    """
+    rows = events.where("kind = 'insertion'").select("branch", "start", (F.col("end") - F.col("start") + 1).alias("n"))
+    return rows.select("branch", F.col("start").alias("column_"), F.sum("n").over(Window.partitionBy("branch").orderBy("start")).alias("shift"))
+
+
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        p, p_at = packed.letters_of(batch.column(1))
+        c, c_at = packed.letters_of(batch.column(2))
+        size = np.minimum(np.diff(p_at), np.diff(c_at))
+        first = np.cumsum(size) - size
+        sides = [v[packed.spread(at[:-1], size)] != ord("-") for v, at in ((p, p_at), (c, c_at))]
+        row = np.repeat(np.arange(len(size)), size)
+        totals = [np.concatenate([[0], np.cumsum(x)]) for x in sides]
+        at = np.flatnonzero(sides[0] != sides[1])
+        numbers = [pa.array(t[at + 1] - t[first[row[at]]], pa.int32()) for t in totals]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[at])), pa.array(at - first[row[at]] + 1, pa.int32()), *numbers], ["k", "col", "left_site", "right_site"])
+
+
+def running_sites(pairs: DataFrame, key: str = "branch") -> DataFrame:
+    """(branch, col, left_site, right_site): the last site of the parent and of the child up to each column in which only one has a residue.
+
+    Columns and sites count from 1, 0 before the first. Null texts give no rows.
+    """
+    rows = pairs.where("parent IS NOT NULL AND child IS NOT NULL").select(F.col(key).alias("k"), _ascii(F.col("parent")).alias("p"), _ascii(F.col("child")).alias("c"))
+    return rows.mapInArrow(_running, f"k {dict(rows.dtypes)['k']}, col int, left_site int, right_site int").withColumnRenamed("k", key)
+
+
+def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        p, p_at = packed.letters_of(batch.column(1))
+        c, c_at = packed.letters_of(batch.column(2))
+        size = np.minimum(np.diff(p_at), np.diff(c_at))
+        x, y = p[packed.spread(p_at[:-1], size)], c[packed.spread(c_at[:-1], size)]
+        mark = np.where((x == ord("-")) | (y == ord("-")), np.uint8(ord("-")), np.where(x == y, np.uint8(ord("1")), np.uint8(ord("0"))))
+        yield pa.RecordBatch.from_arrays([batch.column(0), packed.strings(mark, np.cumsum(size) - size, size)], ["k", "identity"])
+
+
+def identity_vectors(pairs: DataFrame, a: str = "a", b: str = "b", key: str = "id") -> DataFrame:
+    """(key, identity): a sign for each column of two aligned rows, 1 where they agree (case apart), 0 where not, - where either has a gap."""
+    rows = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(key).alias("k"), _ascii(F.col(a)).alias("a"), _ascii(F.col(b)).alias("b"))
+    return rows.mapInArrow(_agreement, f"k {dict(rows.dtypes)['k']}, identity string").withColumnRenamed("k", key)
+
+
 def pair_distances(triples: DataFrame, key: str = "id") -> DataFrame:
     """(key, d_ps, d_pq, d_sq): shares of differing columns between the aligned rows parent, sister and query, over columns all three have."""
     x, y, z = (F.split(F.upper(c), "") for c in ("parent", "sister", "query"))

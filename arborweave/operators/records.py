@@ -37,6 +37,12 @@ def checked_dna(records: DataFrame, gaps: bool = False) -> DataFrame:
     return records.select("pos", kept.alias("sequence"), S.count_of(kept, "ACGT").alias("n_acgt"), (F.length(kept) == F.length("sequence")).alias("ok"))
 
 
+def checked_protein(records: DataFrame, gaps: bool = False) -> DataFrame:
+    """(pos, sequence, ok): sequences in the protein alphabet; ok tells that nothing was dropped."""
+    kept = S.protein_letters(F.col("sequence"), gaps)
+    return records.select("pos", kept.alias("sequence"), (F.length(kept) == F.length("sequence")).alias("ok"))
+
+
 def data_type(records: DataFrame, least: float = 0.9) -> DataFrame:
     """(n_dna, n_amino, is_dna) over all records: DNA if more than `least` of the amino letters are ACGTUN."""
     up = F.upper("sequence")

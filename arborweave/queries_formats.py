@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborweave.operators import trees as T
-from arborweave.queries_sequences import _C, _R, contigs, records
+from arborweave.functions import sequences as S
+from arborweave.queries_sequences import _C, _EVENTS, _R, contigs, records
 from arborweave.session import shared_dir, table
 from arborweave.sources import formats, writers
 
@@ -50,12 +50,39 @@ def fastq_roundtrip(spark, sf):
     return back.groupBy("name", "sequence", "quality").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_C} SELECT CAST(pos AS VARCHAR) AS name, CAST(i AS INTEGER) AS site, sequence[i + 1] AS symbol FROM (SELECT pos, sequence, unnest(range(0, length(sequence))) AS i FROM c)")
+@query(
+    f"""WITH {_C}, x AS (SELECT CAST(pos AS VARCHAR) AS name, CAST(i AS INTEGER) AS i, sequence[i + 1] AS symbol FROM (SELECT pos, sequence, unnest(range(0, length(sequence))) AS i FROM c))
+SELECT name, 'site' AS kind, i AS a, CAST(NULL AS INTEGER) AS b, symbol FROM x UNION ALL SELECT name, 'edge', CAST(i - 1 AS INTEGER), i, NULL FROM x WHERE i > 0"""
+)
 def graph_roundtrip(spark, sf):
+    """Sites and edges of the consensus records' graphs, written and read."""
     sites = contigs(spark, sf).where("length(sequence) > 0").select(F.col("pos").cast("string").alias("name"), F.posexplode(F.expr("filter(split(sequence, ''), x -> x <> '')"))).select("name", F.col("pos").alias("site"), F.col("col").alias("symbol"))
     edges = sites.where("site > 0").select("name", (F.col("site") - 1).alias("start"), F.col("site").alias("end"), F.lit(1.0).cast("float").alias("weight"))
-    got, _ = formats.read_graphs(spark, _saved(spark, writers.graph(sites, edges)))
-    return got
+    got, ways = formats.read_graphs(spark, _saved(spark, writers.graph(sites, edges)))
+    return got.select("name", F.lit("site").alias("kind"), F.col("site").alias("a"), F.lit(None).cast("int").alias("b"), "symbol").unionByName(
+        ways.select("name", F.lit("edge").alias("kind"), F.col("start").alias("a"), F.col("end").alias("b"), F.lit(None).cast("string").alias("symbol"))
+    )
+
+
+@query(
+    """SELECT CAST(pos AS VARCHAR) AS name, '0 ' || trim(regexp_replace(coalesce(sequence, ''), '\\s', '', 'g')) || '; 0 x 1' AS line FROM (SELECT DISTINCT pos, sequence FROM contigs)"""
+)
+def graph_line_faults(spark, sf):
+    """Lines of graph files that are no site: here an edge without a number, after each good line."""
+    rows = contigs(spark, sf).select("pos", F.regexp_replace(F.coalesce("sequence", F.lit("")), r"\s", "").alias("s"))
+    text = F.concat(F.lit("#"), F.col("pos").cast("string"), F.lit("\n0 A\n1 C; 0 1 1\n0 "), "s", F.lit("; 0 x 1"))
+    return formats.graph_line_faults(spark, _saved(spark, rows.select(F.col("pos").alias("ord"), text.alias("value"))))
+
+
+@query(
+    f"""WITH {_R} SELECT 'p' || pos AS line, CASE WHEN length(quality) = length(sequence) THEN 'none' ELSE 'length' END AS reason FROM r WHERE quality IS NOT NULL AND sequence IS NOT NULL AND length(quality) <> length(sequence)"""
+)
+def fastq_faults(spark, sf):
+    """Headers of FASTQ records whose quality is not as long as the sequence."""
+    rows = records(spark, sf, "sequence", "quality").where("quality IS NOT NULL AND sequence IS NOT NULL")
+    text = F.concat(F.lit("@p"), F.col("pos").cast("string"), F.lit("\n"), F.regexp_replace("sequence", r"\s", "_"), F.lit("\n+\n"), F.regexp_replace("quality", r"\s", "_"))
+    faults = formats.fastq_faults(spark, _saved(spark, rows.select(F.col("pos").alias("ord"), text.alias("value"))))
+    return faults.where("reason = 'length'").select(F.substring("line", 2, 100).alias("line"), "reason")
 
 
 @query("SELECT t.name, p.name AS parent, t.side, round(t.dist, 6) AS dist, nullif(trim(t.tid), '') AS tid, t.height FROM tree_nodes t LEFT JOIN tree_nodes p ON p.node_id = t.parent_id")
@@ -109,14 +136,74 @@ def nexus_write(spark, sf):
     return writers.written(_aligned(spark, sf), "nexus")
 
 
+_TEXT = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
 @query(
-    """SELECT name AS leaf, '<leaf id="' || name || '" name="' || name || '">' || chr(10) || '  <sequence>' || chr(10) || '    ' || 'N' || chr(10) || '  </sequence>' || chr(10) || '</leaf>' AS value FROM tree_nodes WHERE height = 0"""
+    f"""WITH {_C}, n AS (SELECT pos, {_TEXT.format("coalesce(name, '')")} AS name, coalesce(sequence, '') AS s, pos % 2 = 0 AS leaf FROM c)
+SELECT CAST(-1 AS BIGINT) AS ord, '<ms_alignment>' || chr(10) || '<newick>' || chr(10) || '(a:1,b:1);' || chr(10) || '</newick>' || chr(10) || '<nodes>' AS value
+UNION ALL SELECT 4611686018427387904, '</nodes>' || chr(10) || '</ms_alignment>'
+UNION ALL SELECT pos, '<' || CASE WHEN leaf THEN 'leaf' ELSE 'node' END || ' id="' || name || '" name="' || name || '">' || chr(10) || '  <sequence>' || chr(10) || '    ' || s || chr(10) || '  </sequence>' || chr(10) || '</' || CASE WHEN leaf THEN 'leaf' ELSE 'node' END || '>' FROM n"""
 )
 def xml_write(spark, sf):
-    tree = table(spark, sf, "tree_nodes")
-    rows = T.leaves(tree).select(F.col("node_id").alias("pos"), "name", F.lit("N").alias("sequence"), F.lit(True).alias("is_leaf"))
-    lines = writers.xml(rows, writers.newick_text(tree))
-    return lines.join(rows.select(F.col("pos").alias("ord"), F.col("name").alias("leaf")), "ord").select("leaf", "value")
+    """The consensus records as an XML alignment, those of even pos as leaves."""
+    rows = contigs(spark, sf).select("pos", "name", "sequence", (F.col("pos") % 2 == 0).alias("is_leaf"))
+    return writers.xml(rows, "(a:1,b:1);")
+
+
+@query("SELECT name, sequence FROM (SELECT regexp_replace(coalesce(name, ''), '\\s', '_', 'g') || '.' || pos AS name, upper(regexp_replace(sequence, '\\s', '', 'g')) AS sequence FROM (SELECT DISTINCT pos, name, sequence FROM contigs)) WHERE sequence <> ''")
+def phylip_roundtrip(spark, sf):
+    rows = contigs(spark, sf).select("pos", F.concat(F.regexp_replace(F.coalesce("name", F.lit("")), r"\s", "_"), F.lit("."), F.col("pos").cast("string")).alias("name"), F.upper(F.regexp_replace("sequence", r"\s", "")).alias("sequence")).where("sequence <> ''")
+    return formats.read_phylip(spark, _saved(spark, writers.phylip_sequential(rows, cut=False)))
+
+
+@query("SELECT n_name AS key, CAST(n_regionkey AS VARCHAR) AS value FROM nation UNION ALL SELECT r_name, '1' FROM region")
+def config_scan(spark, sf):
+    """Options of a config file: a value for each nation, a flag for each region, comments between."""
+    nation = table(spark, sf, "nation").select(F.concat("n_name", F.lit(" = "), F.col("n_regionkey").cast("string"), F.lit(" # "), F.coalesce("n_name", F.lit(""))).alias("v"))
+    region = table(spark, sf, "region").select(F.concat(F.lit("# x\n\n"), "r_name").alias("v"))
+    text = "\n".join(r["v"] for r in nation.unionByName(region).collect())  # one small file
+    return spark.createDataFrame(list(formats.read_options(text).items()), "key string, value string")
+
+
+@query(
+    f"""WITH {_C}, k AS (SELECT pos, coalesce(name, '') AS name, length(coalesce(sequence, '')) AS n FROM c)
+SELECT 'padded' AS what, pos, rpad(name, 10, ' ') AS value FROM k UNION ALL SELECT 'without', pos, replace(replace(name, '_', ''), '.', '') FROM k
+UNION ALL SELECT 'lines', pos, CAST(greatest(1, CAST(ceil(n / 60.0) AS BIGINT)) AS VARCHAR) FROM k"""
+)
+def string_helpers(spark, sf):
+    rows = contigs(spark, sf).select("pos", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("sequence", F.lit("")).alias("s"))
+    lines = F.size(F.split(S.wrapped(F.col("s"), 60), "\n")).cast("string")
+    what = F.array(*(F.struct(F.lit(k).alias("what"), v.alias("value")) for k, v in (("padded", S.padded(F.col("name"), 10)), ("without", S.without(F.col("name"), "_", ".")), ("lines", lines))))
+    return rows.select("pos", F.explode(what).alias("x")).select("x.what", "pos", "x.value")
+
+
+@query(_EVENTS + """SELECT branch, "start" AS ord, ' ' || CASE WHEN "start" = "end" THEN CAST("start" AS VARCHAR) ELSE "start" || '..' || "end" END || ' ' || kind || CASE WHEN kind = 'substitution' THEN ' ' || from_state || ' -> ' || to_state ELSE '' END AS value FROM ev""")
+def event_report(spark, sf):
+    from arborweave.queries_sequences import branch_events
+
+    return writers.event_lines(branch_events(spark, sf))
+
+
+@query(
+    "SELECT '>' || coalesce(query, '') || chr(10) AS value FROM (SELECT DISTINCT query FROM hits h WHERE query IS NOT NULL AND NOT EXISTS (SELECT 1 FROM sequences s WHERE s.name = h.query))"
+)
+def discarded_sink(spark, sf):
+    """Queries of the hit list without a record, written as FASTA."""
+    lost = table(spark, sf, "hits").select("query").dropna().distinct().join(table(spark, sf, "sequences").select(F.col("name").alias("query")), "query", "left_anti")
+    return writers.fasta(lost.select(F.lit(0).alias("pos"), F.col("query").alias("name"), F.lit("").alias("comment"), F.lit("").alias("sequence"))).select("value")
+
+
+@query(
+    """WITH o AS (SELECT DISTINCT name, frame, orf_start, upper(dna) AS d, translation AS p FROM orfs WHERE dna IS NOT NULL AND translation IS NOT NULL),
+b AS (SELECT name || '|' || frame || '|' || orf_start AS id, array_to_string(list_transform(range(1, length(p) + 1), lambda i: CASE WHEN p[i] = '-' THEN '---' WHEN length(substr(d, 3 * (i - 1 - (length(p[1:i]) - length(replace(p[1:i], '-', '')))) + 1, 3)) = 3 THEN substr(d, 3 * (i - 1 - (length(p[1:i]) - length(replace(p[1:i], '-', '')))) + 1, 3) ELSE 'NNN' END), '') AS s FROM o)
+SELECT id AS name, upper(s) AS sequence FROM b WHERE id IS NOT NULL"""
+)
+def backtranslated_sink(spark, sf):
+    """Reading frames written as the DNA of their proteins, and read again."""
+    o = table(spark, sf, "orfs").where("dna IS NOT NULL AND translation IS NOT NULL AND name IS NOT NULL").select("name", "frame", "orf_start", F.upper("dna").alias("d"), F.col("translation").alias("p")).distinct()
+    rows = o.select(F.concat_ws("|", "name", F.col("frame").cast("string"), F.col("orf_start").cast("string")).alias("name"), "d", F.col("p").alias("sequence"), F.lit("").alias("comment"), F.xxhash64("name", "frame", "orf_start", "d", "p").alias("pos"))
+    return formats.read_fasta(spark, _saved(spark, writers.back_translated(rows, F.col("d")))).select("name", "sequence")
 
 
 @query("SELECT 'contigs' AS what, 'fasta' AS format")

@@ -41,11 +41,11 @@ def contigs(spark: SparkSession, sf: str) -> DataFrame:
 _COLUMNS = ("name", "comment", "sequence", "quality", "tid", "num_duplicates", "node_to_align", "node_score")
 _R = "r AS (SELECT pos, " + ", ".join(f"x.{c} AS {c}" for c in _COLUMNS) + " FROM (SELECT pos, arg_min({" + ", ".join(f"'{c}': {c}" for c in _COLUMNS) + "}, loaded_at) AS x FROM sequences GROUP BY pos))"
 _C = "c AS (SELECT DISTINCT pos, name, sequence, tid, num_duplicates FROM contigs)"
-_CODE = f"CASE WHEN regexp_full_match(x, '[TCAG]{{3}}') THEN '{codons.code()}'[(instr('TCAG', x[1]) - 1) * 16 + (instr('TCAG', x[2]) - 1) * 4 + instr('TCAG', x[3])] WHEN x = '---' THEN '-' ELSE 'X' END"
+_CODE = "CASE WHEN regexp_full_match(x, '[TCAG]{{3}}') THEN '{code}'[(instr('TCAG', x[1]) - 1) * 16 + (instr('TCAG', x[2]) - 1) * 4 + instr('TCAG', x[3])] WHEN x = '---' THEN '-' ELSE 'X' END"
 
 
-def _translated(s: str) -> str:
-    return f"array_to_string(list_transform(list_transform(range(1, length({s}) + 1, 3), lambda i: substr({s}, i, 3)), lambda x: {_CODE}), '')"
+def _translated(s: str, mitochondrial: bool = False) -> str:
+    return f"array_to_string(list_transform(list_transform(range(1, length({s}) + 1, 3), lambda i: substr({s}, i, 3)), lambda x: {_CODE.format(code=codons.code(mitochondrial))}), '')"
 
 
 @query(f"WITH {_R} SELECT pos, replace(sequence, '-', '') AS sequence FROM r")
@@ -513,14 +513,18 @@ def _heap_pairs(spark, sf) -> DataFrame:
     return x.where("up <> pos").join(y, "up").join(z, "pos", "left").drop("up")
 
 
-@query(
+_EVENTS = (
     _PAIR
     + """, x AS (SELECT pos, i, parent[i] AS p, child[i] AS q FROM (SELECT *, unnest(range(1, least(length(parent), length(child)) + 1)) AS i FROM b WHERE parent IS NOT NULL AND child IS NOT NULL)),
 y AS (SELECT pos, i, p, q, CASE WHEN p = '-' THEN 'insertion' WHEN q = '-' THEN 'deletion' WHEN p <> q THEN 'substitution' ELSE 'same' END AS kind FROM x WHERE NOT (p = '-' AND q = '-')),
-z AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY i) - row_number() OVER (PARTITION BY pos, kind ORDER BY i) AS run FROM y)
-SELECT pos AS branch, kind, CAST(i AS INTEGER) AS start, CAST(i AS INTEGER) AS "end", p AS from_state, q AS to_state FROM z WHERE kind = 'substitution'
-UNION ALL SELECT pos, kind, CAST(min(i) AS INTEGER), CAST(max(i) AS INTEGER), NULL, NULL FROM z WHERE kind IN ('insertion', 'deletion') GROUP BY pos, kind, run"""
+z AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY i) - row_number() OVER (PARTITION BY pos, kind ORDER BY i) AS run FROM y),
+ev AS (SELECT pos AS branch, kind, CAST(i AS INTEGER) AS start, CAST(i AS INTEGER) AS "end", p AS from_state, q AS to_state FROM z WHERE kind = 'substitution'
+UNION ALL SELECT pos, kind, CAST(min(i) AS INTEGER), CAST(max(i) AS INTEGER), NULL, NULL FROM z WHERE kind IN ('insertion', 'deletion') GROUP BY pos, kind, run)
+"""
 )
+
+
+@query(_EVENTS + "SELECT * FROM ev")
 def branch_events(spark, sf):
     return C.branch_events(_heap_pairs(spark, sf).withColumnRenamed("pos", "branch"))
 
@@ -546,3 +550,43 @@ SELECT pos AS id, round(CASE WHEN p + s > 0 THEN p / (p + s) * 0.1 ELSE 0.05 END
 def branch_repair(spark, sf):
     d = C.pair_distances(_heap_pairs(spark, sf).withColumnsRenamed({"pos": "id", "child": "query"}))
     return C.three_point(d, F.lit(0.1)).select("id", *(F.round(c, 6).alias(c) for c in ("to_parent", "to_sister", "to_query")))
+
+
+@query(_EVENTS + """SELECT branch, start AS column_, CAST(sum("end" - start + 1) OVER (PARTITION BY branch ORDER BY start) AS BIGINT) AS shift FROM ev WHERE kind = 'insertion'""")
+def parent_reindex(spark, sf):
+    """How far the parent's sites behind each insertion of a child move when the insertions become columns of its own."""
+    return C.shifts(branch_events(spark, sf))
+
+
+@query(
+    _PAIR
+    + """, x AS (SELECT pos, i, parent[i] <> '-' AS l, child[i] <> '-' AS r FROM (SELECT *, unnest(range(1, least(length(parent), length(child)) + 1)) AS i FROM b WHERE parent IS NOT NULL AND child IS NOT NULL)),
+y AS (SELECT pos, i, l, r, count(*) FILTER (l) OVER (PARTITION BY pos ORDER BY i) AS a, count(*) FILTER (r) OVER (PARTITION BY pos ORDER BY i) AS b FROM x)
+SELECT pos AS branch, CAST(i AS INTEGER) AS col, CAST(a AS INTEGER) AS left_site, CAST(b AS INTEGER) AS right_site FROM y WHERE l <> r"""
+)
+def unique_index(spark, sf):
+    """The last site of either row up to each column in which only one of them has a residue."""
+    return C.running_sites(_heap_pairs(spark, sf).withColumnRenamed("pos", "branch"))
+
+
+@query(
+    _PAIR
+    + """SELECT pos AS id, array_to_string(list_transform(range(1, least(length(parent), length(child)) + 1), lambda i: CASE WHEN parent[i] = '-' OR child[i] = '-' THEN '-' WHEN parent[i] = child[i] THEN '1' ELSE '0' END), '') AS identity FROM b WHERE parent IS NOT NULL AND child IS NOT NULL"""
+)
+def identity_vectors(spark, sf):
+    """Column by column, whether two aligned rows agree."""
+    return C.identity_vectors(_heap_pairs(spark, sf).select(F.col("pos").alias("id"), F.col("child").alias("a"), F.col("parent").alias("b")))
+
+
+@query(
+    f"""WITH {_R}, k AS (SELECT pos, sequence AS s, regexp_replace(replace(upper(sequence), 'U', 'X'), '[^ARNDCQEGHILKMFPSTWYVX]', '', 'g') AS t FROM r)
+SELECT pos, t AS sequence, length(t) = length(s) AS ok FROM k"""
+)
+def protein_filter(spark, sf):
+    return R.checked_protein(records(spark, sf, "sequence"))
+
+
+@query(f"WITH o AS (SELECT DISTINCT name, frame, orf_start, upper(dna) AS d FROM orfs) SELECT name, frame, orf_start, {_translated('d', True)} AS protein FROM o")
+def translate_mitochondrial(spark, sf):
+    o = table(spark, sf, "orfs").select("name", "frame", "orf_start", F.upper("dna").alias("d")).distinct()
+    return o.select("name", "frame", "orf_start", S.translate(F.col("d"), True).alias("protein"))

@@ -61,8 +61,8 @@ def ranges(spark: SparkSession, path: str, size: int = 64 << 20) -> DataFrame:
     return rows.repartition(max(1, min(10_000, rows.count())), "path", "start")
 
 
-def _fastq_records(path: str, start: int, end: int, step: int = 4 << 20) -> Iterator[tuple[str, str, str]]:
-    """(header, sequence, quality) of the four-line records that begin in a byte range.
+def _fastq_records(path: str, start: int, end: int, step: int = 4 << 20) -> Iterator[tuple[str, str, str, str]]:
+    """(header, sequence, quality, '') of the four-line records that begin in a byte range, and (line, '', '', reason) of the lines of no record.
 
     A range begins anywhere; the first record after it is where a line begins
     with @, the next but one with +, and the second and fourth are equally long.
@@ -96,12 +96,15 @@ def _fastq_records(path: str, start: int, end: int, step: int = 4 << 20) -> Iter
                 lines = held.split(b"\n", 4)
             parts = [x.rstrip(b"\r") for x in lines[:4]]
             if len(parts) == 4 and parts[0][:1] == b"@" and parts[2][:1] == b"+" and len(parts[1]) == len(parts[3]):
-                yield tuple(x.decode("utf-8", "replace") for x in (parts[0][1:], parts[1], parts[3]))
+                yield (*(x.decode("utf-8", "replace") for x in (parts[0][1:], parts[1], parts[3])), "")
                 used = sum(len(x) + 1 for x in lines[:4])
             elif not held:
                 return
             else:
                 used = len(lines[0]) + 1
+                whole = len(parts) == 4 and parts[0][:1] == b"@" and parts[2][:1] == b"+"
+                if parts[0]:
+                    yield parts[0].decode("utf-8", "replace"), "", "", "length" if whole else "short" if parts[0][:1] == b"@" and len(lines) < 5 else "line"
             held, at = held[used:], at + used
 
 
@@ -109,22 +112,35 @@ def read_fastq(spark: SparkSession, path: str, size: int = 64 << 20) -> DataFram
     """The same columns of FASTQ files of four-line records, read by byte ranges.
 
     A quality may begin with @, so a record is known by all its lines; lines
-    that belong to no whole record are skipped.
+    that belong to no whole record are left to fastq_faults().
     """
+    rows = _fastq_lines(spark, path, size).where("reason = ''")
+    return rows.select(*_header(F.col("head"), F.upper("s"), F.col("q")))
+
 
+def fastq_faults(spark: SparkSession, path: str, size: int = 64 << 20) -> DataFrame:
+    """(line, reason): the lines of FASTQ files that belong to no record.
+
+    length: the header of a record whose sequence and quality differ in
+    length; short: a header with too few lines after it; line: any other,
+    among them what follows such a header. Empty lines are none.
+    """
+    return _fastq_lines(spark, path, size).where("reason <> ''").select(F.col("head").alias("line"), "reason")
+
+
+def _fastq_lines(spark: SparkSession, path: str, size: int) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for p, start, end in zip(b["path"], b["start"], b["end"], strict=True):
-                rows: list[tuple[str, str, str]] = []
+                rows: list[tuple[str, str, str, str]] = []
                 for r in _fastq_records(p, int(start), int(end)):
                     rows.append(r)
                     if len(rows) == 10_000:
-                        yield pd.DataFrame(rows, columns=["head", "s", "q"])
+                        yield pd.DataFrame(rows, columns=["head", "s", "q", "reason"])
                         rows = []
-                yield pd.DataFrame(rows, columns=["head", "s", "q"])
+                yield pd.DataFrame(rows, columns=["head", "s", "q", "reason"])
 
-    rows = ranges(spark, path, size).mapInPandas(read, "head string, s string, q string")
-    return rows.select(*_header(F.col("head"), F.upper("s"), F.col("q")))
+    return ranges(spark, path, size).mapInPandas(read, "head string, s string, q string, reason string")
 
 
 def read_graphs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -133,8 +149,7 @@ def read_graphs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     A record is `#name` and then, for each site in order from 0, a line
     `site symbol; start end weight; ...` with the edges that end there.
     """
-    parts = spark.read.option("lineSep", "\n#").text(path).select(F.regexp_replace(F.regexp_replace("value", "\r", ""), r"\A\s*#", "").alias("v")).where("trim(v) <> ''")
-    lines = parts.select(F.regexp_extract("v", r"^\s*(\S*)", 1).alias("name"), F.explode(F.split(F.expr("substring(v, instr(v, '\n') + 1)"), "\n")).alias("line")).where(r"line RLIKE '^\\s*\\d+\\s'")
+    lines = _graph_lines(spark, path).where("good")
     fields = lines.select("name", F.split("line", ";").alias("f"))
     site = F.split(F.trim(F.col("f")[0]), r"\s+")
     sites = fields.select("name", site[0].cast("int").alias("site"), site[1].alias("symbol"))
@@ -143,6 +158,18 @@ def read_graphs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return sites, edges
 
 
+def _graph_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(name, line, good): the lines of each graph below its name; good ones have the form of a site."""
+    parts = spark.read.option("lineSep", "\n#").text(path).select(F.regexp_replace(F.regexp_replace("value", "\r", ""), r"\A\s*#", "").alias("v")).where("trim(v) <> ''")
+    lines = parts.select(F.regexp_extract("v", r"^\s*(\S*)", 1).alias("name"), F.explode(F.split(F.expr("substring(v, instr(v, '\n') + 1)"), "\n")).alias("line")).where("trim(line) <> '' AND line NOT RLIKE '^#'")
+    return lines.withColumn("good", F.col("line").rlike(r"^\s*\d+\s+\S+\s*(?:;\s*(?:-?\d+\s+-?\d+\s+[-+.\deE]+)?\s*)*$"))
+
+
+def graph_line_faults(spark: SparkSession, path: str) -> DataFrame:
+    """(name, line): the lines of sequence-graph files that are no site."""
+    return _graph_lines(spark, path).where("NOT good").select("name", "line")
+
+
 def graph_faults(sites: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, fault): graphs with gaps in the site numbers, edges that don't go forwards, or weights into a site above 1."""
     gap = sites.groupBy("name").agg(F.min("site").alias("a"), F.max("site").alias("b"), F.countDistinct("site").alias("n")).where("a <> 0 OR b + 1 <> n").select("name", F.lit("sites").alias("fault"))

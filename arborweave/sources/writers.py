@@ -22,6 +22,11 @@ def fasta(rows: DataFrame, width: int = 60) -> DataFrame:
     return rows.select(F.col("pos").alias("ord"), F.concat(_head(">"), F.lit("\n"), S.wrapped(F.regexp_replace(F.coalesce("sequence", F.lit("")), r"\s", ""), width)).alias("value"))
 
 
+def back_translated(rows: DataFrame, dna: Column, width: int = 60) -> DataFrame:
+    """Rows (pos, name, comment, sequence) of gapped protein as FASTA of the DNA they were read from; rows without DNA are left out."""
+    return fasta(rows.withColumn("sequence", S.back_translate(F.col("sequence"), dna)).where(F.col("sequence").isNotNull()), width)
+
+
 def fastq(rows: DataFrame) -> DataFrame:
     """Rows with a quality as long as the sequence as FASTQ; others are left out."""
     ok = rows.where(F.length("sequence") == F.length("quality"))
