@@ -42,7 +42,8 @@ FILTER = 1 << 23
 
 def normal(sequence: Column) -> Column:
     """Upper case; a character outside of ASCII becomes NUL, which no shared span may hold."""
-    return F.regexp_replace(F.translate(sequence, LOWER, UPPER), r"[^\x01-\x7F]", "\u0000")
+    plain = F.octet_length(sequence) == F.length(sequence)
+    return F.when(plain, F.upper(sequence)).otherwise(F.regexp_replace(F.translate(sequence, LOWER, UPPER), r"[^\x01-\x7F]", "\u0000"))
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
