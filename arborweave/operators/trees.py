@@ -196,17 +196,32 @@ def sorted_nodes(tree: DataFrame) -> DataFrame:
     return global_rank(rows, [F.col("k.inner"), F.col("k.number"), F.col("k.name"), F.col("node_id")]).select("name", "place")
 
 
-def thin(dists: DataFrame, keep: int) -> list[str]:
-    """Greedy choice of `keep` mutually distant leaves from (a, b, dist) of one bounded set; starts with the farthest pair."""
-    rows = dists.collect()
-    d = {(r["a"], r["b"]): r["dist"] for r in rows} | {(r["b"], r["a"]): r["dist"] for r in rows}
-    names = sorted({a for a, _ in d})
-    if len(names) <= keep:
-        return names
-    chosen = list(min(((a, b) for a, b in d if a < b), key=lambda p: (-d[p], p)))[:keep]
+def thin(tree: DataFrame, keep: int, names: DataFrame | None = None) -> list[str]:
+    """Greedy choice of `keep` mutually distant leaves (of those in names, if given), as sorted names.
+
+    It begins with the smallest name and takes the leaf that is farthest from
+    it next, then always the one whose distance to the nearest chosen one is
+    greatest (of ties the smallest name). Each step measures the distances of
+    all leaves to the newly chosen one only, so no table of pairs is made;
+    the driver holds the chosen names. Fewer leaves than `keep` are all taken.
+    """
+    tip = leaves(tree).where("name IS NOT NULL")
+    if names is not None:
+        tip = tip.join(names.select("name").distinct(), "name", "left_semi")
+    paths = materialise(closure(tree).join(tip.select("node_id", "name"), "node_id").select("name", "ancestor_id", "dist"), "paths")
+    near = paths.select("name").distinct().withColumn("d", F.lit(float("inf")))
+    chosen: list[str] = []
     while len(chosen) < keep:
-        rest = [n for n in names if n not in chosen]
-        chosen.append(min(rest, key=lambda n: (-min(d[n, c] for c in chosen), n)))
+        best = near.where(~F.col("name").isin(chosen)).orderBy(F.round("d", 9).desc(), "name").first()
+        if best is None:
+            break
+        chosen.append(best["name"])
+        if len(chosen) == keep:
+            break
+        up = F.broadcast(paths.where(F.col("name") == best["name"]).select("ancestor_id", F.col("dist").alias("y")))  # one leaf's ancestors
+        new = paths.join(up, "ancestor_id").groupBy("name").agg(F.min(F.col("dist") + F.col("y")).alias("e"))
+        near = near.join(new, "name").select("name", F.least("d", "e").alias("d"))
+        near = materialise(near, "near")
     return sorted(chosen)
 
 

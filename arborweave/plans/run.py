@@ -141,12 +141,7 @@ def _extended(tree: DataFrame, rows: DataFrame, placed: DataFrame, queries: Data
             near = T.closest_leaf(tree).join(tree.select("node_id", F.col("name").alias("node")), "node_id").join(own.select("node").distinct(), "node")
             give(".pruned_closest", keep=near.select(F.col("leaf").alias("name")).unionByName(new))
         if settings.prune_keep_number > 0:
-            paths = materialise(T.closure(tree).join(T.leaves(tree).select("node_id", "name"), "node_id"), "paths")
-            a, b = (paths.select(F.col("name").alias(x), "ancestor_id", F.col("dist").alias(y)) for x, y in (("a", "x"), ("b", "y")))
-            dists = a.join(b, "ancestor_id").where("a <> b").groupBy("a", "b").agg(F.min(F.col("x") + F.col("y")).alias("dist"))
-            if dists.count() > 4_000_000:
-                raise ValueError("too many leaves to choose distant ones from")
-            kept = tree.sparkSession.createDataFrame([(x,) for x in T.thin(dists, settings.prune_keep_number)], "name string")
+            kept = tree.sparkSession.createDataFrame([(x,) for x in T.thin(tree, settings.prune_keep_number)], "name string")
             give(".pruned", keep=kept.unionByName(new))
         if not settings.prune_keep_closest and settings.prune_keep_number <= 0:
             give(".pruned", keep=new)

@@ -12,7 +12,7 @@ from arborweave.operators import hits as H
 from arborweave.operators import records as R
 from arborweave.operators import trees as T
 from arborweave.plans import msa, placement
-from arborweave.queries_sequences import records
+from arborweave.queries_sequences import _R, records
 from arborweave.session import materialise, table
 
 QUERIES: dict = {}
@@ -24,6 +24,21 @@ def query(f):
     return f
 
 
+def _thinning(keep: int) -> str:
+    """The greedy choice as one pair of common table expressions a step."""
+    parts = [
+        "t AS (SELECT node_id, parent_id, name, coalesce(dist, 0) AS d FROM tree_nodes)",
+        "p AS (SELECT node_id, node_id AS a, 0.0::DOUBLE AS dist FROM t UNION ALL SELECT p.node_id, t.parent_id, p.dist + t.d FROM p JOIN t ON t.node_id = p.a WHERE t.parent_id IS NOT NULL)",
+        "l AS MATERIALIZED (SELECT DISTINCT t.name, p.a, p.dist FROM p JOIN t ON t.node_id = p.node_id WHERE t.node_id NOT IN (SELECT parent_id FROM t WHERE parent_id IS NOT NULL) AND t.name IN (SELECT node FROM hits))",
+        "n0 AS (SELECT DISTINCT name, 'infinity'::DOUBLE AS d FROM l)",
+    ]
+    for k in range(1, keep + 1):
+        before = " UNION ALL ".join(f"SELECT name FROM c{j}" for j in range(1, k)) or "SELECT '' WHERE false"
+        parts.append(f"c{k} AS MATERIALIZED (SELECT name FROM n{k - 1} WHERE name NOT IN ({before}) ORDER BY round(d, 9) DESC, name LIMIT 1)")
+        parts.append(f"n{k} AS MATERIALIZED (SELECT n.name, least(any_value(n.d), min(x.dist + y.dist)) AS d FROM n{k - 1} n JOIN l x ON x.name = n.name JOIN l y ON y.a = x.a AND y.name = (SELECT name FROM c{k}) GROUP BY n.name)")
+    return f"WITH RECURSIVE {', '.join(parts)} " + " UNION ALL ".join(f"SELECT name FROM c{k}" for k in range(1, keep + 1))
+
+
 def _dna(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     """(pos, sequence, columns) of the records of DNA, with clean letters."""
     rows = records(spark, sf, "sequence", *columns).where("sequence IS NOT NULL")
@@ -60,7 +75,29 @@ def _families(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 @query
 def p_matrix(spark, sf):
     rows = msa.p_matrices([0.0, 0.01, 0.1, 0.5], _options(spark, sf))
-    return spark.createDataFrame(rows, "distance double, i int, j int, p double")
+    return spark.createDataFrame(rows, "distance double, i int, j int, p double").withColumn("p", F.round("p", 8))
+
+
+def _series(terms: int = 24) -> str:
+    """The exponential series of the rate matrix (transition ratio 1, purines as pyrimidines), a term a step."""
+    parts = [
+        "s AS (SELECT regexp_replace(replace(upper(sequence), 'U', 'T'), '[^ACGT]', '', 'g') AS s FROM sequences)",
+        "f0 AS (SELECT i, CAST(sum(length(s) - length(replace(s, b, ''))) AS DOUBLE) AS n FROM s, (VALUES (0, 'A'), (1, 'C'), (2, 'G'), (3, 'T')) v(i, b) GROUP BY i)",
+        "f AS MATERIALIZED (SELECT i, n / sum(n) OVER () AS pi FROM f0)",
+        "g AS MATERIALIZED (SELECT max(pi) FILTER (i = 0) AS a, max(pi) FILTER (i = 1) AS c, max(pi) FILTER (i = 2) AS g, max(pi) FILTER (i = 3) AS t FROM f)",
+        "k AS MATERIALIZED (SELECT a + g AS r, c + t AS y, 1 / (4 * (a + g) * (c + t)) AS base, greatest(0, (0.5 - 2 / (4 * (a + g) * (c + t)) * (a * g + c * t)) / (2 * (a * g / (a + g) + c * t / (c + t)))) AS extra FROM g)",
+        "q0 AS MATERIALIZED (SELECT x.i, y.i AS j, x.pi, base * y.pi + CASE WHEN x.i % 2 = y.i % 2 THEN extra * y.pi / CASE WHEN x.i % 2 = 0 THEN r ELSE y END ELSE 0 END AS q FROM f x, f y, k WHERE x.i <> y.i)",
+        "z AS (SELECT sum(pi * q) AS z FROM q0)",
+        "q AS MATERIALIZED (SELECT i, j, q / z AS q FROM q0, z UNION ALL SELECT i, i, -sum(q) / any_value(z) FROM q0, z GROUP BY i)",
+        "d AS (SELECT unnest([0.0, 0.01, 0.1, 0.5]::DOUBLE[]) AS distance)",
+        "t0 AS MATERIALIZED (SELECT distance, x.i, y.i AS j, CASE WHEN x.i = y.i THEN 1.0 ELSE 0.0 END::DOUBLE AS v FROM d, f x, f y)",
+    ]
+    parts += [f"t{n} AS MATERIALIZED (SELECT distance, a.i, q.j, sum(a.v * q.q * distance / {n}) AS v FROM t{n - 1} a JOIN q ON q.i = a.j GROUP BY distance, a.i, q.j)" for n in range(1, terms + 1)]
+    every = " UNION ALL ".join(f"SELECT * FROM t{n}" for n in range(terms + 1))
+    return f"WITH {', '.join(parts)} SELECT distance, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(v), 8) AS p FROM ({every}) GROUP BY distance, i, j"
+
+
+SQL["p_matrix"] = _series()
 
 
 @query
@@ -219,21 +256,12 @@ def nj_tree(spark, sf):
 
 @query
 def thinned_leaves(spark, sf):
-    """The 20 mutually most distant of the leaves that have hits."""
-    tree = table(spark, sf, "tree_nodes")
-    tips = T.leaves(tree).join(table(spark, sf, "hits").select(F.col("query").alias("name")), "name", "left_semi").select("node_id", "name")
-    paths = materialise(T.closure(tree).join(tips, "node_id"), "paths")
-    a = paths.select(F.col("name").alias("a"), "ancestor_id", F.col("dist").alias("x"), "depth")
-    b = paths.select(F.col("name").alias("b"), "ancestor_id", F.col("dist").alias("y"))
-    dists = a.join(b, "ancestor_id").where("a <> b").groupBy("a", "b").agg(F.min(F.col("x") + F.col("y")).alias("dist"))
-    return spark.createDataFrame([(x,) for x in placement_names(dists, 20)], "name string")
+    """20 mutually distant ones of the leaves that hits name as nodes."""
+    names = T.thin(table(spark, sf, "tree_nodes"), 20, table(spark, sf, "hits").select(F.col("node").alias("name")))
+    return spark.createDataFrame([(x,) for x in names], "name string")
 
 
-def placement_names(dists: DataFrame, keep: int, most: int = 4_000_000) -> list[str]:
-    """T.thin() of a table of distances whose size is checked."""
-    if dists.count() > most:
-        raise ValueError("too many leaves to thin at once")
-    return T.thin(dists, keep)
+SQL["thinned_leaves"] = _thinning(20)
 
 
 @query
@@ -281,3 +309,11 @@ def homopolymer_graphs(spark, sf):
     return msa.leaf_graphs(rows, _options(spark, sf), homopolymer=0.9).select(F.col("node_id").alias("pos"), F.size("states").alias("n_sites"), F.size("e_start").alias("n_edges"), F.aggregate("states", F.lit(0).cast("long"), lambda a, x: a + (x == 15).cast("long")).alias("n_unknown"))
 
 
+
+
+SQL["homopolymer_graphs"] = f"""WITH {_R}, k AS (SELECT pos, upper(sequence) AS u, regexp_replace(replace(upper(sequence), 'U', 'T'), '[^ACGTRYMKWSBDHVN]', '', 'g') AS s, quality FROM r WHERE sequence IS NOT NULL),
+d AS (SELECT pos, s, CASE WHEN length(quality) = length(s) THEN quality END AS q FROM k WHERE s <> '' AND length(regexp_replace(u, '[^ARNDCQEGHILKMFPSTWYV]', '', 'g')) > 0
+  AND length(regexp_replace(u, '[^ACGTUN]', '', 'g')) / length(regexp_replace(u, '[^ARNDCQEGHILKMFPSTWYV]', '', 'g')) > 0.9),
+m AS (SELECT pos, list_transform(range(1, length(s) + 1), lambda i: CASE WHEN ascii(q[i]) < 43 THEN 'N' ELSE s[i] END) AS l FROM d)
+SELECT pos, CAST(len(l) AS INTEGER) AS n_sites, CAST(len(l) + 1 + len(list_filter(range(2, len(l) + 1), lambda i: l[i] = l[i - 1] AND (i = 2 OR l[i - 2] <> l[i - 1]))) AS INTEGER) AS n_edges,
+CAST(len(list_filter(l, lambda x: x = 'N')) AS BIGINT) AS n_unknown FROM m"""

@@ -217,10 +217,10 @@ def distinct_target_nodes(spark, sf):
 # names and the tree
 
 
-@query("SELECT query, count(*) AS n FROM hits WHERE query IN (SELECT name FROM tree_nodes WHERE height = 0 AND name IS NOT NULL) GROUP BY query")
+@query("SELECT node, count(*) AS n FROM hits WHERE node IN (SELECT name FROM tree_nodes WHERE height = 0 AND name IS NOT NULL) GROUP BY node")
 def leaf_semi(spark, sf):
-    tip = T.leaves(table(spark, sf, "tree_nodes")).select(F.col("name").alias("query"))
-    return table(spark, sf, "hits").join(tip, "query", "left_semi").groupBy("query").agg(F.count("*").alias("n"))
+    tip = T.leaves(table(spark, sf, "tree_nodes")).select(F.col("name").alias("node"))
+    return table(spark, sf, "hits").join(tip, "node", "left_semi").groupBy("node").agg(F.count("*").alias("n"))
 
 
 @query("SELECT DISTINCT query FROM hits h WHERE query IS NOT NULL AND NOT EXISTS (SELECT 1 FROM sequences s WHERE s.name = h.query)")
@@ -229,11 +229,11 @@ def name_anti(spark, sf):
 
 
 @query(
-    """WITH a AS (SELECT DISTINCT query AS name FROM hits WHERE query IS NOT NULL), b AS (SELECT name FROM tree_nodes WHERE height = 0)
+    """WITH a AS (SELECT DISTINCT node AS name FROM hits WHERE node IS NOT NULL), b AS (SELECT name FROM tree_nodes WHERE height = 0)
 SELECT count(*) FILTER (a.name IS NOT NULL AND b.name IS NOT NULL) AS n_matched, count(*) FILTER (a.name IS NULL) AS n_leaves_without, count(*) FILTER (b.name IS NULL) AS n_names_without FROM a FULL JOIN b ON a.name = b.name"""
 )
 def name_reconciliation(spark, sf):
-    return R.reconcile(table(spark, sf, "hits").select(F.col("query").alias("name")), T.leaves(table(spark, sf, "tree_nodes")))
+    return R.reconcile(table(spark, sf, "hits").select(F.col("node").alias("name")), T.leaves(table(spark, sf, "tree_nodes")))
 
 
 _TREE = "t AS (SELECT node_id, parent_id, side, name, coalesce(dist, 0) AS d, trim(tid) AS tid, height FROM tree_nodes)"
@@ -246,22 +246,22 @@ def tree_closure(spark, sf):
 
 
 @query(
-    f"""WITH RECURSIVE {_PATHS}, w AS (SELECT query AS name, count(*) AS w FROM hits GROUP BY query)
+    f"""WITH RECURSIVE {_PATHS}, w AS (SELECT node AS name, count(*) AS w FROM hits GROUP BY node)
 SELECT p.a AS node_id, count(*) FILTER (t.height = 0) AS n_leaves, count(*) AS n_nodes, CAST(sum(CASE WHEN t.height = 0 THEN coalesce(w.w, 1) ELSE 0 END) AS BIGINT) AS weight
 FROM p JOIN t ON t.node_id = p.node_id LEFT JOIN w ON w.name = t.name GROUP BY p.a"""
 )
 def leaf_counts(spark, sf):
-    weights = table(spark, sf, "hits").groupBy(F.col("query").alias("name")).agg(F.count("*").alias("weight")).dropna()
+    weights = table(spark, sf, "hits").groupBy(F.col("node").alias("name")).agg(F.count("*").alias("weight")).dropna()
     return T.counts(table(spark, sf, "tree_nodes"), weights)
 
 
 @query(
-    f"""WITH RECURSIVE {_PATHS}, x AS (SELECT p.a AS node_id, round(dist, 9) AS dist, t.name AS leaf FROM p JOIN t ON t.node_id = p.node_id WHERE t.height = 0 AND t.name IN (SELECT query FROM hits)),
+    f"""WITH RECURSIVE {_PATHS}, x AS (SELECT p.a AS node_id, round(dist, 9) AS dist, t.name AS leaf FROM p JOIN t ON t.node_id = p.node_id WHERE t.height = 0 AND t.name IN (SELECT node FROM hits)),
 y AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY dist, leaf) AS k FROM x)
 SELECT node_id, leaf, round(dist, 6) AS dist FROM y WHERE k = 1"""
 )
 def closest_leaf(spark, sf):
-    return T.closest_leaf(table(spark, sf, "tree_nodes"), table(spark, sf, "hits").select(F.col("query").alias("name"))).withColumn("dist", F.round("dist", 6))
+    return T.closest_leaf(table(spark, sf, "tree_nodes"), table(spark, sf, "hits").select(F.col("node").alias("name"))).withColumn("dist", F.round("dist", 6))
 
 
 @query("""SELECT node_id, CASE WHEN parent_id IS NOT NULL THEN least(CASE WHEN coalesce(dist, 0) <= 0 THEN 0.001 ELSE dist END, 0.2) END AS dist FROM tree_nodes""")
@@ -270,7 +270,7 @@ def branch_policy(spark, sf):
 
 
 @query(
-    f"""WITH RECURSIVE {_PATHS}, k AS (SELECT node_id FROM t WHERE height = 0 AND name IN (SELECT query FROM hits)),
+    f"""WITH RECURSIVE {_PATHS}, k AS (SELECT node_id FROM t WHERE height = 0 AND name IN (SELECT node FROM hits)),
 n AS (SELECT DISTINCT p.a AS node_id FROM p JOIN k ON k.node_id = p.node_id),
 c AS (SELECT t.parent_id AS node_id, count(*) AS c FROM t JOIN n ON n.node_id = t.node_id WHERE t.parent_id IS NOT NULL GROUP BY t.parent_id),
 s AS (SELECT n.node_id FROM n LEFT JOIN c ON c.node_id = n.node_id WHERE c.c IS NULL OR c.c >= 2),
@@ -278,7 +278,7 @@ u AS (SELECT p.node_id, p.a, p.dist, row_number() OVER (PARTITION BY p.node_id O
 SELECT s.node_id, u.a AS parent_id, t.name, round(u.dist, 6) AS dist FROM s JOIN t ON t.node_id = s.node_id LEFT JOIN u ON u.node_id = s.node_id AND u.k = 1"""
 )
 def prune_tree(spark, sf):
-    return T.prune(table(spark, sf, "tree_nodes"), table(spark, sf, "hits").select(F.col("query").alias("name"))).withColumn("dist", F.round("dist", 6))
+    return T.prune(table(spark, sf, "tree_nodes"), table(spark, sf, "hits").select(F.col("node").alias("name"))).withColumn("dist", F.round("dist", 6))
 
 
 @query(
@@ -296,9 +296,16 @@ def node_order(spark, sf):
     return T.sorted_nodes(table(spark, sf, "tree_nodes"))
 
 
-@query("SELECT DISTINCT name, trim(tid) AS tid FROM tree_nodes WHERE name IS NOT NULL AND height > 0 AND trim(tid) = '13'")
+@query(
+    """SELECT 'internal' AS kind, name, trim(tid) AS tid FROM tree_nodes WHERE name IS NOT NULL AND height > 0 AND trim(tid) = '13' UNION SELECT 'terminal', name, trim(tid) FROM tree_nodes WHERE name IS NOT NULL AND height = 0
+UNION SELECT 'all', name, trim(tid) FROM tree_nodes WHERE name IS NOT NULL AND (trim(tid) = 'no such tag' OR NOT EXISTS (SELECT 1 FROM tree_nodes WHERE trim(tid) = 'no such tag'))"""
+)
 def node_class_filter(spark, sf):
-    return T.targets(table(spark, sf, "tree_nodes"), "internal", "13").distinct()
+    """Targets inside the tree of one tag, all terminal ones, and all where no node has the tag."""
+    tree = table(spark, sf, "tree_nodes")
+    some = (("internal", T.targets(tree, "internal", "13")), ("terminal", T.targets(tree, "terminal")), ("all", T.targets(tree, "all", "no such tag")))
+    parts = [rows.select(F.lit(kind).alias("kind"), "name", "tid") for kind, rows in some]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
 
 
 @query(
@@ -340,10 +347,17 @@ def parsimony_down(spark, sf):
     return T.parsimony_down(tree, T.parsimony_up(tree, _states(tree)))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_PATHS}, l AS (SELECT p.a AS c, p.dist AS d, p.node_id AS leaf FROM p JOIN t ON t.node_id = p.node_id WHERE t.node_id NOT IN (SELECT parent_id FROM t WHERE parent_id IS NOT NULL)),
+m AS (SELECT c, d, leaf FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY d DESC, leaf DESC) AS k FROM l) WHERE k = 1),
+arm AS (SELECT t.parent_id AS a, m.d + t.d AS d, m.leaf, row_number() OVER (PARTITION BY t.parent_id ORDER BY m.d + t.d DESC, m.leaf DESC) AS k FROM m JOIN t ON t.node_id = m.c WHERE t.parent_id IS NOT NULL),
+far AS (SELECT x.d + y.d AS length, x.leaf AS node_id, y.leaf AS other_id FROM arm x JOIN arm y ON x.a = y.a AND x.k = 1 AND y.k = 2 ORDER BY length DESC, node_id, other_id LIMIT 1)
+SELECT far.node_id, other_id, round(length, 6) AS length, p.a AS node_above, round(length / 2 - p.dist, 6) AS "offset" FROM far JOIN p ON p.node_id = far.node_id AND p.dist <= length / 2 ORDER BY p.dist DESC, p.a DESC LIMIT 1"""
+)
 def midpoint_root(spark, sf):
     tree = table(spark, sf, "tree_nodes")
-    return T.midpoint(T.closure(tree), tree)
+    found = T.midpoint(T.closure(tree), tree)
+    return found.withColumns({"length": F.round("length", 6), "offset": F.round("offset", 6)})
 
 
 # hits
