@@ -157,13 +157,16 @@ def pile(spark: SparkSession, settings: Settings) -> DataFrame:
         rows = rows.drop("sequence").join(best.where("r = 1").select("pos", F.col("translation").alias("sequence")), "pos")
     kind, pi = _kind(rows, settings)
     seed = rows.orderBy("pos").limit(1).select(F.lit("g").alias("group"), F.col("sequence").alias("seed"))
-    piled = materialise(placement.pile_up(rows.select(F.lit("g").alias("group"), "pos", "sequence"), materialise(seed, "seed"), settings.model(kind, pi), settings.min_query_overlap, settings.min_query_identity, settings.both_strands), "piled")
+    piled, seed_row = placement.pile(
+        rows.select(F.lit("g").alias("group"), "pos", "sequence"), materialise(seed, "seed"), settings.model(kind, pi), settings.min_query_overlap, settings.min_query_identity, settings.both_strands, 1 + max(1, settings.query_cluster_attempts)
+    )
+    piled = materialise(piled, "piled")
     out = piled.join(rows.select("pos", "name", "comment"), "pos").select("pos", "name", "comment", F.col("row").alias("sequence"))
     _write(out, settings)
     if settings.output_consensus or settings.build_contigs:
         weights = rows.select("pos", F.col("num_duplicates").alias("w")) if settings.use_duplicate_weights else None
-        contig = placement.contigs_of(piled, seed, settings.consensus_minimum, settings.consensus_minimum_proportion, weights, settings.show_contig_ancestor)
-        writers.save(writers.fasta(contig.select(F.lit(0).alias("pos"), F.lit("consensus").alias("name"), F.lit("").alias("comment"), F.col("consensus").alias("sequence"))), f"{settings.outfile}.consensus")
+        contig = placement.contigs_of(piled, seed_row, settings.consensus_minimum, settings.consensus_minimum_proportion, weights, settings.show_contig_ancestor)
+        writers.save(writers.fasta(contig.select(F.lit(0).alias("pos"), F.lit("consensus").alias("name"), F.lit("").alias("comment"), S.degap(F.col("consensus")).alias("sequence"))), f"{settings.outfile}.consensus")
     return out
 
 

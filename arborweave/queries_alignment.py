@@ -214,9 +214,9 @@ def discarded_queries(spark, sf):
 
 
 def _piles(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Reads under the first node they name, and the seeds of those nodes."""
-    first = F.regexp_extract(F.coalesce("node_to_align", F.lit("")), r"^\s*(\S+)", 1)
-    reads = _dna(spark, sf, "node_to_align", "num_duplicates").select(first.alias("group"), "pos", "sequence", "num_duplicates").where("group <> ''")
+    """Reads under each node they name, and the seeds of those nodes."""
+    names = F.array_distinct(F.split(F.coalesce("node_to_align", F.lit("")), r"\s+"))
+    reads = _dna(spark, sf, "node_to_align", "num_duplicates").select(F.explode(names).alias("group"), "pos", "sequence", "num_duplicates").where("group <> ''")
     return reads, _node_texts(spark, sf).select(F.col("node").alias("group"), F.col("t_text").alias("seed"))
 
 
@@ -230,18 +230,19 @@ def pileup(spark, sf):
 def pileup_contigs(spark, sf):
     """Consensus of each pile, reads weighted by their copies, the seed in lower case where too few reads are."""
     reads, seeds = _piles(spark, sf)
-    piled = materialise(placement.pile_up(reads.select("group", "pos", "sequence"), seeds, _options(spark, sf)), "piled")
-    weights = reads.select("pos", F.when(F.col("num_duplicates") > 0, F.col("num_duplicates")).otherwise(1).alias("w"))
-    return placement.contigs_of(piled, seeds, 2, 0.5, weights, fill=True)
+    piled, seed_rows = placement.pile(reads.select("group", "pos", "sequence"), seeds, _options(spark, sf))
+    weights = reads.select("pos", F.when(F.col("num_duplicates") > 0, F.col("num_duplicates")).otherwise(1).alias("w")).distinct()
+    return placement.contigs_of(materialise(piled, "piled"), seed_rows, 2, 0.5, weights, fill=True)
 
 
 @query
 def pileup_branches(spark, sf):
     """Branch lengths around the insertion point of each read of a pile: seed, the pile's first read and the read."""
     reads, seeds = _piles(spark, sf)
-    piled = materialise(placement.pile_up(reads.select("group", "pos", "sequence"), seeds, _options(spark, sf)), "piled")
+    piled, seed_rows = placement.pile(reads.select("group", "pos", "sequence"), seeds, _options(spark, sf))
+    piled = materialise(piled, "piled")
     sister = piled.groupBy("group").agg(F.min_by("row", "pos").alias("sister"))
-    rows = piled.join(sister, "group").join(seeds, "group").select(F.col("pos").alias("id"), F.col("seed").alias("parent"), "sister", F.col("row").alias("query"))
+    rows = piled.join(sister, "group").join(seed_rows.select("group", F.col("row").alias("parent")), "group").select(F.concat_ws(":", "group", F.col("pos").cast("string")).alias("id"), "parent", "sister", F.col("row").alias("query"))
     return C.three_point(C.pair_distances(rows), F.lit(0.1))
 
 

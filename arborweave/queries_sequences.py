@@ -29,8 +29,9 @@ def query(sql: str | None = None):
 
 
 def records(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    """(pos, columns) of the records of sequences, once per pos; only these columns are read."""
-    return one_per_pos(table(spark, sf, "sequences").select("pos", *columns, "loaded_at")).drop("loaded_at")
+    """(pos, columns) of the records of sequences, once per pos; only these columns are read (all of them if none is named)."""
+    rows = table(spark, sf, "sequences")
+    return one_per_pos(rows.select("pos", *columns, "loaded_at")).drop("loaded_at") if columns else one_per_pos(rows)
 
 
 def contigs(spark: SparkSession, sf: str) -> DataFrame:

@@ -140,6 +140,35 @@ def test_placement_and_piles(spark):
     assert contig["consensus"] == x and contig["n_reads"] == 2
 
 
+def test_piles_grow(spark):
+    # what all reads insert becomes a site, and reads beyond the seed's end are taken in when the pile has grown
+    rng = random.Random(14)
+    x = "".join(rng.choice("ACGT") for _ in range(200))
+    seed = x[:60] + x[66:100]
+    reads = [("g", k, x[a:b]) for k, (a, b) in enumerate([(10, 100), (20, 95), (40, 130), (45, 135), (70, 160), (110, 190), (112, 200)])] + [("g", 50, "".join(rng.choice("ACGT") for _ in range(60))), ("g", 51, None), ("g", 52, ""), ("h", 0, x[:50]), ("none", 1, x)]
+    df = spark.createDataFrame(reads, "group string, pos long, sequence string")
+    seeds = spark.createDataFrame([("g", seed), ("h", x[:50]), ("empty", ""), ("null", None)], "group string, seed string")
+    piled, seed_rows = placement.pile(df, seeds, attempts=6)
+    got = piled.collect()
+    rows_ = {(r["group"], r["pos"]): r["row"] for r in got}
+    text = {(g, p): t for g, p, t in reads}
+    assert {("g", k) for k in range(7)} <= set(rows_) and ("h", 0) in rows_ and not {("g", 50), ("g", 51), ("g", 52), ("none", 1)} & set(rows_)
+    assert all(row.replace("-", "") == text[k] for k, row in rows_.items())  # no residue is lost
+    held = {r["group"]: r["row"] for r in seed_rows.collect()}
+    assert held["g"].replace("-", "") == seed and {len(r) for k, r in rows_.items() if k[0] == "g"} == {len(held["g"])}
+    contig = {r["group"]: r["consensus"].replace("-", "") for r in placement.contigs_of(piled, seed_rows, 1, 0.0, fill=True).collect()}
+    assert contig["g"].upper() == x and contig["h"] == x[:50]
+    once = {r["pos"] for r in placement.pile(df, seeds, attempts=1)[0].where("group = 'g'").collect()}
+    assert 5 not in once and 6 not in once
+    assert placement.pile_up(df.limit(0), seeds).count() == 0
+
+
+def test_thinned_leaves(spark):
+    tree = spark.createDataFrame(formats.parse_newick("((a:1,b:2):3,(c:1,(d:5,e:4):1):2);"), formats.NODES)
+    assert T.thin(tree, 2) == ["a", "d"] and T.thin(tree, 9) == list("abcde") and T.thin(tree, 1) == ["a"]
+    assert T.thin(tree, 3, spark.createDataFrame([("b",)], "name string")) == ["b"] and T.thin(tree.limit(0), 3) == []
+
+
 def test_trees(spark):
     text = "((a:0.1,b:0.2)#1#:0.3[&&NHX:TID=7],(c:0.1,(d:0.5,e:0.4):0.1):0.2);"
     nodes = formats.parse_newick(text)
@@ -150,7 +179,13 @@ def test_trees(spark):
             formats.parse_newick(bad)
     tree = spark.createDataFrame(nodes, formats.NODES)
     paths = {(r["node_id"], r["ancestor_id"]): r["depth"] for r in T.closure(tree).collect()}
-    assert len(paths) == 9 + 2 + 2 + 1 + 2 + 2 + 3 + 3 + 1 or paths
+    above = {r[0]: r[1] for r in nodes}
+
+    def depth(n):
+        return 0 if above[n] is None else 1 + depth(above[n])
+
+    assert len(paths) == sum(1 + depth(n) for n in above) and all(paths[n, n] == 0 for n in above)
+    assert {n: max(d for (x, _), d in paths.items() if x == n) for n in above} == {n: depth(n) for n in above}
     pruned = {r["name"]: r["dist"] for r in T.prune(tree, spark.createDataFrame([("a",), ("d",), ("e",)], "name string")).collect()}
     assert pruned["a"] == pytest.approx(0.4) and pruned["d"] == pytest.approx(0.5)
     far = T.midpoint(T.closure(tree), tree).first()
