@@ -37,8 +37,8 @@ def from_row(r: dict, prefix: str = "") -> K.Graph:
     )
 
 
-def leaf_graphs(leaves: DataFrame, options: models.Options, homopolymer: float | None = None, qualities: bool = True) -> DataFrame:
-    """Graphs of rows (node_id, sequence[, quality]): a chain, with shorter readings of equal bases at the given weight, and low qualities as unknown."""
+def leaf_graphs(leaves: DataFrame, options: models.Options, homopolymer: float | None = None, qualities: bool = True, least_quality: int = 10) -> DataFrame:
+    """Graphs of rows (node_id, sequence[, quality]): a chain, with shorter readings of equal bases at the given weight, and qualities below the least as unknown."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = models.model(options)
@@ -47,7 +47,7 @@ def leaf_graphs(leaves: DataFrame, options: models.Options, homopolymer: float |
             for k in range(len(b)):
                 text = (b["sequence"].iloc[k] or "").replace("-", "")
                 quality = b["quality"].iloc[k] if qualities and "quality" in b else None
-                states = K.quality_states(model, text, quality) if quality else model.encode(text)
+                states = K.quality_states(model, text, quality, least_quality) if quality else model.encode(text)
                 g = K.graph_of(states, K.homopolymer_edges(states, homopolymer) if homopolymer else None)
                 rows.append({"node_id": int(b["node_id"].iloc[k]), **to_row(g)})
             yield pd.DataFrame(rows, columns=["node_id", *FIELDS])
@@ -125,6 +125,7 @@ def families(records: DataFrame, k: int = 24, least: int = 20) -> DataFrame:
 def _climb(levels: list[tuple[int, DataFrame]], graphs: DataFrame, step: Callable, options: models.Options) -> DataFrame:
     """Runs step(model, row) -> graph for each inner node, one distributed job per level of the tree."""
     spark = graphs.sparkSession
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     schema = f"node_id long, {GRAPH}"
 
@@ -144,26 +145,44 @@ def _climb(levels: list[tuple[int, DataFrame]], graphs: DataFrame, step: Callabl
                 known = known.unionByName(g)
             every.append(materialise(_joined(level, known).repartition(tasks, "node_id").mapInPandas(work, schema), "level"))
     finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     out = every[0]
     for g in every[1:]:
         out = out.unionByName(g)
     return out
 
 
-def align_tree(tree: DataFrame, leaves: DataFrame, options: models.Options | None = None, limits: K.Limits | None = None, homopolymer: float | None = None) -> DataFrame:
+def align_tree(tree: DataFrame, leaves: DataFrame, options: models.Options | None = None, limits: K.Limits | None = None, homopolymer: float | None = None, least_quality: int = 10, anchors: dict | None = None) -> DataFrame:
     """Graphs (node_id, ...) of all nodes of a binary tree (node_id, parent_id, side, dist, height) from its leaves' sequences (node_id, sequence[, quality]).
 
     Each inner node is one dynamic programme over its children's graphs.
-    Leaves without a sequence must have been pruned.
+    Leaves without a sequence must have been pruned. anchors (least, trim,
+    offset, most) restricts each programme to the tunnel around the exact
+    matches of at least `least` residues of the two nodes' states; where that
+    is more than the share `most` of the whole, or no path lies inside, the
+    whole is filled.
     """
     options = options or models.preset("dna")
 
     def step(model: models.Model, r: dict) -> K.Graph:
         a, b = from_row(r, "a_"), from_row(r, "b_")
-        return K.parent_of(a, b, K.align(a, b, model.at(r["da"] + r["db"])), model, r["da"], r["db"], limits)
+        low, high = banded(a.states, b.states, **anchors) if anchors else (None, None)
+        return K.parent_of(a, b, K.align(a, b, model.at(r["da"] + r["db"]), low, high), model, r["da"], r["db"], limits)
 
-    return _climb(_levels(tree), leaf_graphs(leaves, options, homopolymer), step, options)
+    return _climb(_levels(tree), leaf_graphs(leaves, options, homopolymer, least_quality=least_quality), step, options)
+
+
+def banded(a: np.ndarray, b: np.ndarray, least: int, trim: int, offset: int, most: float) -> tuple[list[int] | None, list[int] | None]:
+    """(lowest, highest) right site for each left site around the chained exact matches of two rows of states, or (None, None) without a band worth its while."""
+    from arborweave.operators.hits import chain_anchors, tunnel
+
+    known = {s: chr(0x4E00 + k) for k, s in enumerate(sorted({*map(int, a), *map(int, b)}))}
+    chain = chain_anchors(local_anchors(*("".join(known[int(s)] for s in x) for x in (a, b)), least), trim)
+    if not chain:
+        return None, None
+    low, high = tunnel(chain, len(a), len(b), offset)
+    share = sum(h - x + 1 for x, h in zip(low, high, strict=True)) / ((len(a) + 1) * (len(b) + 1))
+    return (low, high) if share <= most else (None, None)
 
 
 def replay_tree(tree: DataFrame, rows: DataFrame, options: models.Options | None = None) -> DataFrame:

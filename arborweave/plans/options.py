@@ -122,12 +122,39 @@ class Settings:
             score_scaling=not self.no_score_scaling, reduced_terminal=not self.no_reduced_terminal_penalties, terminal_edges=not self.no_terminal_edges, pi=pi,
         )
 
+    def anchors(self) -> dict | None:
+        """How alignments are restricted to tunnels around exact matches; None if they aren't."""
+        if self.no_anchors or not self.use_prefix_anchors:
+            return None
+        return {"least": self.prefix_hit_length, "trim": self.exonerate_hit_trim, "offset": self.anchors_offset, "most": self.anchoring_threshold}
+
     def limits(self) -> K.Limits:
         if self.keep_all_edges:
             return K.Limits(1 << 30, 1e9, 1 << 30, 1.0)
         return K.Limits(self.any_skips_confirm_insertion, self.branch_length_confirm_insertion, self.match_skips_confirm_insertion, self.branch_skip_penalty_per_branch)
 
 
+#: Options that are known and not supported: giving one is an error rather than silently nothing.
+UNSUPPORTED = {
+    "pacbio": "the correction for missing data of that platform isn't built",
+    "pair_end": "read pairs are joined by operators.records.paired, the alignment doesn't treat their break specially",
+    "no_read_ordering": "a pile doesn't depend on the order of its reads",
+}
+
+
+def checked(settings: Settings) -> Settings:
+    """settings, or a ValueError that names an option without effect."""
+    defaults = Settings()
+    for name, why in UNSUPPORTED.items():
+        if getattr(settings, name) != getattr(defaults, name):
+            raise ValueError(f"--{name.replace('_', '-')} is not supported: {why}")
+    if settings.no_anchors and settings.use_prefix_anchors:
+        raise ValueError("--no-anchors and --use-prefix-anchors exclude each other")
+    if settings.all_nodes and (settings.internal_nodes or settings.terminal_nodes) or settings.internal_nodes and settings.terminal_nodes:
+        raise ValueError("give one of --all-nodes, --internal-nodes and --terminal-nodes")
+    return settings
+
+
 def parse(arguments: list[str]) -> Settings:
     """Settings of `--key value` and `--flag` arguments; those of a --config-file come after them."""
     fields = {f.name.replace("_", "-"): f for f in dataclasses.fields(Settings)}

@@ -6,22 +6,35 @@ reference alignment's nodes, and pile-ups of reads.
 
 from __future__ import annotations
 
+import logging
+import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arborweave.functions import models
 from arborweave.functions import sequences as S
 from arborweave.operators import columns as C
 from arborweave.operators import hits as H
 from arborweave.operators import records as R
 from arborweave.operators import trees as T
 from arborweave.plans import msa, placement
-from arborweave.plans.options import Settings, log
+from arborweave.plans.options import Settings, checked, log
 from arborweave.session import materialise
 from arborweave.sources import formats, writers
 
 
+_log = logging.getLogger("arborweave")
+_begun = time.monotonic()
+
+
+def _said(settings: Settings, what: str) -> None:
+    """A message about a stage that is done, with the seconds since the run began; none with --silent."""
+    if not settings.silent:
+        _log.warning("%s after %.1f s", what, time.monotonic() - _begun)
+
+
 def records(spark: SparkSession, path: str, settings: Settings, gaps: bool = False) -> DataFrame:
     """Numbered records of a file, translated if asked; repeated names become unique."""
     rows = formats.read_records(spark, path, gaps)
@@ -68,7 +81,8 @@ def align(spark: SparkSession, settings: Settings) -> DataFrame:
     tree = tree_of(spark, rows, settings.treefile, settings)
     leaves = T.leaves(tree).select("node_id", "name").join(rows.drop("pos"), "name")
     quality = leaves.select("node_id", "sequence", *(["quality"] if not settings.no_fastq else []))
-    graphs = materialise(msa.align_tree(tree, quality, options, settings.limits(), 0.9 if settings.homopolymer else None), "graphs")
+    graphs = materialise(msa.align_tree(tree, quality, options, settings.limits(), 0.9 if settings.homopolymer else None, settings.qscore_minimum, settings.anchors()), "graphs")
+    _said(settings, "aligned")
     return _results(tree, graphs, options, rows, settings)
 
 
@@ -77,6 +91,15 @@ def _results(tree: DataFrame, graphs: DataFrame, options, rows: DataFrame, setti
     out = every if settings.output_ancestors or settings.ancestors else every.where("height = 0")
     out = materialise(out.join(rows.select("name", "comment", "pos"), "name", "left").select("node_id", F.coalesce("pos", F.lit(1 << 40) + F.col("node_id")).alias("pos"), "name", F.coalesce("comment", F.lit("")).alias("comment"), "sequence", (F.col("height") == 0).alias("is_leaf")), "out")
     _write(out, settings)
+    if settings.output_graph:
+        root = tree.where("parent_id IS NULL").select("node_id", "name")
+        whole = graphs.join(root, "node_id")
+        sites = whole.select("name", F.posexplode("states")).select("name", F.col("pos").alias("site"), F.col("col").alias("symbol"))
+        letters = F.create_map(*(F.lit(x) for mask, letter in models.model(options).letters.items() for x in (mask, letter)))
+        sites = sites.withColumn("symbol", F.coalesce(letters[F.col("symbol")], F.lit("N" if options.kind == "dna" else "X" if options.kind == "protein" else "NNN")))
+        # sites of a graph file count from 0, its start and stop have none
+        edges = whole.select("name", F.explode(F.arrays_zip("e_start", "e_end", "e_weight")).alias("e"), F.size("states").alias("n")).select("name", (F.col("e.e_start") - 1).alias("start"), (F.col("e.e_end") - 1).alias("end"), F.col("e.e_weight").alias("weight"), "n")
+        writers.save(writers.graph(sites, edges.where("start >= 0 AND `end` < n").drop("n")), f"{settings.outfile}.graph")
     if settings.xml:
         writers.save(writers.xml(out, writers.newick_text(tree, "names")), f"{settings.outfile}.xml")
     if settings.guidetree or settings.output_nhx_tree:
@@ -104,7 +127,13 @@ def place(spark: SparkSession, settings: Settings) -> DataFrame:
         candidates = queries.where("tid <> ''").join(texts.where("tid <> ''").select("tid", "node"), "tid").select("query", "node")
     else:
         shared = H.shared_kmers(queries.select(F.col("query").alias("id"), F.col("q_text").alias("text")), texts.select(F.col("node").alias("id"), F.col("t_text").alias("text")), 8 if kind == "dna" else 4)
-        candidates = H.keep_best(shared.select(F.col("a").alias("query"), F.col("b").alias("node"), F.col("n").alias("score")), settings.exonerate_gapped_keep_best).select("query", "node")
+        # a first choice by shared words, a second by the score of a local alignment
+        by_words = shared.select(F.col("a").alias("query"), F.col("b").alias("node"), F.col("n").alias("score"))
+        above = settings.exonerate_local_keep_above if settings.exonerate_local_keep_above >= 0 else None
+        candidates = materialise(H.keep_best(by_words, None if above is not None else settings.exonerate_local_keep_best, above).select("query", "node"), "local")
+        if 0 < settings.exonerate_gapped_keep_best:
+            scored = placement.local_scores(candidates.join(queries, "query").join(texts.select("node", "t_text"), "node"), options)
+            candidates = H.keep_best(scored, settings.exonerate_gapped_keep_best).select("query", "node")
     both = settings.both_strands or settings.compare_reverse
     limits = {"least_overlap": settings.min_query_overlap, "least_identity": settings.min_query_identity, "options": options, "query_distance": settings.query_distance, "both_strands": both, "by": "identity" if settings.use_identity_score else "score"}
     candidates = materialise(candidates, "candidates")
@@ -114,6 +143,7 @@ def place(spark: SparkSession, settings: Settings) -> DataFrame:
         order = R.global_rank(queries.select("query", "q_text", "pos"), [F.col("pos")])
         placed = placement.place_in_turn(order, texts.select("node", "t_text"), candidates, settings.placement_rounds or None, **limits)
     placed = materialise(placed, "placed")
+    _said(settings, "placed")
     placed.withColumn("value", F.concat_ws("\t", "query", "node", F.format_number("score", 4), F.format_number("overlap", 4), F.format_number("identity", 4))).select("value").write.text(f"{settings.outfile}.placements")
     _extended(tree, rows_all, placed, queries, options, settings)
     if settings.output_discarded_queries:
@@ -161,6 +191,7 @@ def pile(spark: SparkSession, settings: Settings) -> DataFrame:
         rows.select(F.lit("g").alias("group"), "pos", "sequence"), materialise(seed, "seed"), settings.model(kind, pi), settings.min_query_overlap, settings.min_query_identity, settings.both_strands, 1 + max(1, settings.query_cluster_attempts)
     )
     piled = materialise(piled, "piled")
+    _said(settings, "piled up")
     out = piled.join(rows.select("pos", "name", "comment"), "pos").select("pos", "name", "comment", F.col("row").alias("sequence"))
     _write(out, settings)
     if settings.output_consensus or settings.build_contigs:
@@ -171,7 +202,10 @@ def pile(spark: SparkSession, settings: Settings) -> DataFrame:
 
 
 def run(spark: SparkSession, settings: Settings) -> DataFrame:
-    """The flow that the settings ask for."""
+    """The flow that the settings ask for; what it can't do is an error."""
+    global _begun
+    _begun = time.monotonic()
+    checked(settings)
     if settings.config_log_file:
         Path(settings.config_log_file).write_text(log(settings))
     if settings.pileup_alignment and settings.queryfile:

@@ -3,9 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from arborweave.plans.options import Settings, log, parse
+from arborweave.plans.options import Settings, checked, log, parse
 from arborweave.plans.run import run
-from arborweave.sources.formats import read_fasta, read_options
+from arborweave.sources.formats import graph_faults, read_fasta, read_graphs, read_options
 from arborweave.streaming import arriving
 
 
@@ -33,6 +33,10 @@ def test_options(tmp_path):
     assert read_options(log(s)) == {"seqfile": "a.fas", "events": "1", "query-distance": "0.3", "dna-kappa": "3.0"}
     with pytest.raises(KeyError):
         parse(["--no-such-option"])
+    for bad in (Settings(pacbio=True), Settings(pair_end=True), Settings(no_read_ordering=True), Settings(no_anchors=True, use_prefix_anchors=True), Settings(internal_nodes=True, all_nodes=True)):
+        with pytest.raises(ValueError):
+            checked(bad)
+    assert checked(Settings(silent=True)).anchors() is None and Settings(use_prefix_anchors=True, anchors_offset=7).anchors()["offset"] == 7
     assert Settings(keep_all_edges=True).limits().weight == 1.0 and Settings(indel_rate=0.2).model("protein").ins_rate == 0.2
 
 
@@ -49,6 +53,28 @@ def test_align_run(spark, tmp_path):
         assert spark.read.text(f"file://{out}.events").count() > 0 and spark.read.text(f"file://{out}.xml").count() > 0
 
 
+def test_run_with_anchors_quality_and_graph(spark, tmp_path, caplog):
+    items = family(random.Random(5), 4, 120)
+    path = fasta(tmp_path / "in.fas", items)
+    (tmp_path / "t.nwk").write_text("((s0:0.1,s1:0.1):0.05,(s2:0.1,s3:0.1):0.05);")
+    got = {}
+    for anchored in (False, True):
+        out = f"{tmp_path}/a{anchored}"
+        run(spark, Settings(seqfile=path, treefile=f"file://{tmp_path}/t.nwk", outfile=out, use_prefix_anchors=anchored, prefix_hit_length=12, exonerate_hit_trim=2, output_graph=True, silent=anchored))
+        got[anchored] = {r["name"]: r["sequence"] for r in read_fasta(spark, f"file://{out}").collect()}
+        assert {n: s.replace("-", "") for n, s in got[anchored].items()} == dict(items)
+        sites, edges = read_graphs(spark, f"file://{out}.graph")
+        assert sites.count() >= max(len(s) for _, s in items) and graph_faults(sites, edges).where("fault <> 'weight'").count() == 0 and edges.count() >= sites.count() - 1
+    assert got[True] == got[False] and sum("aligned after" in m for m in caplog.messages) == 1
+    reads = "".join(f"@{n}\n{s}\n+\n{'I' * 20 + '5' * (len(s) - 20)}\n" for n, s in items)
+    (tmp_path / "q.fq").write_text(reads)
+    for least, unknown in ((10, False), (30, True)):
+        out = f"{tmp_path}/q{least}"
+        run(spark, Settings(seqfile=f"file://{tmp_path}/q.fq", treefile=f"file://{tmp_path}/t.nwk", outfile=out, qscore_minimum=least))
+        rows = [r["sequence"] for r in read_fasta(spark, f"file://{out}").collect()]
+        assert any("N" in r for r in rows) == unknown
+
+
 def test_place_and_pile_runs(spark, tmp_path):
     items = family(random.Random(2), 4, 90)
     size = max(len(s) for _, s in items)
