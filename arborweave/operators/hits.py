@@ -225,9 +225,6 @@ def tunnel(chain: list[tuple[int, int, int, float]], n1: int, n2: int, offset: i
     return [x for x, _ in widened], [y for _, y in widened]
 
 
-TUNNEL = "id long, n_anchors int, coverage double"
-
-
 def tunnels(anchors: DataFrame, sizes: DataFrame, trim: int = 5, offset: int = 15) -> DataFrame:
     """(id, n_anchors, coverage) per pair: anchors in the chain and the share of the full matrix inside the tunnel.
 
@@ -244,7 +241,8 @@ def tunnels(anchors: DataFrame, sizes: DataFrame, trim: int = 5, offset: int = 1
                 rows.append((i, len(chain), sum(h - x for x, h in zip(low, high, strict=True)) / max(1, (n1 + 1) * n2) if chain else 1.0))
             yield pd.DataFrame(rows, columns=["id", "n_anchors", "coverage"])
 
-    return sizes.join(listed, "id", "left").select("id", "n1", "n2", "anchors").mapInPandas(work, TUNNEL)
+    rows = sizes.join(listed, "id", "left").select("id", "n1", "n2", "anchors")
+    return rows.mapInPandas(work, f"id {dict(rows.dtypes)['id']}, n_anchors int, coverage double")
 
 
 def with_records(hits: DataFrame, records: DataFrame, columns: list[str]) -> DataFrame:

@@ -124,6 +124,113 @@ def protein_alignment(spark, sf):
     return msa.pairwise(pairs, models.preset("protein"))
 
 
+def _dynamic_programme(distance: float = 0.1, terms: int = 16) -> str:
+    """Best score and forward total of each pair in SQL: the model's series, then both recursions by anti-diagonals.
+
+    A cell also carries the values of the cell to its left, which is the
+    diagonal predecessor of the cell below that.
+    """
+    o = models.preset("protein")
+    rates = [(i, j, v) for i, row in enumerate(models.WAG.strip().splitlines(), 1) for j, v in enumerate(row.split())]
+    parts = [
+        f"e(i, j, v) AS (VALUES {', '.join(f'({i}, {j}, {v}::DOUBLE)' for i, j, v in rates)})",
+        f"f0(i, w) AS (VALUES {', '.join(f'({i}, {w}::DOUBLE)' for i, w in enumerate(models.WAG_PI.split()))})",
+        "f AS MATERIALIZED (SELECT i, w / sum(w) OVER () AS pi FROM f0)",
+        "q0 AS MATERIALIZED (SELECT e.i, e.j, x.pi, v * y.pi AS q FROM (SELECT i, j, v FROM e UNION ALL SELECT j, i, v FROM e) e JOIN f x ON x.i = e.i JOIN f y ON y.i = e.j)",
+        "z AS (SELECT sum(pi * q) AS z FROM q0)",
+        "q AS MATERIALIZED (SELECT i, j, q / z AS q FROM q0, z UNION ALL SELECT i, i, -sum(q) / any_value(z) FROM q0, z GROUP BY i)",
+        "t0 AS MATERIALIZED (SELECT x.i, y.i AS j, CASE WHEN x.i = y.i THEN 1.0 ELSE 0.0 END::DOUBLE AS v FROM f x, f y)",
+        *(f"t{n} AS MATERIALIZED (SELECT a.i, q.j, sum(a.v * q.q * {distance} / {n}) AS v FROM t{n - 1} a JOIN q ON q.i = a.j GROUP BY a.i, q.j)" for n in range(1, terms + 1)),
+        "pr AS (SELECT i, j, sum(v) AS p FROM (" + " UNION ALL ".join(f"SELECT * FROM t{n}" for n in range(terms + 1)) + ") GROUP BY i, j)",
+        "sc AS MATERIALIZED (SELECT list(ln(p / y.pi * 0.5 * (x.pi + y.pi) / x.pi)::FLOAT::DOUBLE ORDER BY pr.i, pr.j) AS s FROM pr JOIN f x ON x.i = pr.i JOIN f y ON y.i = pr.j)",
+        f"g0 AS (SELECT least(0.49, greatest(1e-12, 1 - exp(-0.5 * {o.ins_rate + o.del_rate} * {distance}))) AS t)",
+        f"g AS MATERIALIZED (SELECT ln(1 - 2 * t)::FLOAT::DOUBLE AS ng, ln(t)::FLOAT::DOUBLE AS go, ln({o.gap_extension})::FLOAT::DOUBLE AS ge, ln({o.end_gap_extension})::FLOAT::DOUBLE AS gt FROM g0)",
+        "o AS (SELECT DISTINCT name, frame, translation AS b FROM orfs WHERE translation IS NOT NULL AND name IS NOT NULL)",
+        f"pa AS MATERIALIZED (SELECT name || '|' || frame || '|' || b AS id, list_transform(string_split(a, ''), lambda c: instr('{models.AMINO}', c)) AS a, list_transform(string_split(b, ''), lambda c: instr('{models.AMINO}', c)) AS b, length(a) AS n, length(b) AS k FROM o, (SELECT min(b) AS a FROM o))",
+    ]
+    low, states = "-1e30::DOUBLE", ("m", "x", "y")
+    start = ", ".join(["0.0::DOUBLE AS m", f"{low} AS x", f"{low} AS y", "1.0::DOUBLE AS fm", "0.0::DOUBLE AS fx", "0.0::DOUBLE AS fy", *(f"{low} AS p{v}" for v in states), *(f"0.0::DOUBLE AS pf{v}" for v in states)])
+    # c: the cell above (u), the cell to the left (l) and the diagonal one (d) of each cell
+    cell = ", ".join([*(f"u.{v} AS u{v}, u.f{v} AS uf{v}, l.{v} AS l{v}, l.f{v} AS lf{v}, u.p{v} AS d{v}, u.pf{v} AS df{v}" for v in states)])
+    parts.append(
+        f"""w AS (SELECT id, 0 AS d, 0 AS i, {start} FROM pa UNION ALL
+SELECT c.id, c.d, c.i,
+ CASE WHEN i > 0 AND c.d > i THEN s[(a[i] - 1) * 20 + b[c.d - i]] + greatest(dm + 2 * ng, dx + ng, dy + ng) ELSE {low} END,
+ CASE WHEN i > 0 THEN greatest(ux + CASE WHEN c.d - i IN (0, k) THEN gt ELSE ge END, uy + go, um + ng + CASE WHEN c.d = i THEN 0 ELSE go END, {low}) ELSE {low} END,
+ CASE WHEN c.d > i THEN greatest(ly + CASE WHEN i IN (0, n) THEN gt ELSE ge END, lx + go, lm + ng + CASE WHEN i = 0 THEN 0 ELSE go END, {low}) ELSE {low} END,
+ CASE WHEN i > 0 AND c.d > i THEN exp(s[(a[i] - 1) * 20 + b[c.d - i]]) * (dfm * exp(2 * ng) + dfx * exp(ng) + dfy * exp(ng)) ELSE 0 END,
+ CASE WHEN i > 0 THEN ufm * exp(ng + go) + ufx * exp(ge) + ufy * exp(go) ELSE 0 END,
+ CASE WHEN c.d > i THEN lfm * exp(ng + go) + lfx * exp(go) + lfy * exp(ge) ELSE 0 END,
+ coalesce(lm, {low}), coalesce(lx, {low}), coalesce(ly, {low}), coalesce(lfm, 0), coalesce(lfx, 0), coalesce(lfy, 0)
+FROM (SELECT coalesce(u.id, l.id) AS id, coalesce(u.d, l.d) + 1 AS d, coalesce(u.i + 1, l.i) AS i, {cell} FROM w u FULL JOIN w l ON u.id = l.id AND u.i + 1 = l.i) c JOIN pa ON pa.id = c.id, g, sc WHERE c.d <= n + k AND i <= n AND c.d - i <= k)"""
+    )
+    return f"WITH RECURSIVE {', '.join(parts)} SELECT w.id, round(greatest(m + ng, x, y), 3) AS score, round(ln(fm * exp(ng) + fx + fy), 3) AS forward FROM w JOIN pa ON pa.id = w.id AND w.d = n + k AND w.i = n, g"
+
+
+@query
+def protein_scores(spark, sf):
+    """Best score and forward total of each reading frame's translation with the smallest of all."""
+    o = table(spark, sf, "orfs").where("translation IS NOT NULL AND name IS NOT NULL").select("name", "frame", "translation").distinct()
+    least = o.agg(F.min("translation")).first()[0] or ""
+    pairs = o.select(F.concat_ws("|", "name", F.col("frame").cast("string"), "translation").alias("id"), F.lit(least).alias("text_1"), F.col("translation").alias("text_2"))
+    return msa.pairwise(pairs, models.preset("protein"), sums=True).select("id", F.round("score", 3).alias("score"), F.round("forward", 3).alias("forward"))
+
+
+SQL["protein_scores"] = _dynamic_programme()
+
+
+def _dna_programme(distance: float = 0.1) -> str:
+    """Global and local scores of DNA pairs in SQL: the closed form of the model at equal base frequencies, and both recursions by anti-diagonals."""
+    o, low, states = models.preset("dna"), "-1e30::DOUBLE", ("m", "x", "y", "h", "u", "v")
+    letters = "".join(C.LETTER[m] for m in range(1, 16))  # by mask
+    fourth, slow, fast = 0.25, f"exp(-{distance})", f"exp(-1.5 * {distance})"
+
+    def coded(text: str) -> str:
+        return f"list_transform(string_split(replace({text}, 'U', 'T'), ''), lambda c: CASE WHEN instr('{letters}', c) = 0 THEN 15 ELSE instr('{letters}', c) END)"
+
+    parts = [
+        f"g0 AS (SELECT least(0.49, greatest(1e-12, 1 - exp(-0.5 * {o.ins_rate + o.del_rate} * {distance}))) AS t)",
+        f"g AS MATERIALIZED (SELECT ln(1 - 2 * t)::FLOAT::DOUBLE AS ng, ln(t)::FLOAT::DOUBLE AS go, ln({o.gap_extension})::FLOAT::DOUBLE AS ge, ln({o.end_gap_extension})::FLOAT::DOUBLE AS gt FROM g0)",
+        f"b4 AS (SELECT x.i, y.i AS j, ln((CASE WHEN x.i = y.i THEN {fourth} + {fourth} * {slow} + 0.5 * {fast} WHEN x.i % 2 = y.i % 2 THEN {fourth} + {fourth} * {slow} - 0.5 * {fast} ELSE {fourth} - {fourth} * {slow} END) / {fourth})::FLOAT::DOUBLE AS s FROM (SELECT unnest(range(4)) AS i) x, (SELECT unnest(range(4)) AS i) y)",
+        "ms AS (SELECT unnest(range(1, 16)) AS mask)",
+        "sc AS MATERIALIZED (SELECT list(s ORDER BY x, y) AS s FROM (SELECT x.mask AS x, y.mask AS y, max(s) AS s FROM ms x, ms y, b4 WHERE (x.mask >> i) & 1 = 1 AND (y.mask >> j) & 1 = 1 GROUP BY x.mask, y.mask))",
+        "o AS (SELECT DISTINCT name, frame, upper(dna) AS b FROM orfs WHERE dna IS NOT NULL AND name IS NOT NULL)",
+        f"pa AS MATERIALIZED (SELECT name || '|' || frame || '|' || b AS id, {coded('a')} AS a, {coded('b')} AS b, length(a) AS n, length(b) AS k FROM o, (SELECT min(b) AS a FROM o))",
+    ]
+    start = {"m": "0.0::DOUBLE", "x": low, "y": low, "h": "0.0::DOUBLE", "u": low, "v": low}
+    first = ", ".join([*(f"{start[v]} AS {v}" for v in states), *(f"{low} AS p{v}" for v in states)])
+    cell = ", ".join(f"up.{v} AS u_{v}, l.{v} AS l_{v}, up.p{v} AS d_{v}" for v in states)
+    pair = "(a[i] - 1) * 15 + b[c.d - i]"
+    parts.append(
+        f"""w AS (SELECT id, 0 AS d, 0 AS i, {first} FROM pa UNION ALL
+SELECT c.id, c.d, c.i,
+ CASE WHEN i > 0 AND c.d > i THEN s[{pair}] + greatest(d_m + 2 * ng, d_x + ng, d_y + ng) ELSE {low} END,
+ CASE WHEN i > 0 THEN greatest(u_x + CASE WHEN c.d - i IN (0, k) THEN gt ELSE ge END, u_y + go, u_m + ng + CASE WHEN c.d = i THEN 0 ELSE go END, {low}) ELSE {low} END,
+ CASE WHEN c.d > i THEN greatest(l_y + CASE WHEN i IN (0, n) THEN gt ELSE ge END, l_x + go, l_m + ng + CASE WHEN i = 0 THEN 0 ELSE go END, {low}) ELSE {low} END,
+ CASE WHEN i > 0 AND c.d > i THEN greatest(0, d_h + CASE WHEN (a[i] & b[c.d - i]) <> 0 THEN 5 ELSE -4 END, u_h - 12, u_u - 4, l_h - 12, l_v - 4) ELSE 0 END,
+ CASE WHEN i > 0 AND c.d > i THEN greatest(u_h - 12, u_u - 4) ELSE {low} END,
+ CASE WHEN i > 0 AND c.d > i THEN greatest(l_h - 12, l_v - 4) ELSE {low} END,
+ {", ".join(f"coalesce(l_{v}, {low})" for v in states)}
+FROM (SELECT coalesce(up.id, l.id) AS id, coalesce(up.d, l.d) + 1 AS d, coalesce(up.i + 1, l.i) AS i, {cell} FROM w up FULL JOIN w l ON up.id = l.id AND up.i + 1 = l.i) c JOIN pa ON pa.id = c.id, g, sc WHERE c.d <= n + k AND i <= n AND c.d - i <= k)"""
+    )
+    return f"""WITH RECURSIVE {', '.join(parts)}, best AS (SELECT id, max(h) AS h FROM w GROUP BY id)
+SELECT w.id, round(greatest(m + ng, x, y), 3) AS score, best.h AS local_score FROM w JOIN pa ON pa.id = w.id AND w.d = n + k AND w.i = n JOIN best ON best.id = w.id, g"""
+
+
+@query
+def dna_scores(spark, sf):
+    """Best global and local score of each reading frame's DNA with the smallest of all."""
+    o = table(spark, sf, "orfs").where("dna IS NOT NULL AND name IS NOT NULL").select("name", "frame", F.upper("dna").alias("dna")).distinct()
+    least = o.agg(F.min("dna")).first()[0] or ""
+    pairs = o.select(F.concat_ws("|", "name", F.col("frame").cast("string"), "dna").alias("id"), F.lit(least).alias("text_1"), F.col("dna").alias("text_2"))
+    whole = msa.pairwise(pairs, models.preset("dna")).select("id", F.round("score", 3).alias("score"))
+    part = placement.local_scores(pairs.select(F.col("id").alias("query"), F.lit("").alias("node"), F.col("text_1").alias("q_text"), F.col("text_2").alias("t_text")), models.preset("dna"))
+    return whole.join(part.select(F.col("query").alias("id"), F.col("score").alias("local_score")), "id")
+
+
+SQL["dna_scores"] = _dna_programme()
+
+
 @query
 def codon_alignment(spark, sf):
     o = table(spark, sf, "orfs").where("dna IS NOT NULL").select("name", "frame", F.upper("dna").alias("dna")).distinct()

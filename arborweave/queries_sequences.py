@@ -430,15 +430,16 @@ def trim_to_span(spark, sf):
     return C.span_of(ends).withColumnRenamed("group", "node")
 
 
-@query(
-    f"""WITH {_R}, q AS (SELECT name, arg_min(sequence, pos) AS s FROM r WHERE name IS NOT NULL AND sequence IS NOT NULL GROUP BY name),
+_ANCHORS = f"""WITH {_R}, q AS (SELECT name, arg_min(sequence, pos) AS s FROM r WHERE name IS NOT NULL AND sequence IS NOT NULL GROUP BY name),
 o AS (SELECT DISTINCT name, frame, orf_start, upper(dna) AS dna FROM orfs), p AS (SELECT o.name || '|' || frame || '|' || orf_start AS id, dna AS a, upper(s) AS b FROM o JOIN q ON q.name = o.name WHERE dna IS NOT NULL),
 x AS (SELECT id, i, substr(a, i + 1, 9) AS k FROM (SELECT id, a, unnest(range(0, greatest(length(a) - 8, 0))) AS i FROM p)),
 y AS (SELECT id, j, substr(b, j + 1, 9) AS k FROM (SELECT id, b, unnest(range(0, greatest(length(b) - 8, 0))) AS j FROM p)),
 s AS (SELECT x.id, i, j, j - i AS d FROM x JOIN y ON x.id = y.id AND x.k = y.k),
-g AS (SELECT *, i - row_number() OVER (PARTITION BY id, d ORDER BY i) AS run FROM s)
-SELECT id, CAST(min(i) AS INTEGER) AS start_1, CAST(min(j) AS INTEGER) AS start_2, count(*) + 8 AS length FROM g GROUP BY id, d, run"""
-)
+g AS (SELECT *, i - row_number() OVER (PARTITION BY id, d ORDER BY i) AS run FROM s),
+an AS (SELECT id, CAST(min(i) AS INTEGER) AS start_1, CAST(min(j) AS INTEGER) AS start_2, count(*) + 8 AS length FROM g GROUP BY id, d, run)"""
+
+
+@query(_ANCHORS + " SELECT * FROM an")
 def diagonal_anchors(spark, sf):
     return H.exact_anchors(_orf_pairs(spark, sf), 9)
 
@@ -463,11 +464,31 @@ def kmer_join(spark, sf):
     return H.shared_parts(x, y, 16)
 
 
-@query()
+_CHAINS = (
+    _ANCHORS
+    + """, cut AS (SELECT id, list([{'a': start_1 + 2, 'b': start_2 + 2, 'n': length - 4, 's': length}] ORDER BY length DESC, start_1, start_2) AS l FROM an WHERE length > 4 GROUP BY id),
+kept AS (SELECT id, list_sort(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: NOT ((x[1].a + x[1].n <= y.a OR y.a + y.n <= x[1].a) AND (x[1].b + x[1].n <= y.b OR y.b + y.n <= x[1].b)))) = 0 THEN list_concat(acc, x) ELSE acc END)) AS l FROM cut),
+ch0 AS (SELECT id, list_reduce(list_transform(l, lambda x: [x]), lambda acc, x: list_concat(
+  list_slice(acc, 1, coalesce(list_max(list_filter(range(1, len(acc) + 1), lambda i: NOT (x[1].b < acc[i].b + acc[i].n AND acc[i].s < x[1].s))), 0)),
+  CASE WHEN coalesce(list_max(list_filter(range(1, len(acc) + 1), lambda i: NOT (x[1].b < acc[i].b + acc[i].n AND acc[i].s < x[1].s))), 0) = 0
+    OR x[1].b >= acc[list_max(list_filter(range(1, len(acc) + 1), lambda i: NOT (x[1].b < acc[i].b + acc[i].n AND acc[i].s < x[1].s)))].b + acc[list_max(list_filter(range(1, len(acc) + 1), lambda i: NOT (x[1].b < acc[i].b + acc[i].n AND acc[i].s < x[1].s)))].n THEN x ELSE [] END)) AS l FROM kept),
+sz AS (SELECT id, length(a) AS n1, length(b) AS n2 FROM p),
+mk AS (SELECT sz.id, n1, n2, len(coalesce(l, [])) AS n_anchors, list_concat([{'a': 0, 'b': 0, 'n': 0}], list_transform(coalesce(l, []), lambda x: {'a': x.a, 'b': x.b, 'n': x.n})) AS m FROM sz LEFT JOIN ch0 ON ch0.id = sz.id),
+lh AS (SELECT *, list_transform(range(0, n1 + 1), lambda i: len(list_filter(m, lambda x: x.a <= i))) AS seg FROM mk),
+bd AS (SELECT *, list_transform(range(0, n1 + 1), lambda i: CASE WHEN i < m[seg[i + 1]].a + m[seg[i + 1]].n THEN m[seg[i + 1]].b + i - m[seg[i + 1]].a ELSE m[seg[i + 1]].b + m[seg[i + 1]].n END) AS low,
+  list_transform(range(0, n1 + 1), lambda i: CASE WHEN i < m[seg[i + 1]].a + m[seg[i + 1]].n THEN m[seg[i + 1]].b + i - m[seg[i + 1]].a WHEN seg[i + 1] = len(m) THEN n2 ELSE m[seg[i + 1] + 1].b END) AS high FROM lh),
+cv AS (SELECT id, n_anchors, n1, n2, list_sum(list_transform(range(0, n1 + 1), lambda i: least(n2, list_max(high[greatest(0, i - 15) + 1:i + 16]) + 15) - greatest(0, list_min(low[greatest(0, i - 15) + 1:i + 16]) - 15))) AS total FROM bd)
+SELECT id, CAST(n_anchors AS INTEGER) AS n_anchors, round(CASE WHEN n_anchors > 0 THEN total / greatest(1, (n1 + 1) * n2) ELSE 1.0 END, 6) AS coverage FROM cv"""
+)
+
+
+@query(_CHAINS)
 def tunnel_bounds(spark, sf):
-    pairs = _orf_pairs(spark, sf).withColumn("key", F.xxhash64("id"))
-    anchors = H.exact_anchors(pairs.select(F.col("key").alias("id"), "text_1", "text_2"), 9).withColumn("score", F.col("length").cast("double"))
-    return H.tunnels(anchors, pairs.select(F.col("key").alias("id"), F.length("text_1").alias("n1"), F.length("text_2").alias("n2")), trim=2)
+    """How many anchors of each pair hold together, and the share of the matrix inside the tunnel around them."""
+    pairs = _orf_pairs(spark, sf)
+    anchors = H.exact_anchors(pairs, 9).withColumn("score", F.col("length").cast("double"))
+    found = H.tunnels(anchors, pairs.select("id", F.length("text_1").alias("n1"), F.length("text_2").alias("n2")), trim=2)
+    return found.withColumn("coverage", F.round("coverage", 6))
 
 
 # columns; a lower-case letter of a contig counts as a gap, and records lie left-aligned under their tag
