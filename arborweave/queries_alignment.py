@@ -425,3 +425,84 @@ d AS (SELECT pos, s, CASE WHEN length(quality) = length(s) THEN quality END AS q
 m AS (SELECT pos, list_transform(range(1, length(s) + 1), lambda i: CASE WHEN ascii(q[i]) < 43 THEN 'N' ELSE s[i] END) AS l FROM d)
 SELECT pos, CAST(len(l) AS INTEGER) AS n_sites, CAST(len(l) + 1 + len(list_filter(range(2, len(l) + 1), lambda i: l[i] = l[i - 1] AND (i = 2 OR l[i - 2] <> l[i - 1]))) AS INTEGER) AS n_edges,
 CAST(len(list_filter(l, lambda x: x = 'N')) AS BIGINT) AS n_unknown FROM m"""
+
+
+# exact round trips: what must come out is known, so SQL can say it
+
+_CLEAN = "c AS (SELECT DISTINCT pos, regexp_replace(replace(upper(sequence), 'U', 'T'), '[^ACGTRYMKWSBDHVN]', '', 'g') AS s FROM contigs WHERE sequence IS NOT NULL)"
+
+
+def _clean_contigs(spark: SparkSession, sf: str) -> DataFrame:
+    """(pos, sequence) of the consensus records, with clean letters."""
+    rows = table(spark, sf, "contigs").where("sequence IS NOT NULL").select("pos", S.dna_letters(F.col("sequence")).alias("sequence")).distinct()
+    return rows.where("sequence <> ''")
+
+
+def _frame_families(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The DNA of the reading frames of each name as a family: (tree, tips, (member, id, sequence))."""
+    o = table(spark, sf, "orfs").where("dna IS NOT NULL AND name IS NOT NULL").select("name", S.dna_letters(F.col("dna")).alias("sequence"), "frame", "orf_start").distinct()
+    name = F.concat_ws("|", "name", F.col("frame").cast("string"), F.col("orf_start").cast("string"), "sequence")
+    rows = o.where("sequence <> ''").select(F.xxhash64(name).alias("member"), F.pmod(F.xxhash64("name"), F.lit(1 << 38)).alias("family"), name.alias("id"), "sequence")
+    rows = materialise(rows.dropDuplicates(["member"]), "frames")
+    tree, tips = msa.balanced_forest(rows.select("family", "member"))
+    return tree, tips, rows.drop("family")
+
+
+_FRAMES = """o AS (SELECT DISTINCT name, regexp_replace(replace(upper(dna), 'U', 'T'), '[^ACGTRYMKWSBDHVN]', '', 'g') AS s, frame, orf_start FROM orfs WHERE dna IS NOT NULL AND name IS NOT NULL),
+g AS (SELECT name, concat_ws('|', name, frame, orf_start, s) AS id, s, count(*) OVER (PARTITION BY name) AS n FROM o WHERE s <> '')"""
+
+
+@query
+def frame_alignment(spark, sf):
+    """The alignment of the frames of each name: each row's letters, and how many rows of the name are as wide as it."""
+    tree, tips, rows = _frame_families(spark, sf)
+    leaves = tips.join(rows, "member").select("node_id", "sequence")
+    aligned = materialise(msa.aligned_rows(tree, msa.align_tree(tree, leaves)), "aligned")
+    wide = aligned.groupBy("root", F.length("sequence").alias("w")).agg(F.count("*").alias("n_rows"))
+    out = aligned.withColumn("w", F.length("sequence")).join(wide, ["root", "w"]).join(tips, "node_id").join(rows.select("member", "id"), "member")
+    return out.select("id", S.degap(F.col("sequence")).alias("letters"), "n_rows")
+
+
+SQL["frame_alignment"] = f"WITH {_FRAMES} SELECT id, s AS letters, n AS n_rows FROM g WHERE n > 1"
+
+
+@query
+def replay_roundtrip(spark, sf):
+    """Given alignments (the frames of each name, filled with gaps on the right) read along trees and written again."""
+    tree, tips, rows = _frame_families(spark, sf)
+    member = tips.join(rows, "member")
+    width = member.groupBy("family").agg(F.max(F.length("sequence")).alias("w"))
+    given = member.join(width, "family").select("node_id", F.expr("rpad(sequence, w, '-')").alias("sequence"))
+    out = msa.aligned_rows(tree, msa.replay_tree(tree, given))
+    return out.join(tips, "node_id").join(rows.select("member", "id"), "member").select("id", "sequence")
+
+
+SQL["replay_roundtrip"] = f"WITH {_FRAMES} SELECT id, rpad(s, CAST(max(length(s)) OVER (PARTITION BY name) AS INTEGER), '-') AS sequence FROM g WHERE n > 1"
+
+
+@query
+def place_identity(spark, sf):
+    """Each consensus record placed at itself, those of odd pos as their reverse complement."""
+    rows = _clean_contigs(spark, sf).where("length(sequence) >= 50").groupBy("pos").agg(F.min("sequence").alias("t_text"))
+    odd = F.col("pos") % 2 == 1
+    pairs = rows.select(F.col("pos").cast("string").alias("query"), F.col("pos").cast("string").alias("node"), F.when(odd, S.reverse_complement(F.col("t_text"))).otherwise(F.col("t_text")).alias("q_text"), "t_text")
+    placed = placement.place_all(pairs, both_strands=True)
+    return placed.select("query", "node", *(F.round(c, 6).alias(c) for c in ("score", "overlap", "identity")), "reversed")
+
+
+SQL["place_identity"] = f"WITH {_CLEAN} SELECT DISTINCT CAST(pos AS VARCHAR) AS query, CAST(pos AS VARCHAR) AS node, 1.0::DOUBLE AS score, 1.0::DOUBLE AS overlap, 1.0::DOUBLE AS identity, pos % 2 = 1 AS reversed FROM c WHERE length(s) >= 50"
+
+
+@query
+def pile_identity(spark, sf):
+    """The contig of the two overlapping parts of each consensus record, piled up on the first of them."""
+    rows = materialise(_clean_contigs(spark, sf).where("length(sequence) >= 100 AND sequence NOT RLIKE '[^ACGT]'").groupBy("pos").agg(F.min("sequence").alias("s")), "whole")
+    n = F.length("s")
+    ends = F.array(F.struct(F.lit(0).alias("k"), F.expr("substring(s, 1, cast(length(s) * 4 / 5 as int))").alias("t")), F.struct(F.lit(1).alias("k"), F.expr("substring(s, cast(length(s) / 5 as int) + 1)").alias("t")))
+    parts = rows.where(n >= 100).select(F.col("pos").cast("string").alias("group"), "pos", F.explode(ends).alias("x")).select("group", (F.col("pos") * 2 + F.col("x.k")).alias("pos"), F.col("x.k").alias("k"), F.col("x.t").alias("sequence"))
+    piled, seeds = placement.pile(parts.select("group", "pos", "sequence"), parts.where("k = 0").select("group", F.col("sequence").alias("seed")))
+    out = placement.contigs_of(materialise(piled, "piled"), seeds, 1, 0.0)
+    return out.select("group", "n_reads", S.degap(F.col("consensus")).alias("consensus"))
+
+
+SQL["pile_identity"] = f"""WITH {_CLEAN} SELECT CAST(pos AS VARCHAR) AS "group", CAST(2 AS BIGINT) AS n_reads, min(s) AS consensus FROM c WHERE length(s) >= 100 AND NOT regexp_matches(s, '[^ACGT]') GROUP BY pos"""
