@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,3 +108,21 @@ def join_counted(left: DataFrame, right: DataFrame, key: Sequence[str], n: str,
     heavy = left.join(F.broadcast(hot.drop(n)), key, "inner" if how == "left" else how)
     light = left.join(listed, key, "left_anti").join(right.where(F.col(n) <= limit).drop(n), key, how)
     return heavy.unionByName(light)
+
+
+def flags(numbers: DataFrame, column: str, size: int) -> np.ndarray:
+    """size booleans: which of the remainders 0..size-1 (a power of two) the numbers of a column have.
+
+    A filter of fixed size for a later pass: the bits are set in partial
+    aggregates, and size / 8 bytes reach the driver whatever the table holds.
+    Nulls set none.
+    """
+    at = F.col(column).bitwiseAND(F.lit(size - 1)) + 1  # the functions below count from 1
+    rows = numbers.where(F.col(column).isNotNull()).groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = np.zeros(size, bool)
+    width = 1 << 15
+    for r in rows.toLocalIterator():
+        bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little").astype(bool)
+        begin = (r["k"] - 1) * width
+        out[begin : begin + width] = bits[: max(0, size - begin)]
+    return out

@@ -134,3 +134,33 @@ def test_components_both_ways(spark):
     assert sorted(map(tuple, components(df.repartition(3), one_task=0).collect())) == want
     assert components(df.limit(0)).count() == 0
     assert Counter(b for _, b in want)
+
+
+def test_flags(spark):
+    from arborweave.operators.skew import flags
+
+    df = spark.createDataFrame([(0,), (5,), (32767,), (32768,), (-1,), (2**40 + 7,), (None,), (5,)], "x long")
+    assert set(flags(df, "x", 1 << 17).nonzero()[0].tolist()) == {0, 5, 7, 32767, 32768, (1 << 17) - 1}
+    assert not flags(df.limit(0), "x", 1 << 10).any() and set(flags(df.limit(2), "x", 1 << 10).nonzero()[0].tolist()) == {0, 5}
+
+
+def test_letter_operators_on_odd_input(spark):
+    from arborweave.operators import columns as C
+    from arborweave.operators import hits as H
+    from arborweave.operators import records as R
+
+    pairs = spark.createDataFrame([(1, "AC-GT", "A--CT"), (2, None, "A"), (3, "", ""), (4, "É-A", "AA"), (5, "--", "--")], "branch long, parent string, child string")
+    assert rows(C.branch_events(pairs)) == sorted([(1, "deletion", 2, 2, None, None), (1, "substitution", 4, 4, "G", "C"), (4, "insertion", 2, 2, None, None), (4, "substitution", 1, 1, "?", "A")], key=str)
+    assert rows(C.running_sites(pairs)) == [(1, 2, 2, 1), (4, 2, 1, 2)]
+    assert {r["id"]: r["identity"] for r in C.identity_vectors(pairs.withColumnsRenamed({"branch": "id", "parent": "a", "child": "b"})).collect()} == {1: "1--01", 3: "", 4: "0-", 5: "--"}
+    counts = C.row_counts(spark.createDataFrame([("g", "AR-", 2), ("g", "a", 1), ("h", None, 1), (None, "A", 1), ("h", "", 1)], "group string, sequence string, w int"), weight=__import__("pyspark").sql.functions.col("w"))
+    assert rows(counts) == [("g", 0, 3, 0, 0, 0, 3), ("g", 1, 2, 0, 2, 0, 2), ("g", 2, 0, 0, 0, 0, 0)]
+    texts = spark.createDataFrame([(1, "ACGTACGT"), (2, "ACG"), (3, None), (4, "TTTTTT")], "id long, text string")
+    other = spark.createDataFrame([(9, "CCACGTAC"), (8, ""), (7, "TTTT")], "id long, text string")
+    assert rows(H.shared_parts(texts, other, 4)) == [(1, 4, 3, 3), (4, 1, 1, 1)]
+    assert rows(H.shared_kmers(texts, other, 4)) == [(1, 9, 3), (4, 7, 1)]
+    long = seqs(spark, [{"pos": 1, "sequence": "ATG" * 30_000}, {"pos": 2, "sequence": ""}, {"pos": 3}])
+    found = R.frames(long, 1000).collect()
+    assert {r["pos"] for r in found} == {1} and all(len(r["translation"]) >= 29_999 for r in found)
+    for f in (C.branch_events, C.running_sites):
+        assert f(pairs.limit(0)).count() == 0
