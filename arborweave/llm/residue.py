@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborweave.functions import packed
-from arborweave.operators.skew import join_counted
+from arborweave.operators.skew import flags, join_counted
 from arborweave.session import materialise
 
 # Forms of a slot that kept its variable name, default or blank. Public template syntaxes.
@@ -425,13 +425,9 @@ def _aligned(filters):
 
 def _filters(spark: SparkSession, found: DataFrame):
     """A flag for each number below FILTER, by kind of hash: what the second pass looks for. Their size doesn't depend on the table."""
-    out = []
-    for kinds, column in ((("slot", "cue"), "left"), (("slot", "cue"), "key"), (("unit", "beside"), "key"), (("unit",), "left")):
-        bits = np.zeros(FILTER, bool)
-        numbers = found.where(F.col("kind").isin(*kinds)).select(F.col(column).bitwiseAND(F.lit(FILTER - 1)).cast("int").alias("x")).distinct()
-        bits[numbers.toArrow().column(0).to_numpy()] = True
-        out.append(bits)
-    return spark.sparkContext.broadcast((out[0], out[1], out[2] | out[3]))
+    places, unit = found.where("kind IN ('slot', 'cue')"), found.where("kind IN ('unit', 'beside')")
+    keys = unit.select("key").unionByName(unit.where("kind = 'unit'").select(F.col("left").alias("key")))
+    return spark.sparkContext.broadcast((flags(places, "left", FILTER), flags(places, "key", FILTER), flags(keys, "key", FILTER)))
 
 
 def _slots(found: DataFrame, fills: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborweave.functions import packed
-from arborweave.operators.skew import join_counted
+from arborweave.operators.skew import flags, join_counted
 from arborweave.session import materialise
 
 ANCHOR = 24
@@ -264,9 +264,7 @@ def shared_spans(records: DataFrame, span: int = 64, least_heavy: int = 1000, gr
     rows = records.where(F.col("pos").isNotNull()).select(F.col("pos").cast("long").alias("id"), normal(F.col("sequence")).alias("text")).where(F.length("text") >= span)
     # anchors that two records hold, counted by a partial aggregate
     held = rows.mapInArrow(_anchors(span), "h long, id long").groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    numbers = held.select(F.col("h").bitwiseAND(F.lit(FILTER - 1)).cast("int").alias("x")).distinct().toArrow().column(0).to_numpy()  # at most FILTER
-    bits = np.zeros(FILTER, bool)
-    bits[numbers] = True
+    bits = flags(held, "h", FILTER)
     blocks = rows.mapInArrow(_blocks(span, spark.sparkContext.broadcast(bits)), "id long, off long, a int, block string")
     blocks = materialise(blocks.withColumn("h1", F.xxhash64("block")).withColumn("h2", F.xxhash64(F.lit(1), "block")), "blocks")
     # equal blocks meet in a partial aggregate, so a span that most records hold is a single row afterwards
