@@ -90,6 +90,8 @@ def balanced_forest(members: DataFrame, length: float = 0.05) -> tuple[DataFrame
     n = F.count("*").over(Window.partitionBy("family"))
     nth = F.row_number().over(Window.partitionBy("family").orderBy("member"))
     ranked = materialise(members.select("family", "member").distinct().withColumns({"n": n, "nth": nth}).where("n > 1"), "family")
+    if not ranked.where((F.col("n") >= 1 << 23) | (F.col("family") < 0) | (F.col("family") >= 1 << 39)).isEmpty():
+        raise ValueError("a family has 2^23 members or more, or a number outside of 0 to 2^39")
     base = F.shiftleft("family", 24)
     tips = ranked.select((base + F.col("n") - 1 + F.col("nth")).alias("node_id"), "family", "member")
     sizes = ranked.where("nth = 1").select("family", "n")

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import logging
 import time
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +20,7 @@ from arborweave.operators import records as R
 from arborweave.operators import trees as T
 from arborweave.plans import msa, placement
 from arborweave.plans.options import Settings, checked, log
-from arborweave.session import materialise
+from arborweave.session import materialise, write_text
 from arborweave.sources import formats, writers
 
 
@@ -59,7 +58,8 @@ def tree_of(spark: SparkSession, rows: DataFrame, path: str, settings: Settings)
         tree = formats.read_newick(spark, path)
     else:
         nodes = placement.guide_tree(rows.select(F.col("name").alias("id"), S.degap(F.col("sequence")).alias("text")))
-        tree = spark.createDataFrame([(*r[:5], None, None, r[5]) for r in nodes], formats.NODES)
+        none = F.lit(None).cast("string")
+        tree = nodes.select("node_id", "parent_id", "side", "name", "dist", none.alias("tid"), none.alias("nhx"), "height")
     tree = materialise(T.branch_lengths(
         tree, settings.scale_branches if settings.scale_branches > 0 else 1.0, settings.truncate_branches, settings.min_branch_length, settings.fixed_branches if settings.fixed_branches >= 0 else None, settings.real_branches
     ), "tree")
@@ -103,7 +103,7 @@ def _results(tree: DataFrame, graphs: DataFrame, options, rows: DataFrame, setti
     if settings.xml:
         writers.save(writers.xml(out, writers.newick_text(tree, "names")), f"{settings.outfile}.xml")
     if settings.guidetree or settings.output_nhx_tree:
-        Path(f"{settings.outfile}.tre").write_text(writers.newick_text(tree, "nhx") + "\n")
+        write_text(tree.sparkSession, f"{settings.outfile}.tre", writers.newick_text(tree, "nhx") + "\n")
     if settings.events:
         pairs = every.select("name", "parent_id", F.col("sequence").alias("child")).join(every.select(F.col("node_id").alias("parent_id"), F.col("sequence").alias("parent")), "parent_id")
         writers.save(writers.event_lines(C.branch_events(pairs.withColumnRenamed("name", "branch"))).select("branch", "ord", F.concat("branch", "value").alias("value")), f"{settings.outfile}.events", ["branch", "ord"])
@@ -207,7 +207,7 @@ def run(spark: SparkSession, settings: Settings) -> DataFrame:
     _begun = time.monotonic()
     checked(settings)
     if settings.config_log_file:
-        Path(settings.config_log_file).write_text(log(settings))
+        write_text(spark, settings.config_log_file, log(settings))
     if settings.pileup_alignment and settings.queryfile:
         return pile(spark, settings)
     if settings.ref_seqfile and settings.queryfile:

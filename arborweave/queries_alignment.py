@@ -359,7 +359,7 @@ def nj_tree(spark, sf):
     from arborweave.queries_sequences import consensus_minimum
 
     texts = consensus_minimum(spark, sf).select(F.col("group").alias("id"), S.degap(F.col("sequence")).alias("text"))
-    return spark.createDataFrame(placement.guide_tree(texts, 4), "node_id long, parent_id long, side int, name string, dist double, height int")
+    return placement.guide_tree(texts, 4)
 
 
 @query

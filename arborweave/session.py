@@ -59,6 +59,16 @@ def materialise(df: DataFrame, what: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file at a Spark path (a shared file system, or a local file without a scheme in local mode)."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def drop_materialised() -> None:
     """Remove the tables that materialise() wrote in this process."""
     while _made:

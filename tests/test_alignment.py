@@ -163,6 +163,35 @@ def test_piles_grow(spark):
     assert placement.pile_up(df.limit(0), seeds).count() == 0
 
 
+def test_guide_tree_in_batches(spark):
+    rng = random.Random(23)
+    groups = {}
+    for g in range(6):
+        base = "".join(rng.choice("ACGT") for _ in range(120))
+        for i in range(5):
+            at = rng.randrange(110)
+            groups[f"g{g}m{i}"] = base[:at] + rng.choice("ACGT") + base[at + 1 :]
+    df = spark.createDataFrame([*groups.items(), ("short", "AC"), ("null", None), (None, "ACGTACGTACGT")], "id string, text string")
+    for most in (4, 200):
+        tree = placement.guide_tree(df, 8, most)
+        nodes = {r["node_id"]: r for r in tree.collect()}
+        assert sorted(r["name"] for r in nodes.values() if r["name"]) == sorted(groups) and len(nodes) == 2 * len(groups) - 1
+        assert sum(r["parent_id"] is None for r in nodes.values()) == 1 and all(r["parent_id"] in nodes for r in nodes.values() if r["parent_id"] is not None)
+        children = [r["parent_id"] for r in nodes.values() if r["parent_id"] is not None]
+        assert all(children.count(p) == 2 for p in children)
+        assert all(nodes[r["parent_id"]]["height"] > r["height"] for r in nodes.values() if r["parent_id"] is not None)
+    sides = {}
+    for r in nodes.values():  # all at once: each group is a subtree
+        names, todo = set(), [r["node_id"]]
+        while todo:
+            x = todo.pop()
+            names |= {nodes[x]["name"]} - {None}
+            todo += [n for n, y in nodes.items() if y["parent_id"] == x]
+        sides[frozenset(names)] = r
+    assert sum(frozenset(f"g{g}m{i}" for i in range(5)) in sides for g in range(6)) >= 5
+    assert placement.guide_tree(df.limit(0)).count() == 0
+
+
 def test_thinned_leaves(spark):
     tree = spark.createDataFrame(formats.parse_newick("((a:1,b:2):3,(c:1,(d:5,e:4):1):2);"), formats.NODES)
     assert T.thin(tree, 2) == ["a", "d"] and T.thin(tree, 9) == list("abcde") and T.thin(tree, 1) == ["a"]
