@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborweave.functions import packed
-from arborweave.operators.skew import heavy_keys, join_skewed
+from arborweave.operators.skew import flags, heavy_keys, join_skewed
 from arborweave.session import materialise
 
+#: Places of the filter of k-mers; where it fills up it only lets more pass.
+FILTER = 1 << 24
 #: query q_start q_end q_strand target t_start t_end t_strand score
 SUGAR = r"^(?:sugar|vulgar):\s+(\S+)\s+(\d+)\s+(\d+)\s+([-+.])\s+(\S+)\s+(\d+)\s+(\d+)\s+([-+.])\s+(-?\d+)"
 
@@ -87,12 +89,16 @@ def _windows(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return letters, row, start - offsets[row], code[start]
 
 
-def _row_kmers(k: int):
+def _row_kmers(k: int, passing=None):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(id, text) -> (id, code), different codes of a row once."""
         for batch in batches:
             _, row, _, code = _windows(batch.column(1), k)
             code = packed.mixed(code)
+            if passing is not None:
+                bits = passing.value
+                ok = bits[(code & np.uint64(len(bits) - 1)).astype(np.int64)]
+                row, code = row[ok], code[ok]
             order = np.lexsort((code, row))
             row, code = row[order], code[order]
             new = np.ones(len(row), bool)
@@ -102,15 +108,16 @@ def _row_kmers(k: int):
     return rows
 
 
-def kmers(records: DataFrame, k: int) -> DataFrame:
+def kmers(records: DataFrame, k: int, passing=None) -> DataFrame:
     """(id, code): the different windows of k letters of each record (id, text), as 64-bit codes.
 
-    Codes of up to 12 letters A to Z are one to one, longer ones are hashes.
+    passing: a broadcast filter (see flags()) that leaves out codes it doesn't
+    hold. Codes of up to 12 letters A to Z are one to one, longer ones are hashes.
     Null and shorter texts give no rows; ids are taken to be unique.
     """
     text = F.regexp_replace("text", r"[^\x00-\x7F]", "?")
     rows = records.where(F.length("text") >= k).select("id", text.alias("text"))
-    return rows.mapInArrow(_row_kmers(k), f"id {dict(rows.dtypes)['id']}, code long")
+    return rows.mapInArrow(_row_kmers(k, passing), f"id {dict(rows.dtypes)['id']}, code long")
 
 
 def _anchors(k: int):
@@ -178,10 +185,12 @@ def shared_parts(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     holds; n_holders: the records of right that hold them, added up. Right is
     counted per k-mer before the join (by a partial aggregate), so no pair of
     records is ever formed, and k-mers that many records of left hold are
-    joined by broadcast.
+    joined by broadcast. K-mers of right that a filter of fixed size doesn't
+    know from left aren't shuffled.
     """
     x = materialise(kmers(left, k).select(F.col("id").alias("a"), "code"), "kmers")
-    held = kmers(right, k).groupBy("code").agg(F.count("*").alias("n"))
+    passing = x.sparkSession.sparkContext.broadcast(flags(x, "code", FILTER))
+    held = kmers(right, k, passing).groupBy("code").agg(F.count("*").alias("n"))
     both = join_skewed(x, held, "code", "left")
     return both.groupBy("a").agg(F.count("*").alias("n_kmers"), F.count("n").alias("n_shared"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_holders"))
 
