@@ -388,6 +388,25 @@ def _analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SEEN = "doc_id long, copy long, kind string, key long, value long"
 
 
+def _told(keys: np.ndarray, values: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """Places of the rows that tell all that is asked of a frame: its least and greatest value, and REPEATED different texts if it has so many."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    keep = np.zeros(len(keys), bool)
+    order = np.lexsort((values, keys))
+    new = keys[order][1:] != keys[order][:-1]
+    keep[order[np.append(True, new)]] = True
+    keep[order[np.append(new, True)]] = True
+    order = np.lexsort((copies, keys))
+    k, c = keys[order], copies[order]
+    first = np.append(True, k[1:] != k[:-1])
+    distinct = first | np.append(True, c[1:] != c[:-1])
+    rank = np.cumsum(distinct)
+    rank -= np.maximum.accumulate(np.where(first, rank, 0))
+    keep[order[distinct & (rank < REPEATED)]] = True
+    return np.flatnonzero(keep)
+
+
 def _aligned(filters):
     """(doc_id, copy, text) -> SEEN: fill (a value in a frame) and seen (a unit), of those that the filters let pass."""
 
@@ -416,9 +435,14 @@ def _aligned(filters):
                     kinds.append(len(some))
                     keys.append(frame[ok])
                     values.append(_runs(h, some, some + n))
-                row = pa.array(np.concatenate(rows))
-                kind = pa.array(np.repeat(np.array(["seen", "fill"]), [kinds[0], sum(kinds[1:])]), pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), kind, _signed(np.concatenate(keys)), _signed(np.concatenate(values))], [c.split()[0] for c in SEEN.split(", ")])
+                row, keys_, values_ = (np.concatenate(x) for x in (rows, keys, values))
+                n_seen = kinds[0]
+                copies = part.column(1).to_numpy(zero_copy_only=False)[row[n_seen:]]
+                kept = n_seen + _told(keys_[n_seen:].view(np.int64), values_[n_seen:].view(np.int64), copies)
+                at = np.concatenate([np.arange(n_seen), kept])
+                kind = pa.array(np.repeat(np.array(["seen", "fill"]), [n_seen, len(kept)]), pa.string())
+                take = pa.array(row[at])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), kind, _signed(keys_[at]), _signed(values_[at])], [c.split()[0] for c in SEEN.split(", ")])
 
     return align
 
