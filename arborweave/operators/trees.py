@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from arborweave.functions import sequences as S
 from arborweave.session import materialise
 
+#: Most nodes of heavy tags that are broadcast, and the parts a heavy tag's records are spread over beyond that.
+MOST_NODES, SALTS = 100_000, 64
+
 
 def closure(tree: DataFrame, most: int = 100_000) -> DataFrame:
     """(node_id, ancestor_id, depth, dist): each node with itself and all its ancestors; dist sums the branch lengths.
@@ -124,14 +127,27 @@ def targets(tree: DataFrame, kind: str = "all", tid: str | None = None) -> DataF
 
 
 def placements_by_tag(records: DataFrame, tree: DataFrame) -> DataFrame:
-    """(pos, name): each record with the nodes of its tag, by a join on tid that keeps heavy tags in place."""
+    """(pos, name): each record with the nodes of its tag, by a join on tid that keeps heavy tags in place.
+
+    The nodes of heavy tags are broadcast if they are at most MOST_NODES
+    (counted); else the records of a heavy tag are spread by a salt and meet
+    its nodes in a shuffle.
+    """
     from arborweave.operators.skew import heavy_keys
 
     tagged = tree.select(F.trim("tid").alias("tid"), "name").where("tid <> '' AND name IS NOT NULL").distinct()
     tags = records.select("pos", F.regexp_replace("tid", r"^[ \t]+|[ \t]+$", "").alias("tid")).where("tid <> ''")
     names = [r[0] for r in heavy_keys(tags, "tid").collect()]
     hot = F.col("tid").isin(names) if names else F.lit(False)
-    return tags.where(hot).join(F.broadcast(tagged.where(hot)), "tid").unionByName(tags.where(~hot).join(tagged.where(~hot), "tid")).select("pos", "name")
+    few, light = tagged.where(hot), tags.where(~hot).join(tagged.where(~hot), "tid")
+    if not names:
+        return light.select("pos", "name")
+    if few.count() <= MOST_NODES:
+        heavy = tags.where(hot).join(F.broadcast(few), "tid")
+    else:
+        salted = tags.where(hot).withColumn("salt", F.pmod(F.xxhash64("pos"), F.lit(SALTS)))
+        heavy = salted.join(few.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["tid", "salt"])
+    return heavy.select("pos", "name").unionByName(light.select("pos", "name"))
 
 
 def parsimony_up(tree: DataFrame, states: DataFrame) -> DataFrame:

@@ -64,10 +64,13 @@ def _joined(level: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def _levels(tree: DataFrame) -> list[tuple[int, DataFrame]]:
-    """(height, rows (node_id, a, b, da, db)) of the inner nodes of a binary tree, from the leaves up."""
+    """(height, rows (node_id, a, b, da, db, ha, hb)) of the inner nodes of a binary tree, from the leaves up; ha and hb are the children's heights."""
     pairs = tree.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("node_id"), F.struct(F.coalesce("side", F.lit(0)).alias("side"), F.col("node_id").alias("c"), F.coalesce("dist", F.lit(0.0)).alias("d")).alias("x"))
     two = pairs.groupBy("node_id").agg(F.array_sort(F.collect_list("x")).alias("x")).where(F.size("x") == 2)
     rows = two.join(tree.select("node_id", "height"), "node_id").select("node_id", F.col("x")[0]["c"].alias("a"), F.col("x")[1]["c"].alias("b"), F.col("x")[0]["d"].alias("da"), F.col("x")[1]["d"].alias("db"), "height")
+    below = tree.select(F.col("node_id").alias("c"), F.coalesce("height", F.lit(0)).alias("hc"))
+    for side in ("a", "b"):
+        rows = rows.join(below.withColumnsRenamed({"c": side, "hc": f"h{side}"}), side)
     rows = materialise(rows, "pairs")
     heights = sorted(r[0] for r in rows.select("height").distinct().collect())  # at most the tree's height
     return [(h, rows.where(F.col("height") == h).drop("height")) for h in heights]
@@ -138,19 +141,22 @@ def _climb(levels: list[tuple[int, DataFrame]], graphs: DataFrame, step: Callabl
             yield pd.DataFrame(rows, columns=["node_id", *FIELDS])
 
     done = materialise(graphs, "leaves")
-    every = [done]
+    every = {0: done}
     try:
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        for _, level in levels:
-            known = every[0]
-            for g in every[1:]:
-                known = known.unionByName(g)
-            every.append(materialise(_joined(level, known).repartition(tasks, "node_id").mapInPandas(work, schema), "level"))
+        for h, level in levels:
+            # only the levels that hold a child of this one are read
+            need = {x for r in level.select("ha", "hb").distinct().collect() for x in r if x in every}
+            known = None
+            for x in sorted(need):
+                known = every[x] if known is None else known.unionByName(every[x])
+            if known is not None:
+                every[h] = materialise(_joined(level, known).repartition(tasks, "node_id").mapInPandas(work, schema), "level")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
-    out = every[0]
-    for g in every[1:]:
-        out = out.unionByName(g)
+    out = None
+    for g in every.values():
+        out = g if out is None else out.unionByName(g)
     return out
 
 
