@@ -46,3 +46,22 @@ def test_scores_in_jvm(spark):
                 if best is None or one[1] > best[1]:
                     best = one
             assert tuple(got[name])[2:] == best
+
+
+def test_piles_in_jvm(spark):
+    rows = [(n, x, y) for n, x, y in texts() if n[0] != "e"]
+    reads = spark.createDataFrame([(n, k, y) for k, (n, _, y) in enumerate(rows)], "group string, pos long, sequence string")
+    roots = spark.createDataFrame([(n, x) for n, x, _ in rows], "group string, root string")
+    piled = placement._on_roots(reads, roots, DNA, 0.5, 0.5, False)
+    assert "MapInPandas" not in plan(piled)
+    got = {r["group"]: r for r in piled.collect()}
+    model = models.model(DNA)
+    for n, x, y in rows:
+        a, b = model.encode(x), model.encode(y)
+        m = [(p, q) for s, p, q, _, _ in K.align_many([(a, b)], model.at(0.101))[0].steps if s == K.M]
+        overlap, identity = len(m) / len(b), sum(int(a[p - 1]) & int(b[q - 1]) != 0 for p, q in m) / len(m) if m else 0.0
+        assert (n in got) == (overlap > 0.5 and identity > 0.5)
+        if n in got:
+            r = got[n]
+            assert (r["overlap"], r["identity"], r["symbols"]) == (overlap, identity, model.decode(b))
+            assert [(s, q) for q, (s, k) in enumerate(zip(r["sites"], r["nths"]), 1) if k == 0] == m
