@@ -65,3 +65,14 @@ def test_piles_in_jvm(spark):
             r = got[n]
             assert (r["overlap"], r["identity"], r["symbols"]) == (overlap, identity, model.decode(b))
             assert [(s, q) for q, (s, k) in enumerate(zip(r["sites"], r["nths"]), 1) if k == 0] == m
+
+
+def pairs_of(spark):
+    return spark.createDataFrame(texts(), "id string, text_1 string, text_2 string")
+
+
+def test_anchored_in_jvm(spark):
+    got = placement.anchored_share(pairs_of(spark))
+    assert "MapInPandas" not in plan(got)
+    want = msa.pairwise(pairs_of(spark), anchors=True).select("id", "score")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
