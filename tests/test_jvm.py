@@ -76,3 +76,13 @@ def test_anchored_in_jvm(spark):
     assert "MapInPandas" not in plan(got)
     want = msa.pairwise(pairs_of(spark), anchors=True).select("id", "score")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_sums_in_jvm(spark):
+    long = "ACGTTGCATT" * 50  # so long that sums are made of logarithms
+    rows = pairs_of(spark).unionByName(spark.createDataFrame([("long", long, long[7:])], "id string, text_1 string, text_2 string"))
+    total = msa.sums(rows)
+    assert "MapInPandas" not in plan(total)
+    got = {r["id"]: tuple(r)[1:] for r in total.collect()}
+    for r in msa.pairwise(rows, sums=True).collect():
+        assert got[r["id"]] == pytest.approx((r["forward"], r["backward"], r["mean_posterior"]), abs=1e-9)
