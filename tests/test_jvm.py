@@ -86,3 +86,15 @@ def test_sums_in_jvm(spark):
     got = {r["id"]: tuple(r)[1:] for r in total.collect()}
     for r in msa.pairwise(rows, sums=True).collect():
         assert got[r["id"]] == pytest.approx((r["forward"], r["backward"], r["mean_posterior"]), abs=1e-9)
+
+
+def test_paths_drawn_in_jvm(spark):
+    from pyspark.sql import functions as F
+
+    drawn = msa.sampled(pairs_of(spark))
+    assert "MapInPandas" not in plan(drawn)
+    got = {r["id"]: (r["n_columns"], r["n_match"]) for r in drawn.collect()}
+    model = models.model(DNA)
+    for i, x, y, seed in pairs_of(spark).withColumn("seed", F.pmod(F.xxhash64("id"), F.lit(1 << 31))).collect():
+        path = K.sample(K.graph_of(model.encode(x)), K.graph_of(model.encode(y)), model.at(0.1), seed)
+        assert got[i] == (len(path), sum(s == K.M for s, _, _ in path))
