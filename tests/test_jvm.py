@@ -98,3 +98,21 @@ def test_paths_drawn_in_jvm(spark):
     for i, x, y, seed in pairs_of(spark).withColumn("seed", F.pmod(F.xxhash64("id"), F.lit(1 << 31))).collect():
         path = K.sample(K.graph_of(model.encode(x)), K.graph_of(model.encode(y)), model.at(0.1), seed)
         assert got[i] == (len(path), sum(s == K.M for s, _, _ in path))
+
+
+def test_windows_travel_in_pieces(spark):
+    from arborweave.operators import hits as H
+
+    rng = random.Random(9)
+    base = ["".join(rng.choices("ACGT", k=120)) for _ in range(5)]
+    rows = [(k, base[k % 5][k % 17 :] + base[(k + 1) % 5][: k % 40]) for k in range(40)] + [(90, "A" * 60), (91, "A" * 60), (92, "ACG"), (93, ""), (94, "N" * 30 + base[0])]
+    first, want = {}, {}
+    for k, t in rows:
+        for w in {t[i : i + 24] for i in range(len(t) - 23)}:
+            if first.setdefault(w, k) != k:
+                want[k, first[w]] = want.get((k, first[w]), 0) + 1
+    df = spark.createDataFrame(rows, "id long, text string")
+    assert {(r["id"], r["head"]): r["c"] for r in H.shared_with_first(df).collect()} == want
+    # a few bytes a letter: fewer pieces than a third of the windows
+    pieces = df.where("length(text) >= 24").mapInArrow(H._runs(24, 12, 4), "bucket int, id long, piece string").count()
+    assert 3 * pieces < sum(max(0, len(t) - 23) for _, t in rows)
