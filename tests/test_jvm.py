@@ -2,7 +2,9 @@
 
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from arborweave.functions import kernel as K
 from arborweave.functions import models
@@ -116,3 +118,22 @@ def test_windows_travel_in_pieces(spark):
     # a few bytes a letter: fewer pieces than a third of the windows
     pieces = df.where("length(text) >= 24").mapInArrow(H._runs(24, 12, 4), "bucket int, id long, piece string").count()
     assert 3 * pieces < sum(max(0, len(t) - 23) for _, t in rows)
+
+
+def test_whole_values_and_way_back_give_the_same(spark):
+    """Texts of more cells than are kept as values are aligned the other way, with the same scores."""
+    rng = random.Random(12)
+    source = (models.__file__.rsplit("/", 1)[0]) + "/Kernel.java"
+    with open(source) as f:
+        assert "static final int WHOLE = 1 << 20;" in f.read()
+    model = models.model(DNA)
+    scores = model.at(0.101)
+    rows = []
+    for k, n in enumerate((700, 1000, 1023, 1040, 1200)):
+        x = "".join(rng.choices("ACGT", k=n))
+        rows.append((str(k), x, "".join(c for c in x if rng.random() > 0.1) + "ACGTACGT"))
+    got = {r["query"]: r for r in placement.score_pairs(spark.createDataFrame(rows, "query string, t_text string, q_text string").withColumn("node", F.lit("n"))).collect()}
+    for name, t, q in rows:
+        a, b = model.encode(t), model.encode(q)
+        m = [(int(a[x - 1]), int(b[y - 1])) for s, x, y, _, _ in K.align_many([(a, b)], scores)[0].steps if s == K.M]
+        assert got[name]["overlap"] == len(m) / len(b) and got[name]["identity"] == sum(x & y != 0 for x, y in m) / len(m)
