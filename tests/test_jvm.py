@@ -137,3 +137,17 @@ def test_whole_values_and_way_back_give_the_same(spark):
         a, b = model.encode(t), model.encode(q)
         m = [(int(a[x - 1]), int(b[y - 1])) for s, x, y, _, _ in K.align_many([(a, b)], scores)[0].steps if s == K.M]
         assert got[name]["overlap"] == len(m) / len(b) and got[name]["identity"] == sum(x & y != 0 for x, y in m) / len(m)
+
+
+def test_places_counted_on_arrow_buffers():
+    """Symbols at places before, on and between sites, and the reads that pass on to the next site."""
+    reads = [("g", [0, 0, 3, 3, 4], [-2, -1, 0, 1, 0], list("TGACA")), ("g", [3, 4, 4], [0, 0, 1], list("AGG")), ("h", [3, 3], [0, 1], list("AC")), ("g", [1], [0], ["A"])]
+    want = {}
+    for g, sites, nths, symbols in reads:
+        on = [s for s, k in zip(sites, nths, strict=True) if k == 0]
+        for key in [*((g, *x) for x in zip(sites, nths, symbols, strict=True)), *((g, s, 0, "") for s in range(min(on), max(on)))]:
+            want[key] = want.get(key, 0) + 1
+    kinds = pa.schema([("group", pa.string()), ("sites", pa.list_(pa.int32())), ("nths", pa.list_(pa.int32())), ("symbols", pa.list_(pa.string()))])
+    batch = pa.RecordBatch.from_pylist([dict(zip(kinds.names, r, strict=True)) for r in reads], kinds)
+    got = [tuple(r.values()) for b in placement._counted([batch]) for r in b.to_pylist()]
+    assert {x[:-1]: x[-1] for x in got} == want and len(got) == len(want)
