@@ -151,3 +151,13 @@ def test_places_counted_on_arrow_buffers():
     batch = pa.RecordBatch.from_pylist([dict(zip(kinds.names, r, strict=True)) for r in reads], kinds)
     got = [tuple(r.values()) for b in placement._counted([batch]) for r in b.to_pylist()]
     assert {x[:-1]: x[-1] for x in got} == want and len(got) == len(want)
+
+
+def test_gapped_rows_dont_pass_through_the_driver(spark):
+    """Tables that compress well are small files, yet are never broadcast."""
+    tree = spark.createDataFrame([(1, None, None, None, 1), (2, 1, 0, 0.1, 0), (3, 1, 1, 0.1, 0)], "node_id long, parent_id long, side int, dist double, height int")
+    graphs = msa.replay_tree(tree, spark.createDataFrame([(2, "AC-G" * 20), (3, "A-TG" * 20)], "node_id long, sequence string"))
+    level = spark.createDataFrame([(1, 2, 3)], "node_id long, a long, b long")
+    assert "Broadcast" not in plan(msa._joined(level, graphs))
+    got = {(r["node_id"], r["sequence"]) for r in msa.aligned_rows(tree, graphs).collect()}
+    assert got == {(2, "AC-G" * 20), (3, "A-TG" * 20)}
