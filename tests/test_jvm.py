@@ -161,3 +161,17 @@ def test_gapped_rows_dont_pass_through_the_driver(spark):
     assert "Broadcast" not in plan(msa._joined(level, graphs))
     got = {(r["node_id"], r["sequence"]) for r in msa.aligned_rows(tree, graphs).collect()}
     assert got == {(2, "AC-G" * 20), (3, "A-TG" * 20)}
+
+
+def test_local_hits_in_jvm(spark):
+    rng = random.Random(4)
+    targets = [(k, "".join(rng.choices("ACGT", k=80))) for k in range(5)]
+    flip = str.maketrans("ACGT", "TGCA")
+    queries = [(k, t[10:60] if k % 2 else t[5:70].translate(flip)[::-1]) for k, t in targets]
+    found = placement.search(spark.createDataFrame(queries, "query long, q_text string"), spark.createDataFrame(targets, "target long, t_text string"))
+    assert "MapInPandas" not in plan(found)
+    model = models.model(DNA)
+    got = {(r["query"], r["target"]): tuple(r)[2:] for r in found.collect()}
+    for (k, q), (_, t) in zip(queries, targets, strict=True):
+        score, a, b, c, d = K.local(model.encode(q if k % 2 else q.translate(flip)[::-1]), model.encode(t))
+        assert got[k, k] == (score, *((a, b) if k % 2 else (len(q) - a, len(q) - b)), c, d)
