@@ -263,6 +263,27 @@ def test_anchors_and_tunnel(spark):
     assert sorted(msa.local_anchors("AAACGTACGGTT", "CCACGTACGGCC", 4)) == [(2, 2, 8, 8.0)]
 
 
+def test_tunnels_of_pairs_with_one_id(spark, tmp_path):
+    """Two records of one name with a reading frame of the same place: the rows are those of the SQL."""
+    import random
+
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    pick = random.Random(5)
+    text = "".join(pick.choice("ACGT") for _ in range(150))
+    spark.createDataFrame([(1, "x", text), (2, "x", "ACGTTGCAAC" * 5), (3, "y", text)], "pos long, name string, sequence string").selectExpr("*", *(f"string(NULL) AS {c}" for c in ("comment", "dna_sequence", "quality", "tid", "node_to_align")), *(f"0 AS {c}" for c in ("num_duplicates", "node_score", "query_strand")), *(f"timestamp'2026-01-01' AS {c}" for c in ("read_at", "loaded_at"))).coalesce(1).write.parquet(f"{tmp_path}/sequences.parquet")
+    frames = [("x", 1, 10, text[100:130]), ("x", 1, 10, text[9:120]), ("x", 2, 10, text[9:120]), ("y", 1, 10, text[:60]), ("y", 1, 10, text[90:])]
+    spark.createDataFrame(frames, "name string, frame int, orf_start int, dna string").coalesce(1).write.parquet(f"{tmp_path}/orfs.parquet")
+    con = duckdb.connect()
+    for t in ("sequences", "orfs"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = entry.queries()["tunnel_bounds"](spark, str(tmp_path)).select("id", "n_anchors", "coverage")
+    want = con.sql(f"select id, n_anchors, coverage from ({entry.oracle_sql()['tunnel_bounds']})").fetchall()
+    assert rows(got) == sorted(want, key=lambda t: tuple((x is not None, str(x)) for x in t)) and len(want) == 5
+
+
 def test_local_alignment(spark):
     rng = random.Random(3)
 
