@@ -175,3 +175,31 @@ def test_local_hits_in_jvm(spark):
     for (k, q), (_, t) in zip(queries, targets, strict=True):
         score, a, b, c, d = K.local(model.encode(q if k % 2 else q.translate(flip)[::-1]), model.encode(t))
         assert got[k, k] == (score, *((a, b) if k % 2 else (len(q) - a, len(q) - b)), c, d)
+
+
+def test_trees_are_aligned_in_jvm(spark, monkeypatch):
+    """All graphs of a forest, edges and their weights included, are those of kernel.align(), which the levels no longer call."""
+    rng = random.Random(11)
+    members, leaves = [], []
+    for family in range(4):
+        text = "".join(rng.choices("ACGT", k=rng.choice([1, 40, 90])))
+        for k in range(9):
+            own = "".join(c for c in text for c in rng.choice([c] * 16 + ["", c + "A", "N", "R", c * 3])) or "G"
+            members.append((family, 100 * family + k))
+            leaves.append((100 * family + k, own))
+    tree, tips = msa.balanced_forest(spark.createDataFrame(members, "family long, member long"))
+    tree = tree.withColumn("dist", F.when(F.col("node_id") % 3 == 0, 0.2).otherwise(F.col("dist")))
+    leaves = tips.join(spark.createDataFrame(leaves, "member long, sequence string"), "member").select("node_id", "sequence")
+
+    def graphs(homopolymer):
+        return {r["node_id"]: r for r in msa.align_tree(tree, leaves, DNA, homopolymer=homopolymer).collect()}
+
+    for homopolymer in (None, 0.8):
+        with monkeypatch.context() as m:
+            m.setattr(msa, "_paths", lambda *a: None, raising=False)
+            want = graphs(homopolymer)
+        with monkeypatch.context() as m:
+            m.setattr(msa.K, "align", None)
+            got = graphs(homopolymer)
+        assert got == want and len(got) == 4 * 17
+        assert any(len(r["e_start"]) > len(r["states"]) + 1 for r in got.values())
