@@ -178,7 +178,7 @@ def test_local_hits_in_jvm(spark):
 
 
 def test_trees_are_aligned_in_jvm(spark, monkeypatch):
-    """All graphs of a forest, edges and their weights included, are those of kernel.align(), which the levels no longer call."""
+    """All graphs of a forest, edges and their weights included, are those of kernel.align(), which the levels no longer need."""
     rng = random.Random(11)
     members, leaves = [], []
     for family in range(4):
@@ -199,7 +199,20 @@ def test_trees_are_aligned_in_jvm(spark, monkeypatch):
             m.setattr(msa, "_paths", lambda *a: None, raising=False)
             want = graphs(homopolymer)
         with monkeypatch.context() as m:
-            m.setattr(msa.K, "align", None)
+            seen, climb = [], msa._climb
+            m.setattr(msa, "_climb", lambda *a: seen.append(a[4]) or climb(*a))
             got = graphs(homopolymer)
+        assert all(seen) and len(seen) == 1  # the paths are columns of the rows
         assert got == want and len(got) == 4 * 17
         assert any(len(r["e_start"]) > len(r["states"]) + 1 for r in got.values())
+
+
+def test_ancestor_events_from_paths_of_the_jvm(spark, monkeypatch):
+    """The events on the branches are the same with the paths of either; the levels of the trees take those of the JVM."""
+    from arborweave import queries_alignment
+
+    got = sorted(map(str, queries_alignment.ancestor_events(spark, "/root/testdata/sf0.001").collect()))
+    with monkeypatch.context() as m:
+        m.setattr(msa, "_paths", lambda *a: None)
+        want = sorted(map(str, queries_alignment.ancestor_events(spark, "/root/testdata/sf0.001").collect()))
+    assert got == want and got
