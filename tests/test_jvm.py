@@ -50,6 +50,32 @@ def test_scores_in_jvm(spark):
             assert tuple(got[name])[2:] == best
 
 
+def test_hopeless_pairs_are_not_aligned(spark):
+    rng = random.Random(11)
+    rows = texts(120)
+    for k in range(60):
+        x = "".join(rng.choices("ACGT", k=rng.randint(120, 260)))
+        y = "".join(rng.choices("ACGT", k=rng.randint(120, 260)))
+        rows.append((f"u{k}", x, y))
+        # a part of each, and one with a part inside
+        rows.append((f"p{k}", x, y[: rng.randint(0, 90)] + x[20 : 20 + rng.randint(30, 100)] + y[90 : rng.randint(90, 200)]))
+    df = spark.createDataFrame(rows, "node string, q_text string, t_text string").selectExpr("node AS query", "node", "q_text", "t_text")
+    for both in (False, True):
+        every = {r["query"]: tuple(r) for r in placement.score_pairs(df, both_strands=both).collect()}
+        assert len(every) == len(rows)
+        for least in (0.0, 0.2, 0.5, 0.9, 1.0):
+            got = {r["query"]: tuple(r) for r in placement.score_pairs(df, both_strands=both, least_overlap=least).collect()}
+            assert all(every[n] == x for n, x in got.items())
+            assert {n for n, x in every.items() if x[3] > least} <= set(got)
+            if least == 0.5:
+                assert sum(n[0] == "u" for n in got) < 10
+                assert {r["query"] for r in placement.accepted_pairs(df, least, both_strands=both).collect()} == {n for n, x in every.items() if x[2] >= 0.05 and x[3] > least and x[4] > 0.5}
+    protein = models.preset("protein")
+    every = {r["query"]: tuple(r) for r in placement.score_pairs(df, options=protein).collect()}
+    got = {r["query"]: tuple(r) for r in placement.score_pairs(df, options=protein, least_overlap=0.5).collect()}
+    assert all(every[n] == x for n, x in got.items()) and {n for n, x in every.items() if x[3] > 0.5} <= set(got)
+
+
 def test_piles_in_jvm(spark):
     rows = [(n, x, y) for n, x, y in texts() if n[0] != "e"]
     reads = spark.createDataFrame([(n, k, y) for k, (n, _, y) in enumerate(rows)], "group string, pos long, sequence string")
