@@ -345,3 +345,19 @@ def test_placement_in_turn_is_sequential(spark):
     c = spark.createDataFrame([(f"q{k}", "n") for k in range(1, 5)], "query string, node string")
     got = placement.place_in_turn(q, t, c)
     assert [(r["query"], r["node"], r["round"]) for r in got.orderBy("query").collect()] == [("q1", "n", 0), ("q2", "q1", 1), ("q3", "q2", 2), ("q4", "q3", 3)]
+
+
+def test_texts_of_candidates_are_not_kept_with_their_pairs(spark, monkeypatch):
+    # names of a pair are written, its texts only meet where they are scored
+    rng = random.Random(3)
+    text = "".join(rng.choice("ACGT") for _ in range(120))
+    near = "".join({"A": "C", "C": "G", "G": "T", "T": "A"}[c] if i % 30 == 7 else c for i, c in enumerate(text))
+    far = "".join(rng.choice("ACGT") for _ in range(120))
+    kept = []
+    write = placement.materialise
+    monkeypatch.setattr(placement, "materialise", lambda df, what="step": kept.append((what, df.columns)) or write(df, what))
+    todo = spark.createDataFrame([("q1", near), ("q2", near[:80]), ("q3", far)], "query string, q_text string")
+    links = spark.createDataFrame([("q1", "n"), ("q2", "n"), ("q3", "n"), ("q1", "m")], "query string, node string")
+    targets = spark.createDataFrame([("n", text), ("m", far[::-1])], "node string, t_text string")
+    assert sorted(rows(placement._may_be_placed(todo, links, targets))) == [("q1",), ("q2",)]
+    assert {tuple(c) for what, c in kept if what == "pairs"} == {("query", "node", "origin")}
