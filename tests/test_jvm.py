@@ -76,6 +76,14 @@ def test_hopeless_pairs_are_not_aligned(spark):
     assert all(every[n] == x for n, x in got.items()) and {n for n, x in every.items() if x[3] > 0.5} <= set(got)
 
 
+def test_pairs_from_a_join_are_not_shuffled_again(spark):
+    x = "ACGTTGCATTCAGGAC" * 4
+    df = spark.createDataFrame([("q", "n", x, x), ("r", "n", x[:40], x)], "query string, node string, q_text string, t_text string")
+    spread, kept = placement.place_all(df), placement.place_all(df, spread=False)
+    assert plan(spread).count("REPARTITION_BY_NUM") == 1 and "REPARTITION_BY_NUM" not in plan(kept)
+    assert sorted(map(tuple, spread.collect())) == sorted(map(tuple, kept.collect())) and kept.count() == 2
+
+
 def test_piles_in_jvm(spark):
     rows = [(n, x, y) for n, x, y in texts() if n[0] != "e"]
     reads = spark.createDataFrame([(n, k, y) for k, (n, _, y) in enumerate(rows)], "group string, pos long, sequence string")
