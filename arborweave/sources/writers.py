@@ -87,11 +87,21 @@ def nexus(rows: DataFrame, width: int = 60, least: float = 0.9) -> DataFrame:
 
 
 def graph(sites: DataFrame, edges: DataFrame) -> DataFrame:
-    """Sequence graphs (see read_graphs) as text, one value per graph; a graph's sites and edges are put together in one row."""
-    into = edges.groupBy("name", F.col("end").alias("site")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "weight"))).alias("e"))
-    text = F.concat(F.col("site").cast("string"), F.lit(" "), "symbol", F.coalesce(F.array_join(F.transform("e", lambda x: F.format_string("; %d %d %.6g", x["start"], x["end"], x["weight"].cast("double"))), ""), F.lit("")))
-    lines = sites.join(into, ["name", "site"], "left").select("name", F.struct("site", text.alias("t")).alias("l"))
-    return lines.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["t"]), "\n").alias("body")).select(F.col("name").alias("ord"), F.concat(F.lit("#"), "name", F.lit("\n"), "body").alias("value"))
+    """Sequence graphs (see read_graphs) as text, one value per graph; a graph's sites and edges are put together in one row.
+
+    Sites and edges meet by a shuffle: made from texts, they are many times
+    what the size of a file tells, by which they'd be broadcast through the driver.
+    """
+    into = edges.groupBy("name", F.col("end").alias("site")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "weight"))).alias("into"))
+    lines = sites.join(into.hint("merge"), ["name", "site"], "left").select("name", F.struct("site", "symbol", "into").alias("l"))
+    return graph_rows(lines.groupBy("name").agg(F.array_sort(F.collect_list("l")).alias("sites")))
+
+
+def graph_rows(graphs: DataFrame) -> DataFrame:
+    """The same of graphs that are rows already: (name, sites), sites in order with what leads into them, as structs (site, symbol, into), into as structs (start, end, weight)."""
+    edges = lambda x: F.coalesce(F.array_join(F.transform(x["into"], lambda e: F.format_string("; %d %d %.6g", e["start"], e["end"], e["weight"].cast("double"))), ""), F.lit(""))
+    body = F.array_join(F.transform("sites", lambda x: F.concat(x["site"].cast("string"), F.lit(" "), x["symbol"], edges(x))), "\n")
+    return graphs.select(F.col("name").alias("ord"), F.concat(F.lit("#"), "name", F.lit("\n"), body).alias("value"))
 
 
 def _escaped(c: Column) -> Column:

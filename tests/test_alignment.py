@@ -361,3 +361,26 @@ def test_texts_of_candidates_are_not_kept_with_their_pairs(spark, monkeypatch):
     targets = spark.createDataFrame([("n", text), ("m", far[::-1])], "node string, t_text string")
     assert sorted(rows(placement._may_be_placed(todo, links, targets))) == [("q1",), ("q2",)]
     assert {tuple(c) for what, c in kept if what == "pairs"} == {("query", "node", "origin")}
+
+
+def test_graphs_are_written_without_a_broadcast(spark, tmp_path):
+    """Sites and edges of a small file may be many; graphs that are rows already give the same text."""
+    from arborweave.session import materialise
+
+    sites = materialise(spark.createDataFrame([("g", 0, "A"), ("g", 1, "C"), ("g", 2, "G"), ("h", 0, "T")], "name string, site int, symbol string"), "sites")
+    edges = materialise(spark.createDataFrame([("g", 0, 1, 1.0), ("g", 1, 2, 0.5), ("g", 0, 2, 0.5)], "name string, start int, end int, weight float"), "edges")
+    text = writers.graph(sites, edges)
+    assert "Broadcast" not in text._jdf.queryExecution().executedPlan().toString()
+    into = "sites array<struct<site: int, symbol: string, into: array<struct<start: int, end: int, weight: float>>>>"
+    graphs = spark.createDataFrame([("g", [(0, "A", None), (1, "C", [(0, 1, 1.0)]), (2, "G", [(0, 2, 0.5), (1, 2, 0.5)])]), ("h", [(0, "T", [])])], f"name string, {into}")
+    assert rows(writers.graph_rows(graphs)) == rows(text) == [("g", "#g\n0 A\n1 C; 0 1 1.00000\n2 G; 0 2 0.500000; 1 2 0.500000"), ("h", "#h\n0 T")]
+
+
+def test_graph_roundtrip_moves_no_sites(spark, monkeypatch):
+    """What is written needs no shuffle and no broadcast of single sites: each record's graph is one row from the start."""
+    from arborweave import queries_formats
+
+    seen, saved = [], queries_formats._saved
+    monkeypatch.setattr(queries_formats, "_saved", lambda s, lines, *a: seen.append(lines._jdf.queryExecution().executedPlan().toString()) or saved(s, lines, *a))
+    got = queries_formats.graph_roundtrip(spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in seen[0] and "Join" not in seen[0] and got.where("kind = 'site'").count() > got.where("kind = 'edge'").count() > 0
