@@ -250,3 +250,23 @@ def test_ancestor_events_from_paths_of_the_jvm(spark, monkeypatch):
         m.setattr(msa, "_paths", lambda *a: None)
         want = sorted(map(str, queries_alignment.ancestor_events(spark, "/root/testdata/sf0.001").collect()))
     assert got == want and got
+
+
+def test_replay_in_jvm(spark):
+    """The rows of a given alignment's nodes are those of its graphs, and need neither graphs nor Python."""
+    rng = random.Random(3)
+    members, rows = [], []
+    for family in range(5):
+        width, n = rng.choice([1, 30, 70]), rng.choice([2, 3, 9])
+        for k in range(n):
+            members.append((family, 100 * family + k))
+            rows.append((100 * family + k, "".join("-" if c % 7 == 3 else rng.choice("ACGTUNRYacgt?---") for c in range(width))))
+    rows[-1] = (rows[-1][0], "-" * len(rows[-1][1]))
+    tree, tips = msa.balanced_forest(spark.createDataFrame(members, "family long, member long"))
+    given = tips.join(spark.createDataFrame(rows, "member long, sequence string"), "member").select("node_id", "sequence")
+    got = msa.replayed_rows(tree, given, DNA)
+    assert "InPandas" not in plan(got)
+    want = msa.aligned_rows(tree, msa.replay_tree(tree, given, DNA), DNA, ancestors=True)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 20
+    with pytest.raises(Exception, match="differ in length"):
+        msa.replayed_rows(tree, given.withColumn("sequence", F.concat("sequence", F.repeat(F.lit("A"), F.col("node_id").cast("int") % 2))), DNA).collect()
