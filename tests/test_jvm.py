@@ -270,3 +270,29 @@ def test_replay_in_jvm(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 20
     with pytest.raises(Exception, match="differ in length"):
         msa.replayed_rows(tree, given.withColumn("sequence", F.concat("sequence", F.repeat(F.lit("A"), F.col("node_id").cast("int") % 2))), DNA).collect()
+
+
+def test_batches_are_counted_in_bounded_parts():
+    """However many reads a batch has, what is made of it at once is bounded, and the counts add up to the same."""
+    from collections import Counter
+
+    from arborweave.functions import packed
+    from arborweave.operators import columns
+
+    n, w = 3000, 300
+    names = pa.array([str(k % 1000) for k in range(n)])
+    sites = pa.array([list(range(1, w + 1))] * n, pa.list_(pa.int32()))
+    reads = pa.RecordBatch.from_arrays([names, sites, pa.array([[0] * w] * n, pa.list_(pa.int32())), pa.array([list("ACG" * (w // 3))] * n)], ["group", "sites", "nths", "symbols"])
+    texts = pa.RecordBatch.from_arrays([names, pa.array([2] * n), pa.array([5] * n), pa.array(["ACG" * (w // 3)] * n)], ["group", "w", "at", "text"])
+    assert [p.num_rows for p in packed.parts(texts, 3, 1000)][:2] == [3, 3] and [p.num_rows for p in packed.parts(texts.slice(0, 2), 3, 10)] == [1, 1] and not [*packed.parts(texts.slice(0, 0), 3)]
+    places, cells = list(placement._counted(iter([reads]))), list(columns._count_letters(iter([texts])))
+    assert min(len(places), len(cells)) > 1 and max(b.num_rows for b in places + cells) <= 2 << 18
+    passed, held = Counter(), Counter()
+    for b in places:
+        for *place, count in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            passed[tuple(place)] += count
+    for b in cells:
+        for group, col, *_, count in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            held[group, col] += count
+    assert len(passed) == 1000 * (2 * w - 1) and set(passed.values()) == {3}
+    assert len(held) == 1000 * w and set(held.values()) == {6}
